@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import quality, sharding, topk
+from siltstone.llm import mixing, quality, sharding, topk, toxicity
 from siltstone.shared import read_table, store
 
 KEY = "siltstone"
@@ -32,6 +32,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels that are not held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    learnt = _remainder(5) != 0
+    lexicon = toxicity.learn(docs, labels, rows=learnt)
+    strength = store(toxicity.strengths(docs, lexicon), "op8-strengths")
+    score = toxicity.curve(strength, labels, rows=learnt).column(F.col("strength"))
+    return strength.select("doc_id", (_remainder(5) == 0).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, seed=KEY)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best others for every hundredth vector."""
     return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
@@ -40,6 +56,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
 }
 
