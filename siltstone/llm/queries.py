@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, mixing, quality, sharding, topk, toxicity
+from siltstone.llm import decontamination, hmm, mixing, quality, sharding, topk, toxicity
 from siltstone.shared import read_table, store
 
 KEY = "siltstone"
@@ -24,6 +24,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a hidden Markov model."""
+    return hmm.score(read_table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24 and slot, by the law of equal row counts."""
     text = F.coalesce("text", F.lit(""))
@@ -63,6 +68,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_hmm": op4_hmm,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op8_toxicity": op8_toxicity,
