@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, hmm, jaccard, mixing, quality, sharding, topk, toxicity
+from siltstone.llm import decontamination, hmm, jaccard, mixing, quality, sharding, substrings, topk, toxicity
 from siltstone.shared import read_table, store
 
 KEY = "siltstone"
@@ -16,6 +16,12 @@ def _remainder(divisor: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % divisor
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in passages of 50 words and more that repeat elsewhere."""
+    found = substrings.repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_passages"), "spans", "class_id", (F.col("n_repeated") > 0).alias("repeated"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside ten-word windows of benchmark items."""
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -72,6 +78,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op3_decontamination": op3_decontamination,
     "op4_hmm": op4_hmm,
     "op5_sharding": op5_sharding,
