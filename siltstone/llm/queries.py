@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, hmm, jaccard, mixing, quality, sharding, substrings, topk, toxicity
+from siltstone.llm import decontamination, hmm, jaccard, mixing, quality, sharding, substrings, surrogates, topk, toxicity
 from siltstone.shared import read_table, store
 
 KEY = "siltstone"
@@ -22,6 +22,12 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_passages"), "spans", "class_id", (F.col("n_repeated") > 0).alias("repeated"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for personal data and secrets."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, KEY).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside ten-word windows of benchmark items."""
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -79,6 +85,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substrings": op1_substrings,
+    "op2_surrogates": op2_surrogates,
     "op3_decontamination": op3_decontamination,
     "op4_hmm": op4_hmm,
     "op5_sharding": op5_sharding,
