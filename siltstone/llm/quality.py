@@ -149,12 +149,11 @@ def scored(stats: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep(docs: DataFrame, model: Discriminant, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        rows = [statistics(None if t is None else t.encode("utf-8", "surrogatepass")) for t in texts]
-        return pd.Series(model.score(np.array(rows).reshape(-1, len(NAMES))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in utf8(batch.column(at))]).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(model.score(x) >= least))
 
-    return docs.filter(score(F.col(text_col)) >= least)
+    return docs.mapInArrow(run, docs.schema)
