@@ -39,6 +39,7 @@ EXCEPTIONS = ("trash can", "trash bin", "take out the trash", "class clown", "cl
 _INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _TABLE = bytes(ord(STANDS_FOR.get(chr(b), chr(b))) if chr(b) in STANDS_FOR or b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 SHORTEST, LONGEST = 4, 8
+LABELLED_ROWS = 200_000  # labels to learn from, at most; a bounded table, so that no text is shuffled
 LEAST_SUPPORT, LEAST_SHARE, LEAST_ODDS, MOST_ENTRIES = 5, 0.003, 3.0, 5_000
 BINS = 64
 
@@ -125,9 +126,12 @@ class Lexicon:
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Weights from labelled texts: entries that many toxic texts hold and others hardly do."""
-    chosen = labels if rows is None else labels.filter(rows)
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen.select(F.col(id_col).alias("doc_id"), F.col(target).alias("label")), "doc_id")
+    """Weights from labelled texts: entries that many toxic texts hold and others
+    hardly do. More than LABELLED_ROWS labels are cut down to so many, by hash."""
+    chosen = (labels if rows is None else labels.filter(rows)).select(F.col(id_col).alias("doc_id"), F.col(target).alias("label")).filter("label in (0, 1)")
+    if chosen.count() > LABELLED_ROWS:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(LABELLED_ROWS)
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def counter(wanted: set[bytes] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
