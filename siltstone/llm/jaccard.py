@@ -12,11 +12,12 @@ entries that can reach the threshold, so the product is taken in blocks:
    dropped, rows with too few shared columns go, and the rest of a row is
    ordered from the rarest column on; its first n/4 + 1 columns (those of one
    row only count) hold at least one that any partner has there as well.
-4. Each such column is a block of the product. A short column multiplies all
-   its rows; a long one only its first row with all others, and what this
-   joins needs no further product. Rows that stay apart are tried again
-   without that first row, until nothing is left: no pair that could be linked
-   is given up, and none within a component is enumerated.
+4. Each such column is a block of the product; of columns with the same rows
+   one is kept. A short column multiplies all its rows; a long one only its
+   first row with all others, and what this joins needs no further product.
+   Rows that stay apart are tried again without that first row, and longer
+   columns count as short then, until nothing is left: no pair that could be
+   linked is given up, and none within a component is enumerated.
 5. Candidate pairs that pass the bound on sizes get their overlap counted over
    their whole rows.
 
@@ -42,8 +43,8 @@ from siltstone.llm.text import SHINGLE, shingle_hashes, utf8, words
 from siltstone.shared import store
 
 EXTRA = 10  # l of step 2: a tenth of the row
-SHORT = 8  # rows of a column that are all multiplied with each other
-TURNS = 40  # of step 4; what is left then is multiplied in full
+SHORT, GROWTH, LONG = 8, 4, 512  # rows of a column that are all multiplied with each other: at first, more with each turn, and at most
+TURNS = 12  # of step 4; what is left then is multiplied in full
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -104,7 +105,10 @@ def blocks(docs: DataFrame, first: DataFrame, size: int, id_col: str, text_col:
     front = F.floor(F.col("n") / 4) + 1 - (F.col("n") - F.size("by"))
     rows = store(rows.select("node", "n", F.transform("by", lambda b: b["x"]).alias("row"), front.cast("int").alias("front")), "incidence")
     columns = rows.filter("front > 0").select("node", "n", F.explode(F.slice("row", 1, F.col("front"))).alias("x"))
-    return rows.select("node", "n", "row"), store(columns, "columns")
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
+    alike = columns.groupBy("x").agg(F.count("*").alias("rows"), mark(0).alias("m0"), mark(1).alias("m1")).filter("rows > 1")
+    kept = alike.groupBy("rows", "m0", "m1").agg(F.min("x").alias("x"))
+    return rows.select("node", "n", "row"), store(columns.join(kept, "x", "left_semi"), "columns")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
         heads = store(heads.filter("low != high").select("x", "rows", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"), F.col("head.comp").alias("head_comp")), "heads")
         if heads.isEmpty():
             break
-        short = F.col("rows") <= SHORT if turn < TURNS else F.lit(True)
+        short = F.col("rows") <= min(LONG, SHORT * GROWTH**turn) if turn < TURNS else F.lit(True)
         long_ = now.join(heads.filter(~short), "x").filter("comp != head_comp").filter(_sizes_fit("n", "head_n"))
         pairs = long_.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
         small = now.join(heads.filter(short).select("x"), "x")
@@ -140,8 +144,9 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
         all_ = small.join(other, "x").filter("node < node2 and comp != comp2").filter(_sizes_fit("n", "n2"))
         pairs = pairs.unionByName(all_.select(F.col("node").alias("a"), F.col("node2").alias("b"))).distinct()
         new = store(_linked(pairs, rows), "links")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            comps = components(links)
         columns = now.join(heads.filter(~short).select("x", "head"), "x").filter("node != head").select("x", "node", "n")
     if comps is None:
         return rows.select("node", F.col("node").alias("comp")).limit(0)
