@@ -54,9 +54,10 @@ def counted(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(ts)))
 
 
-def limited_stream(events: DataFrame, key: str, ts: str, limit: int, window_s: int) -> DataFrame:
+def limited_stream(events: DataFrame, key: str, ts: str, limit: int, window_s: int, late: str = "1 minute") -> DataFrame:
     """The same over a stream: the state of a key is (count, reset), and it is given
-    up when its window has passed."""
+    up when the watermark has passed its window. Events that are later than ``late``
+    are left out."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(found: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -73,8 +74,8 @@ def limited_stream(events: DataFrame, key: str, ts: str, limit: int, window_s: i
             count += 1
             out.append((found[0], t, count <= limit, max(0, limit - count)))
         state.update((count, reset))
-        state.setTimeoutDuration(window_s * 1000)
+        state.setTimeoutTimestamp(max(reset // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "ts", "allowed", "remaining"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(run, f"key {kind}, ts timestamp, allowed boolean, remaining int", "count long, reset long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, f"key {kind}, ts timestamp, allowed boolean, remaining int", "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -170,9 +170,9 @@ def test_windows_over_a_stream(spark, tmp_path):
     spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "in"))
     out = rate_limit.limited_stream(stream, "key", "ts", 2, 60)
-    q = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(90)
         got = [r["allowed"] for r in spark.table("limited").orderBy("ts").collect()]
     finally:
         q.stop()
