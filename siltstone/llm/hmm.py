@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.text import utf8, words
 from siltstone.shared import store
 
-STATES, HEAD, ROUNDS, START_TEXTS = 8, 65_536, 3, 512
+STATES, HEAD, ROUNDS, START_TEXTS = 8, 32_768, 3, 512
 END, TAIL, FIRST = 0, 1, 2  # ids: the end token, all words outside the head, the head
 FLUSH = 400_000  # distinct words that a task holds while counting
 CELLS = 1 << 18  # words in a block of texts that the recursions take at once
@@ -78,7 +78,9 @@ def encode(docs: DataFrame, head: dict[bytes, int], text_col: str = "text") -> D
                 ids.append(own)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, type=pa.list_(pa.int32())), pa.array(tails, type=pa.list_(pa.binary()))], names=[*names, "ids", "tail"])
 
-    return store(docs.select(*names, text_col).mapInArrow(run, schema), "hmm-encoded")
+    out = store(docs.select(*names, text_col).mapInArrow(run, schema), "hmm-encoded")
+    ids_of.destroy()
+    return out
 
 
 @dataclass
@@ -162,11 +164,14 @@ def baum_welch(encoded: DataFrame, model: Model, prior: np.ndarray) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(rows[some, i]) for i in range(k))], names=["row", *fields])
 
     parts = encoded.select("ids").mapInArrow(run, "row int, " + ", ".join(f"{f} double" for f in fields))
-    added = parts.groupBy("row").agg(*(F.sum(f).alias(f) for f in fields)).toPandas()  # head x states numbers
+    added = parts.groupBy("row").agg(*(F.sum(f).alias(f) for f in fields)).toArrow()  # head x states numbers
+    shared.destroy()
     rows = np.zeros((symbols + k + 1, k))
-    rows[added["row"].to_numpy()] = added[fields].to_numpy()
+    for i, f in enumerate(fields):
+        rows[added["row"].to_numpy(), i] = added[f].to_numpy()
     counts, move, start = rows[:symbols], rows[symbols:-1] + 1.0, rows[-1] + 1.0
-    emit = counts + PRIOR * prior[:, None]
+    # every symbol keeps an occurrence of its own, shared among the states by their weight
+    emit = counts + PRIOR * prior[:, None] + counts.sum(axis=0) / max(1.0, counts.sum())
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
@@ -205,21 +210,29 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
     counts = count_words(rows.filter("not held_out"))
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).collect()[0]
     n, v, ends = totals["n"] or 0, totals["v"], totals["ends"] or 0
-    top = [(bytes(r["word"]), r["c"]) for r in counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(head_size).collect()]
-    known = np.array([ends, n - ends - sum(c for _, c in top), *(c for _, c in top)], dtype=np.float64)  # by id
-    tail_words = v - (1 if ends else 0) - len(top)
+    # the head: words with at least so many occurrences that it stays within its size
+    least, size = 1, 0
+    named = counts.filter(F.length("word") > 0)
+    for r in named.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c")).toLocalIterator():
+        size += r["words"]
+        if size > head_size:
+            least = r["c"] + 1
+            break
+    top = named.filter(F.col("c") >= least).orderBy("word").toArrow()
+    in_head = np.asarray(top["c"], dtype=np.float64)
+    known = np.r_[ends, n - ends - in_head.sum(), in_head]  # by id
+    tail_words = v - (1 if ends else 0) - len(in_head)
     prior = (known + 1) / (known + 1).sum()
-    head = {w: FIRST + i for i, (w, _) in enumerate(top)}
+    head = {w: FIRST + i for i, w in enumerate(top["word"].to_pylist())}
     encoded = encode(rows.withColumn("key", F.monotonically_increasing_id()), head, "text")
     training = encoded.filter("not held_out")
+    del head, top
     model = _begin(training, prior, states)
     for _ in range(rounds):
         model = baum_welch(training, model, prior)
 
     # words outside the head: their counts, by document
-    in_head = counts.sparkSession.createDataFrame([(w,) for w, _ in top], "word binary") if top else None
-    rare = counts.filter(F.length("word") > 0)
-    rare = rare.join(F.broadcast(in_head), "word", "left_anti") if in_head is not None else rare
+    rare = named.filter(F.col("c") < least)
     told = encoded.select("key", F.explode("tail").alias("word")).join(rare, "word", "left")
     by_doc = told.groupBy("key").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("tail_logs"), F.count("c").alias("tail_known"))
 
