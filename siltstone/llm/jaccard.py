@@ -15,9 +15,11 @@ entries that can reach the threshold, so the product is taken in blocks:
 4. Each such column is a block of the product; of columns with the same rows
    one is kept. A short column multiplies all its rows; a long one only its
    first row with all others, and what this joins needs no further product.
-   Rows that stay apart are tried again without that first row, and longer
-   columns count as short then, until nothing is left: no pair that could be
-   linked is given up, and none within a component is enumerated.
+   Rows that stay apart are tried again without that first row. Longer columns
+   count as short then, and so do columns with few rows outside their largest
+   component, which alone are multiplied with the others. This goes on until
+   nothing is left: no pair that could be linked is given up, and none within a
+   component is enumerated.
 5. Candidate pairs that pass the bound on sizes get their overlap counted over
    their whole rows.
 
@@ -39,11 +41,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.text import SHINGLE, shingle_hashes, utf8, words
+from siltstone.llm.text import SHINGLE, mix, shingle_hashes, utf8, words
 from siltstone.shared import store
 
 EXTRA = 10  # l of step 2: a tenth of the row
 SHORT, GROWTH, LONG = 8, 4, 512  # rows of a column that are all multiplied with each other: at first, more with each turn, and at most
+STRAYS = 64  # rows outside a column's largest component that are multiplied with all of it
+FLAGS = 1 << 24  # bits of the map of rows that go on to step 3: 2 MB, whatever the input
 TURNS = 12  # of step 4; what is left then is multiplied in full
 
 
@@ -59,30 +63,49 @@ def _row(text: bytes | None, size: int) -> tuple[np.ndarray, int | None]:
     return row, (int(np.uint64(xxhash.xxh3_64_intdigest(row.tobytes())).astype(np.int64)) if len(row) else None)
 
 
-def first_columns(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored (doc_id, n, node, cols): set size and name, and the columns of step 2."""
+def sizes(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored (doc_id, n, node): each row's set size, and the name of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_row(t, size) for t in utf8(batch.column(1))]
-            cols = [r[: len(r) // 4 + max(1, len(r) // EXTRA)] for r, _ in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r, _ in rows], type=pa.int32()), pa.array([k for _, k in rows], type=pa.int64()), _lists(cols)], names=["doc_id", "n", "node", "cols"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r, _ in rows], type=pa.int32()), pa.array([k for _, k in rows], type=pa.int64())], names=["doc_id", "n", "node"])
 
-    return store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n int, node long, cols array<long>"), "shingles")
+    return store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n int, node long"), "shingles")
 
 
-def _full_rows(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, row) of the wanted (doc_id, node): their texts are read again."""
+def _incidence(docs: DataFrame, size: int, text_col: str, first: bool, flags: np.ndarray | None = None) -> DataFrame:
+    """(node, n, row) of every set once: all its columns, or only the first of step
+    2. Texts are read again rather than stored; flags leave out most sets that are
+    not wanted before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_row(t, size) for t in utf8(batch.column(1))]
-            same = [i for i, (k, (_, own)) in enumerate(zip(batch.column(0).to_pylist(), rows, strict=True)) if k == own]  # ids may repeat
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in same], type=pa.int64()), pa.array([len(rows[i][0]) for i in same], type=pa.int32()), _lists([rows[i][0] for i in same])], names=["node", "n", "row"])
+            rows = [(r, k) for r, k in (_row(t, size) for t in utf8(batch.column(0))) if k is not None and (flags is None or _flagged(flags, k))]
+            cols = [r[: len(r) // 4 + max(1, len(r) // EXTRA)] if first else r for r, _ in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in rows], type=pa.int64()), pa.array([len(r) for r, _ in rows], type=pa.int32()), _lists(cols)], names=["node", "n", "row"])
+
+    return docs.select(text_col).mapInArrow(run, "node long, n int, row array<long>").dropDuplicates(["node"])
+
+
+def _flagged(flags: np.ndarray, node: int) -> bool:
+    at = int(mix(np.array([node], dtype=np.int64).view(np.uint64))[0]) & (FLAGS - 1)
+    return bool(flags[at >> 3] >> (at & 7) & 1)
+
+
+def _flags(nodes: DataFrame) -> np.ndarray:
+    """A bit map of fixed size in which the nodes' bits are set (others may be, too)."""
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
-    return store(met.mapInArrow(run, "node long, n int, row array<long>").dropDuplicates(["node"]), "rows")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(FLAGS, dtype=bool)
+        for batch in batches:
+            out[(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(FLAGS - 1)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], type=pa.binary())], names=["bits"])
+
+    total = np.zeros(FLAGS // 8, dtype=np.uint8)
+    for r in nodes.select("node").coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        total |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return total
 
 
 def _enough(n: Column) -> Column:
@@ -90,14 +113,13 @@ def _enough(n: Column) -> Column:
     return F.floor((3 * n + 3) / 4)
 
 
-def blocks(docs: DataFrame, first: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def blocks(docs: DataFrame, size: int, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Steps 2 and 3: stored rows (node, n, row: its shared columns) and columns (x, node, n)."""
-    met = first.filter("n > 0").dropDuplicates(["node"]).select("node", "n", F.explode("cols").alias("x"))
+    met = _incidence(docs, size, text_col, first=True).select("node", F.explode("row").alias("x"), "n")
     shared = met.withColumn("rows", F.count("*").over(Window.partitionBy("x"))).filter("rows > 1")
     least = F.greatest(F.lit(1), F.floor(_enough(F.col("n")) / EXTRA))
-    some = shared.groupBy("node", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
-    ids = first.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    full = _full_rows(docs, some.select("node").join(ids, "node").select("doc_id", "node"), size, id_col, text_col)
+    some = store(shared.groupBy("node", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("node"), "some")
+    full = _incidence(docs, size, text_col, first=False, flags=_flags(some)).join(some, "node", "left_semi")
     each = full.select("node", "n", F.explode("row").alias("x"))
     common = each.withColumn("rows", F.count("*").over(Window.partitionBy("x"))).filter("rows > 1")
     rows = common.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "x"))).alias("by")).filter(F.size("by") >= _enough(F.col("n")))
@@ -124,30 +146,42 @@ def _sizes_fit(a: str, b: str) -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
+def _grown(comps: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components with further links: only what the links join is worked out anew."""
+    if comps is None:
+        return components(new)
+    known = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+    both = new.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(both).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    nodes = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct().join(comps, "node", "left_anti")
+    every = comps.unionByName(nodes.withColumn("comp", F.col("node")))
+    return store(every.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+
+
 def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """(node, comp) of all rows that are linked to others: steps 4 and 5."""
-    links = None
     comps = None
     for turn in range(TURNS + 1):
         now = columns.withColumn("comp", F.col("node")) if comps is None else columns.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         now = store(now.select("x", "node", "n", "comp"), "turn")
         rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("comp").alias("comp"))
-        heads = now.groupBy("x").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(rank).alias("head"))
-        heads = store(heads.filter("low != high").select("x", "rows", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"), F.col("head.comp").alias("head_comp")), "heads")
+        by_comp = now.groupBy("x", "comp").agg(F.count("*").alias("n"), F.min(rank).alias("head"))
+        heads = by_comp.groupBy("x").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.min("head").alias("head")).filter("comps > 1")
+        few = F.col("rows") - F.col("main.n") <= STRAYS
+        short = (F.col("rows") <= min(LONG, SHORT * GROWTH**turn)) | few if turn < TURNS else F.lit(True)
+        heads = store(heads.select("x", short.alias("short"), F.col("main.comp").alias("main"), F.col("head.node").alias("head"), F.col("head.n").alias("head_n"), F.col("head.comp").alias("head_comp")), "heads")
         if heads.isEmpty():
             break
-        short = F.col("rows") <= min(LONG, SHORT * GROWTH**turn) if turn < TURNS else F.lit(True)
-        long_ = now.join(heads.filter(~short), "x").filter("comp != head_comp").filter(_sizes_fit("n", "head_n"))
+        long_ = now.join(heads.filter("not short"), "x").filter("comp != head_comp").filter(_sizes_fit("n", "head_n"))
         pairs = long_.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
-        small = now.join(heads.filter(short).select("x"), "x")
-        other = small.select("x", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        all_ = small.join(other, "x").filter("node < node2 and comp != comp2").filter(_sizes_fit("n", "n2"))
-        pairs = pairs.unionByName(all_.select(F.col("node").alias("a"), F.col("node2").alias("b"))).distinct()
+        # of two rows in different components, one at least is outside the column's main one
+        stray = now.join(heads.filter("short").select("x", "main"), "x").filter("comp != main").select("x", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+        met = now.join(stray, "x").filter("comp != comp2").filter(_sizes_fit("n", "n2"))
+        pairs = pairs.unionByName(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
         new = store(_linked(pairs, rows), "links")
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            comps = components(links)
-        columns = now.join(heads.filter(~short).select("x", "head"), "x").filter("node != head").select("x", "node", "n")
+            comps = _grown(comps, new)
+        columns = now.join(heads.filter("not short").select("x", "head"), "x").filter("node != head").select("x", "node", "n")
     if comps is None:
         return rows.select("node", F.col("node").alias("comp")).limit(0)
     return comps
@@ -155,8 +189,8 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
-    first = first_columns(docs, size, id_col, text_col)
-    comps = link(*blocks(docs, first, size, id_col, text_col))
+    first = sizes(docs, size, id_col, text_col)
+    comps = link(*blocks(docs, size, text_col))
     own = first.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = own.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
