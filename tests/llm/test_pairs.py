@@ -128,6 +128,22 @@ def test_repeats_finds_all_equal_passages_and_no_more(spark):
     assert len(alone) > 20 and all(got[i]["class_id"] == i for i in alone)
 
 
+def test_passages_meet_around_a_line_that_many_texts_hold(spark):
+    rng = random.Random(11)
+    say = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    line = say(40)
+    docs = [say(30) + line + say(30) for _ in range(60)]
+    pairs = []
+    for _ in range(30):
+        tail = line + say(10)
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [say(20) + tail + say(20), say(33) + tail + say(7)]
+    got = {r["doc_id"]: r for r in substrings.repeats(spark.createDataFrame([(i, " ".join(d), "en", 7) for i, d in enumerate(docs)], SCHEMA)).collect()}
+    missed = [(a, b) for a, b in pairs if got[a]["class_id"] != a or got[b]["class_id"] != a or got[a]["n_repeated"] < 50 or got[b]["n_repeated"] < 50]
+    assert not missed
+    assert all(got[i]["n_repeated"] == 0 for i in range(60))
+
+
 def windows(w):
     return [frozenset(tuple(w[k + i : k + i + 5]) for i in range(46)) for k in range(len(w) - 49)]
 
