@@ -11,7 +11,9 @@ among the names of that gender and script. So equal entities get equal
 surrogates in all documents, different ones get different ones, and a shape
 survives. Checks over all entities of the input then find surrogates that fall
 on an entity which really occurs, on themselves, or on each other; these are
-drawn anew until none is left.
+drawn anew until none is left. What finds nothing free in its own shape after a
+number of turns, as others fill it, is drawn from wider ones, with more letters
+or digits of the kind of its last one.
 
 Cases: a null text stays null, with no entities; overlapping finds are settled
 in favour of the earlier, then the longer one; repeated rows are replaced alike;
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from siltstone.shared import store
 
 BROADCAST_ROWS = 200_000
-TRIES = 16
+TRIES = 16  # turns within a value's own shape
+WIDER = 4  # turns before a shape gets one more letter
 
 # Forms of address, with the gender they tell.
 ADDRESS = {"Mr": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "M": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mademoiselle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "господин": "m", "госпожа": "f", "Dr": "n", "Prof": "n"}
@@ -129,6 +132,15 @@ def reshape(value: str, classes: dict[str, str], secret: str, *parts: str) -> st
     return "".join(reversed(out))
 
 
+def _wider(value: str, classes: dict[str, str], turn: int) -> str:
+    """``value``, from turn TRIES on with more letters like its last one after that."""
+    if turn < TRIES:
+        return value
+    at = max((i + 1 for i, c in enumerate(value) if c in classes), default=len(value))
+    more = value[at - 1] if at and value[at - 1] in classes else "a"
+    return value[:at] + more * (1 + (turn - TRIES) // WIDER) + value[at:]
+
+
 def _name(part: str, gender: str, secret: str, turn: str, first: bool) -> str:
     known = _KNOWN.get(part)
     if first and known and gender in ("n", known[1]):
@@ -143,6 +155,7 @@ def surrogate(kind: str, value: str, secret: str, turn: int = 0) -> str:
     t = str(turn)
     if kind == "email":
         local, _, domain = value.rpartition("@")
+        local = _wider(local, _CLASS, turn)
         host, dot, top = domain.rpartition(".")  # a domain keeps its ending, and meets others only as its original does
         return f"{reshape(local, _CLASS, secret, 'local', t)}@{reshape(host, _CLASS, secret, 'domain')}{dot}{top}"
     if kind == "ip":
@@ -152,13 +165,14 @@ def surrogate(kind: str, value: str, secret: str, turn: int = 0) -> str:
     if kind == "secret":
         head = 4 if value.startswith("AKIA") else 0
         classes = _HEX if re.fullmatch(r"[0-9a-f]+", value) else _CLASS
-        return value[:head] + reshape(value[head:], classes, secret, "secret", t)
+        return value[:head] + reshape(_wider(value[head:], classes, turn), classes, secret, "secret", t)
     if kind == "iban":
-        return value[:2] + reshape(value[2:], _CLASS, secret, "iban", t)
+        return value[:2] + reshape(_wider(value[2:], _CLASS, turn), _CLASS, secret, "iban", t)
     if kind.startswith("name/"):
         parts = re.split(r"([ -])", value)
+        parts[-1] = _wider(parts[-1], _SOUND, turn)
         return "".join(p if i % 2 else _name(p, kind[5:], secret, t, i == 0 and len(parts) > 1) for i, p in enumerate(parts))
-    return reshape(value, _CLASS, secret, kind, t)
+    return reshape(_wider(value, _CLASS, turn), _CLASS, secret, kind, t)
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -185,7 +199,7 @@ def overrides(found: DataFrame, secret: str) -> DataFrame:
     now = store(found.withColumn("turn", F.lit(0)).mapInArrow(drawn, schema), "drawn")
     moved = None
     family = F.substring_index("kind", "/", 1)
-    for _ in range(TRIES):
+    while True:  # ends, as shapes widen
         taken = found.select(family.alias("family"), F.col("value").alias("drawn")).distinct().withColumn("real", F.lit(True))
         held = now.withColumn("family", family).groupBy("family", "drawn").agg(F.min(F.struct("turn", "kind", "value")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
         marked = now.withColumn("family", family).join(taken, ["family", "drawn"], "left").join(held.select("family", "drawn", "owner"), ["family", "drawn"], "left")
@@ -197,8 +211,6 @@ def overrides(found: DataFrame, secret: str) -> DataFrame:
         moved = again if moved is None else moved.join(again, ["kind", "value"], "left_anti").unionByName(again)
         kept = now.join(again, ["kind", "value"], "left_anti")
         now = store(kept.unionByName(again.mapInArrow(drawn, schema)), "drawn")
-    else:
-        raise RuntimeError("an entity's shape has too few other values for distinct surrogates")
     return store(moved, "overrides") if moved is not None else found.select("kind", "value", F.lit(0).alias("turn")).limit(0)
 
 

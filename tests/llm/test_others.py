@@ -189,6 +189,17 @@ def test_collisions_are_settled_also_when_they_are_too_many_to_send(spark, monke
     assert len({r["text"] for r in told}) == 12 and not {r["text"] for r in told} & {t for _, t in names}
 
 
+def test_full_shapes_give_way_to_wider_ones(spark):
+    """Three of five values of a shape are real, so that two only are free; and all five are."""
+    for names in ("AEI", "AEIOU"):
+        rows = [(i, f"Mr {c}") for i, c in enumerate(names)]
+        got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+        assert len(set(got.values())) == len(rows) and not set(got.values()) & {t for _, t in rows}
+        assert all(re.fullmatch(r"Mr [AEIOU]+", t) for t in got.values())
+        again = surrogates.pseudonymise(spark.createDataFrame(rows[::-1], "doc_id long, text string"), "key").collect()
+        assert {r["doc_id"]: r["text"] for r in again} == got
+
+
 def test_permute_is_a_bijection():
     for n in (2, 10, 26 * 26, 1000):
         assert sorted(surrogates._permute(i, n, hashlib.sha256(b"k").digest()) for i in range(n)) == list(range(n))
