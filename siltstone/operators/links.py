@@ -49,26 +49,39 @@ def extract(docs: DataFrame) -> DataFrame:
     )
 
 
-def merge(candidates: DataFrame, order: list[Column]) -> DataFrame:
-    """One row for each URL: the best title, the category that most mentions voted
-    for, and the distinct mentions. ``order`` ranks candidates; the first wins ties.
-
-    Votes and titles are aggregates of struct maximums with partial aggregation;
-    only the mentions themselves are gathered, as they are the result.
+def resources(candidates: DataFrame, order: list[Column]) -> DataFrame:
+    """One row for each URL: id, url, title (the best), domain, category (which most
+    mentions voted for), n_mentions (distinct ones) and first_document. ``order``
+    ranks candidates; the first wins ties. All are aggregates that combine before
+    they shuffle; no URL's mentions are gathered.
     """
-    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    ranked = candidates.withColumn("place", place)
+    ranked = candidates.withColumn("place", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
     votes = ranked.groupBy("url", "category").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     # least of (-votes, first seen) wins
     category = votes.groupBy("url").agg(F.min_by("category", F.struct(-F.col("n"), "first")).alias("category"))
     best = ranked.groupBy("url").agg(
         F.min("id").alias("id"), F.min("domain").alias("domain"), F.min_by("title", F.struct(-urls.title_quality(F.col("title"), F.col("domain")), "place")).alias("title")
     )
+    told = mentions(candidates, order).groupBy("url").agg(F.count("*").alias("n_mentions"), F.min(F.struct("place", "documentId")).alias("first"))
+    return best.join(category, "url").join(told, "url").select("id", "url", "title", "domain", "category", "n_mentions", F.col("first.documentId").alias("first_document"))
+
+
+def mentions(candidates: DataFrame, order: list[Column]) -> DataFrame:
+    """One row for each document and context that mention a URL: url, place,
+    documentId, documentTitle, documentUrl, context."""
+    ranked = candidates.withColumn("place", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
     told = ranked.groupBy("url", "documentId", "context").agg(F.min(F.struct("place", "documentTitle", "documentUrl")).alias("m"))
-    mention = F.struct(F.col("m.place").alias("place"), "documentId", F.col("m.documentTitle").alias("documentTitle"), F.col("m.documentUrl").alias("documentUrl"), "context")
-    mentions = told.groupBy("url").agg(F.array_sort(F.collect_list(mention)).alias("mentions"))
+    return told.select("url", "m.place", "documentId", "m.documentTitle", "m.documentUrl", "context")
+
+
+def merge(candidates: DataFrame, order: list[Column]) -> DataFrame:
+    """``resources`` with the distinct mentions nested in one array for each URL, for
+    callers that want them so; the array is as long as the URL has mentions."""
+    each = mentions(candidates, order)
+    mention = F.struct("place", "documentId", "documentTitle", "documentUrl", "context")
+    nested = each.groupBy("url").agg(F.array_sort(F.collect_list(mention)).alias("mentions"))
     plain = F.transform("mentions", lambda m: F.struct(m["documentId"].alias("documentId"), m["documentTitle"].alias("documentTitle"), m["documentUrl"].alias("documentUrl"), m["context"].alias("context")))
-    return best.join(category, "url").join(mentions, "url").select("id", "url", F.col("url").alias("normalizedUrl"), "title", "domain", "category", plain.alias("mentions"))
+    return resources(candidates, order).join(nested, "url").select("id", "url", F.col("url").alias("normalizedUrl"), "title", "domain", "category", plain.alias("mentions"))
 
 
 def numeric_key(text: Column) -> Column:
@@ -105,6 +118,16 @@ def filtered(resources: DataFrame, category: str | None, said: str) -> DataFrame
     return out if category is None else out.filter(F.col("category") == category)
 
 
+def matching(resources: DataFrame, mentions: DataFrame, category: str | None, said: str) -> DataFrame:
+    """As ``filtered``, with mentions as rows: free text is looked for in a resource's
+    title, domain and category, or in any mention's title and context."""
+    want = F.lit(said.strip().lower())
+    has = lambda *names: F.contains(F.lower(F.concat_ws(" ", *names)), want)
+    some = resources if category is None else resources.filter(F.col("category") == category)
+    hits = mentions.filter(has("documentTitle", "context")).select("url").distinct().withColumn("__hit", F.lit(True))
+    return some.join(hits, "url", "left").filter(has("title", "domain", "category") | F.col("__hit").isNotNull()).select(*some.columns)
+
+
 def repaired(resources: DataFrame, root_url: str) -> DataFrame:
     """Stored resources with canonical URLs: invalid ones go, those that become one
     are merged, mentions are told apart by document and context."""

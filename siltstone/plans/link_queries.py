@@ -46,20 +46,18 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resource_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each link target: title, category by vote, number of mentions."""
     found = links.extract(_inputs(spark, sf_dir))
-    merged = links.merge(found, [F.col("documentId").cast("long"), F.col("pos")])
-    return merged.select("id", "url", "title", "domain", "category", F.size("mentions").cast("long").alias("n_mentions"), F.element_at("mentions", 1)["documentId"].alias("first_document"))
+    return links.resources(found, [F.col("documentId").cast("long"), F.col("pos")])
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources in every category, also in empty ones."""
-    merged = links.merge(links.extract(_inputs(spark, sf_dir)), [F.col("documentId").cast("long"), F.col("pos")])
-    return links.category_counts(merged)
+    return links.category_counts(links.resources(links.extract(_inputs(spark, sf_dir)), [F.col("documentId").cast("long"), F.col("pos")]))
 
 
 def resource_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources of a category that mention a text."""
-    merged = links.merge(links.extract(_inputs(spark, sf_dir)), [F.col("documentId").cast("long"), F.col("pos")])
-    return links.filtered(merged, "Skill / 知识库 / 工作流", " COURSE 3").select("id", "url", "title")
+    found, order = links.extract(_inputs(spark, sf_dir)), [F.col("documentId").cast("long"), F.col("pos")]
+    return links.matching(links.resources(found, order), links.mentions(found, order), "Skill / 知识库 / 工作流", " COURSE 3").select("id", "url", "title")
 
 
 def parent_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

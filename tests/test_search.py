@@ -2,10 +2,12 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokenize
 from siltstone.operators import chunking, conversations, links, reports, search, sync
+from siltstone.plans import link_queries
 from siltstone.sources import snapshot
 from siltstone.streaming import rate_limit
 
@@ -102,6 +104,26 @@ def test_links_of_a_line(spark):
     assert got["https://g.h/i"]["title"] == "Label" and len(got["https://d.e/f"]["id"]) == 16
 
 
+def test_resources_without_gathered_mentions(spark):
+    rows = [("i", "https://a.b/x", "Some title", "a.b", "A", str(d), f"Doc {d}", "https://d/", f"context {c}", d) for d in range(50) for c in (d % 2, d % 2, 5)]
+    rows += [("j", "https://a.b/y", "Other", "a.b", "B", "7", "Doc 7", "https://d/", "nothing", 1)]
+    df = spark.createDataFrame(rows, "id string, url string, title string, domain string, category string, documentId string, documentTitle string, documentUrl string, context string, pos int")
+    order = [F.col("pos")]
+    found, nested = links.resources(df, order), links.merge(df, order)
+    want = {(r["url"], r["title"], r["category"], len(r["mentions"]), r["mentions"][0]["documentId"]) for r in nested.collect()}
+    assert {(r["url"], r["title"], r["category"], r["n_mentions"], r["first_document"]) for r in found.collect()} == want
+    assert {w[3] for w in want} == {100, 1}
+    for category, said in (("A", " CONTEXT 1"), (None, "doc 49"), ("B", "context"), (None, "other"), (None, "A.B"), (None, "no such")):
+        told = {r["url"] for r in links.matching(found, links.mentions(df, order), category, said).collect()}
+        assert told == {r["url"] for r in links.filtered(nested, category, said).collect()}
+
+
+@pytest.mark.parametrize("name", ["resource_merge", "category_counts", "resource_filter"])
+def test_registered_link_queries_gather_no_mentions(spark, name):
+    plan = link_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_merge_votes_and_titles(spark):
     rows = [("u", "h", "h", "B", "1", 0), ("u", "Long title", "h", "A", "2", 1), ("u", "Other tops", "h", "A", "2", 2), ("u", "x", "h", "B", "3", 3)]
     df = spark.createDataFrame([(f"id-{u}", u, t, d, c, doc, "T", "du", "ctx", p) for u, t, d, c, doc, p in rows], "id string, url string, title string, domain string, category string, documentId string, documentTitle string, documentUrl string, context string, pos int")
