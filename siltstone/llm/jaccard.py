@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of documents by word shingles.
 
 The documents are the rows of a sparse incidence matrix, shingles its columns.
-Its product with its transpose counts overlaps; the join needs only those
-entries that can reach the threshold, so the product is taken in blocks:
+Its product with its transpose counts overlaps. The join needs only the entries
+that can reach the threshold, and of these only enough to join the classes, so
+the product is masked and taken in blocks:
 
 1. Documents with equal shingle sets become one row (copies need no pairs).
 2. Size bound: a row of n shingles shares all but n/4 with any partner. So
@@ -12,16 +13,19 @@ entries that can reach the threshold, so the product is taken in blocks:
    dropped, rows with too few shared columns go, and the rest of a row is
    ordered from the rarest column on; its first n/4 + 1 columns (those of one
    row only count) hold at least one that any partner has there as well.
-4. Each such column is a block of the product; of columns with the same rows
-   one is kept. A short column multiplies all its rows; a long one only its
-   first row with all others, and what this joins needs no further product.
-   Rows that stay apart are tried again without that first row. Longer columns
-   count as short then, and so do columns with few rows outside their largest
-   component, which alone are multiplied with the others. This goes on until
-   nothing is left: no pair that could be linked is given up, and none within a
-   component is enumerated.
-5. Candidate pairs that pass the bound on sizes get their overlap counted over
-   their whole rows.
+4. The mask: a pair is an entry to be counted if one of the two is the head of
+   a column that both have there. Heads are the rows whose columns are the most
+   common, as the original of a family of near copies is. First each row meets
+   only the best of all its heads, which gathers such families; then every
+   column's head meets the rows of other components in it and leaves. Columns
+   of few rows are multiplied whole, and longer ones go on with twice as many
+   heads each turn, until no column holds two components: no pair that could be
+   linked is given up, and none within a component is formed.
+5. Size-derived bounds discard entries before they are counted: by the sizes of
+   both rows, and by the places of the column at which they met, as all other
+   common columns come before it in both rows or after it in both.
+6. The product: rows are cut into blocks of columns; for each block and entry a
+   partial overlap count is made, and partial counts are added up.
 
 Hashes have 64 bits. Cases: null and empty texts have no shingles and stand
 alone; a text of fewer than five words has one; repeated rows are copies; a
@@ -42,13 +46,18 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
 from siltstone.llm.text import SHINGLE, mix, shingle_hashes, utf8, words
-from siltstone.shared import store
+from siltstone.shared import discard, store
 
 EXTRA = 10  # l of step 2: a tenth of the row
-SHORT, GROWTH, LONG = 8, 4, 512  # rows of a column that are all multiplied with each other: at first, more with each turn, and at most
-STRAYS = 64  # rows outside a column's largest component that are multiplied with all of it
+SHORT = 6  # rows of a column that is multiplied whole
+COLUMN_BLOCKS = 8
 FLAGS = 1 << 24  # bits of the map of rows that go on to step 3: 2 MB, whatever the input
-TURNS = 12  # of step 4; what is left then is multiplied in full
+BROADCAST_ROWS = 200_000  # rows of two ids
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a stored table of ids, if its checked count allows it."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -64,28 +73,59 @@ def _row(text: bytes | None, size: int) -> tuple[np.ndarray, int | None]:
 
 
 def sizes(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored (doc_id, n, node): each row's set size, and the name of its set."""
+    """Stored (doc_id, n, node, first): each row's set size, the name of its set and
+    its first columns of step 2, once for equal sets of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_row(t, size) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r, _ in rows], type=pa.int32()), pa.array([k for _, k in rows], type=pa.int64())], names=["doc_id", "n", "node"])
+            names, sizes, firsts, seen = [], [], [], set()
+            for text in utf8(batch.column(1)):
+                row, node = _row(text, size)
+                names.append(node)
+                sizes.append(len(row))
+                firsts.append(row[:0] if node in seen else row[: len(row) // 4 + max(1, len(row) // EXTRA)])
+                seen.add(node)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(names, type=pa.int64()), _lists(firsts)], names=["doc_id", "n", "node", "first"])
 
-    return store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n int, node long"), "shingles")
+    return store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n int, node long, first array<long>"), "shingles")
 
 
-def _incidence(docs: DataFrame, size: int, text_col: str, first: bool, flags: np.ndarray | None = None) -> DataFrame:
-    """(node, n, row) of every set once: all its columns, or only the first of step
-    2. Texts are read again rather than stored; flags leave out most sets that are
-    not wanted before anything is shuffled."""
+def _met(known: DataFrame) -> DataFrame:
+    """(x, node, n, mine, told): the first columns of all sets. Entries of a column
+    that several sets of a batch have are added up there: their sets' rows (x null)
+    carry the number of them, and one told entry tells other batches of the column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, k) for r, k in (_row(t, size) for t in utf8(batch.column(0))) if k is not None and (flags is None or _flagged(flags, k))]
-            cols = [r[: len(r) // 4 + max(1, len(r) // EXTRA)] if first else r for r, _ in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in rows], type=pa.int64()), pa.array([len(r) for r, _ in rows], type=pa.int32()), _lists(cols)], names=["node", "n", "row"])
-
-    return docs.select(text_col).mapInArrow(run, "node long, n int, row array<long>").dropDuplicates(["node"])
+            lists = batch.column(2)
+            lengths = np.diff(lists.offsets.to_numpy())
+            x = lists.flatten().to_numpy(zero_copy_only=False)
+            node = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths)
+            n = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)
+            if not len(x):
+                continue
+            order = np.argsort(x, kind="stable")
+            same = np.r_[False, x[order][1:] == x[order][:-1]]
+            twice = same | np.r_[same[1:], False]
+            here = np.zeros(len(x), dtype=bool)
+            here[order] = twice
+            told = order[twice & ~same]
+            names, at, times = np.unique(node[here], return_index=True, return_counts=True)
+            alone = np.flatnonzero(~here)
+            cols = np.concatenate([x[alone], x[told], np.zeros(len(names), dtype=np.int64)])
+            none = np.r_[np.zeros(len(alone) + len(told), dtype=bool), np.ones(len(names), dtype=bool)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(cols, mask=none),
+                    pa.array(np.concatenate([node[alone], node[told], names])),
+                    pa.array(np.concatenate([n[alone], n[told], n[here][at]]).astype(np.int32)),
+                    pa.array(np.concatenate([np.ones(len(alone)), np.zeros(len(told)), times]).astype(np.int32)),
+                    pa.array(np.r_[np.zeros(len(alone), dtype=bool), np.ones(len(told), dtype=bool), np.zeros(len(names), dtype=bool)]),
+                ],
+                names=["x", "node", "n", "mine", "told"],
+            )
+
+    return known.filter("size(first) > 0").select("n", "node", "first").mapInArrow(run, "x long, node long, n int, mine int, told boolean")
 
 
 def _flagged(flags: np.ndarray, node: int) -> bool:
@@ -108,42 +148,76 @@ def _flags(nodes: DataFrame) -> np.ndarray:
     return total
 
 
+def _full(docs: DataFrame, size: int, text_col: str, flags: np.ndarray) -> DataFrame:
+    """(node, n, row) of every flagged set once. Texts are read again rather than stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seen = [], set()
+            for text in utf8(batch.column(0)):
+                row, node = _row(text, size)
+                if node is not None and node not in seen and _flagged(flags, node):
+                    rows.append((row, node))
+                seen.add(node)
+            yield pa.RecordBatch.from_arrays([pa.array([k for _, k in rows], type=pa.int64()), pa.array([len(r) for r, _ in rows], type=pa.int32()), _lists([r for r, _ in rows])], names=["node", "n", "row"])
+
+    return docs.select(text_col).mapInArrow(run, "node long, n int, row array<long>").dropDuplicates(["node"])
+
+
 def _enough(n: Column) -> Column:
     """ceil(3n/4): the least overlap of a row of n shingles with a partner."""
     return F.floor((3 * n + 3) / 4)
 
 
-def blocks(docs: DataFrame, size: int, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Steps 2 and 3: stored rows (node, n, row: its shared columns) and columns (x, node, n)."""
-    met = _incidence(docs, size, text_col, first=True).select("node", F.explode("row").alias("x"), "n")
-    shared = met.withColumn("rows", F.count("*").over(Window.partitionBy("x"))).filter("rows > 1")
+def blocks(docs: DataFrame, known: DataFrame, size: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Steps 2 and 3: stored rows (node, n, parts: shared columns by block) and
+    columns (x, node, n, at, size, common: how common the row's columns are)."""
+    met = _met(known)
+    # at most one entry from each batch for a column, however common it is
+    column = Window.partitionBy("x")
+    entries = met.filter("x is not null").withColumns({"low": F.min("node").over(column), "high": F.max("node").over(column), "common": F.max("told").over(column)})
+    entries = entries.filter("not told and (common or low != high)")
+    found = entries.select("node", "n", "mine").unionByName(met.filter("x is null").select("node", "n", "mine"))
     least = F.greatest(F.lit(1), F.floor(_enough(F.col("n")) / EXTRA))
-    some = store(shared.groupBy("node", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("node"), "some")
-    full = _incidence(docs, size, text_col, first=False, flags=_flags(some)).join(some, "node", "left_semi")
-    each = full.select("node", "n", F.explode("row").alias("x"))
-    common = each.withColumn("rows", F.count("*").over(Window.partitionBy("x"))).filter("rows > 1")
-    rows = common.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "x"))).alias("by")).filter(F.size("by") >= _enough(F.col("n")))
+    some = store(found.groupBy("node", "n").agg(F.sum("mine").alias("c")).filter(F.col("c") >= least).select("node"), "some")
+    full = store(_full(docs, size, text_col, _flags(some)).join(some, "node", "left_semi"), "full")
+    discard(some)
+    counts = full.select(F.explode("row").alias("x")).groupBy("x").agg(F.count("*").alias("rows")).filter("rows > 1")
+    common = full.select("node", "n", F.explode("row").alias("x")).join(counts, "x")
+    by = common.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "x"))).alias("by"), F.sum("rows").alias("total")).filter(F.size("by") >= _enough(F.col("n")))
     # of the first n/4 + 1 columns, those that no other row has come first
-    front = F.floor(F.col("n") / 4) + 1 - (F.col("n") - F.size("by"))
-    rows = store(rows.select("node", "n", F.transform("by", lambda b: b["x"]).alias("row"), front.cast("int").alias("front")), "incidence")
-    columns = rows.filter("front > 0").select("node", "n", F.explode(F.slice("row", 1, F.col("front"))).alias("x"))
+    front = F.greatest(F.lit(0), F.floor(F.col("n") / 4) + 1 - (F.col("n") - F.size("by"))).cast("int")
+    x = F.transform("by", lambda b: b["x"])
+    parts = F.transform(F.sequence(F.lit(0), F.lit(COLUMN_BLOCKS - 1)), lambda k: F.filter("x", lambda v: F.pmod(v, F.lit(COLUMN_BLOCKS)) == k))
+    rows = by.select("node", "n", F.size("by").alias("size"), (F.col("total") / F.col("n")).alias("common"), front.alias("front"), x.alias("x"))
+    rows = store(rows.select("node", "n", "size", "common", F.slice("x", 1, F.col("front")).alias("first"), parts.alias("parts")), "incidence")
+    discard(full)
+    columns = rows.select("node", "n", "size", "common", F.posexplode("first").alias("at", "x"))
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
     alike = columns.groupBy("x").agg(F.count("*").alias("rows"), mark(0).alias("m0"), mark(1).alias("m1")).filter("rows > 1")
     kept = alike.groupBy("rows", "m0", "m1").agg(F.min("x").alias("x"))
-    return rows.select("node", "n", "row"), store(columns.join(kept, "x", "left_semi"), "columns")
+    return rows.select("node", "n", "parts"), store(columns.join(kept.select("x"), "x", "left_semi"), "columns")
+
+
+def _overlap_needed(a: Column, b: Column) -> Column:
+    """The least overlap of linked rows of these sizes: 100 o >= 75 (a + b - o)."""
+    return F.floor((3 * (a + b) + 6) / 7)
 
 
-def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose overlap reaches three quarters of the union."""
-    left = rows.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("row").alias("ra"))
-    right = rows.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("row").alias("rb"))
-    overlap = F.size(F.array_intersect("ra", "rb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("o", overlap)
-    return both.filter(100 * F.col("o") >= 75 * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+def _possible(one: str, two: str) -> Column:
+    """Step 5 for two rows (structs with n, at, size) that have a column in common."""
+    n = lambda f: (F.col(f"{one}.{f}"), F.col(f"{two}.{f}"))
+    (na, nb), (ia, ib), (sa, sb) = n("n"), n("at"), n("size")
+    most = F.least(ia, ib) + 1 + F.least(sa - 1 - ia, sb - 1 - ib)
+    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (most >= _overlap_needed(na, nb))
 
 
-def _sizes_fit(a: str, b: str) -> Column:
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+def counted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Step 6: the stored pairs (a, b, need) whose overlap is at least ``need``."""
+    some = rows.join(_small(pairs).withColumnRenamed("b", "node"), "node").select("a", F.col("node").alias("b"), "need", F.posexplode("parts").alias("block", "xb"))
+    heads = rows.join(_small(store(pairs.select(F.col("a").alias("node")).distinct(), "heads")), "node", "left_semi").select(F.col("node").alias("a"), F.posexplode("parts").alias("block", "xa"))
+    partial = some.join(heads, ["a", "block"]).select("a", "b", "need", F.size(F.array_intersect("xa", "xb")).alias("o"))
+    return store(partial.groupBy("a", "b", "need").agg(F.sum("o").alias("o")).filter("o >= need").select("a", "b"), "links")
 
 
 def _grown(comps: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -159,29 +233,45 @@ def _grown(comps: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """(node, comp) of all rows that are linked to others: steps 4 and 5."""
-    comps = None
-    for turn in range(TURNS + 1):
+    """(node, comp) of all rows that are linked to others: steps 4 to 6."""
+    own = F.struct("common", "node", "n", "at", "size")
+    need = _overlap_needed(F.col("n"), F.col("head.n")).alias("need")
+    pair = (F.col("head.node").alias("a"), F.col("node").alias("b"), need)
+    # each row and the best of its heads
+    heads = columns.groupBy("x").agg(F.max(own).alias("head"))
+    met = columns.join(heads, "x").withColumn("own", own).filter((F.col("node") != F.col("head.node")) & _possible("own", "head"))
+    best = met.groupBy("node", "n").agg(F.max("head").alias("head")).select(*pair)
+    tried = store(best, "pairs")
+    links = counted(tried, rows)
+    comps = None if links.isEmpty() else _grown(None, links)
+    turn = 0
+    while True:
+        turn += 1
         now = columns.withColumn("comp", F.col("node")) if comps is None else columns.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = store(now.select("x", "node", "n", "comp"), "turn")
-        rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("comp").alias("comp"))
-        by_comp = now.groupBy("x", "comp").agg(F.count("*").alias("n"), F.min(rank).alias("head"))
-        heads = by_comp.groupBy("x").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.min("head").alias("head")).filter("comps > 1")
-        few = F.col("rows") - F.col("main.n") <= STRAYS
-        short = (F.col("rows") <= min(LONG, SHORT * GROWTH**turn)) | few if turn < TURNS else F.lit(True)
-        heads = store(heads.select("x", short.alias("short"), F.col("main.comp").alias("main"), F.col("head.node").alias("head"), F.col("head.n").alias("head_n"), F.col("head.comp").alias("head_comp")), "heads")
-        if heads.isEmpty():
+        now = store(now.select("x", "node", "n", "at", "size", "common", "comp"), "turn")
+        own = F.struct("common", "node", "n", "at", "size", "comp")
+        by_comp = now.groupBy("x", "comp").agg(F.count("*").alias("n"), F.max(own).alias("head"))
+        live = store(by_comp.groupBy("x").agg(F.sum("n").alias("rows"), F.count("*").alias("comps"), F.max("head").alias("head")).filter("comps > 1").select("x", "rows", "head"), "live")
+        if live.isEmpty():
+            discard(now, live)
             break
-        long_ = now.join(heads.filter("not short"), "x").filter("comp != head_comp").filter(_sizes_fit("n", "head_n"))
-        pairs = long_.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
-        # of two rows in different components, one at least is outside the column's main one
-        stray = now.join(heads.filter("short").select("x", "main"), "x").filter("comp != main").select("x", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        met = now.join(stray, "x").filter("comp != comp2").filter(_sizes_fit("n", "n2"))
-        pairs = pairs.unionByName(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
-        new = store(_linked(pairs, rows), "links")
-        if not new.isEmpty():
-            comps = _grown(comps, new)
-        columns = now.join(heads.filter("not short").select("x", "head"), "x").filter("node != head").select("x", "node", "n")
+        if turn == 1:
+            heads = live.select("x", "head")
+            left = now.join(live, "x").filter(F.col("node") != F.col("head.node"))
+        else:
+            lane = F.when(F.col("rows") <= SHORT, F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << min(turn - 2, 40))))
+            heads = store(now.join(live.select("x", "rows"), "x").groupBy("x", lane.alias("lane")).agg(F.max(own).alias("head")).select("x", "head"), "heads")
+            left = now.join(live.filter(F.col("rows") > SHORT).select("x"), "x", "left_semi").join(heads.select("x", F.col("head.node").alias("node")), ["x", "node"], "left_anti")
+        met = now.join(heads, "x").withColumn("own", own).filter((F.col("comp") != F.col("head.comp")) & _possible("own", "head"))
+        pairs = met.select(F.least("node", "head.node").alias("b"), F.greatest("node", "head.node").alias("a"), need).distinct()
+        before = tried.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
+        pairs = store(pairs.join(before, ["a", "b"], "left_anti").select("a", "b", "need"), "pairs")
+        links = counted(pairs, rows)
+        if not links.isEmpty():
+            comps = _grown(comps, links)
+        tried = tried.unionByName(pairs)
+        columns = store(left.select("x", "node", "n", "at", "size", "common"), "columns")
+        discard(now, live)
     if comps is None:
         return rows.select("node", F.col("node").alias("comp")).limit(0)
     return comps
@@ -190,7 +280,7 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
 def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     first = sizes(docs, size, id_col, text_col)
-    comps = link(*blocks(docs, size, text_col))
+    comps = link(*blocks(docs, first, size, text_col))
     own = first.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = own.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -70,7 +70,6 @@ def test_jaccard_join_equals_brute_force(spark, seed):
 
 def test_jaccard_long_columns_take_several_turns(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT", 1)
-    monkeypatch.setattr(jaccard, "LONG", 2)
     rows = made(3)
     assert {tuple(r) for r in jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
 
