@@ -13,24 +13,76 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN = "siltstone"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can read and write."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "siltstone-checkpoints")
 
 
+class Stored(list):
+    """The paths of tables that were stored while it was the innermost open one."""
+
+
+_open: list[Stored] = []
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage
     that survives lost executors and, unlike a cache, costs no executor memory."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_OWN}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing will read again; others are left alone."""
+    for df in tables:
+        path = None if df is None else df.__dict__.get("stored_at")
+        if path is not None:
+            _delete(df.sparkSession, path)
+
+
+class stage_tables:
+    """Deletes what was stored inside an earlier use of the same object when it is
+    entered again, but for tables that ``docs`` still reads. For pipelines whose
+    stages return plans that are written before the next stage begins."""
+
+    def __init__(self) -> None:
+        self.paths = Stored()
+
+    def begin(self, docs: DataFrame) -> stage_tables:
+        read = docs.inputFiles() if self.paths else []
+        keep = Stored(p for p in self.paths if any(p.rsplit("/", 1)[-1] in f for f in read))
+        for p in self.paths:
+            if p not in keep:
+                _delete(docs.sparkSession, p)
+        self.paths = keep
+        return self
+
+    def __enter__(self) -> stage_tables:
+        _open.append(self.paths)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _open.remove(self.paths)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
