@@ -1,10 +1,10 @@
 """Connected components of a distributed graph by repeated contraction.
 
-In every round each node joins the neighbour (or itself) that comes first in an
-order drawn anew for the round; edges are carried over to what the nodes have
-become. A constant share of the nodes goes away in each round, on long chains
-and stars alike, so rounds grow with the logarithm of the graph. All steps are
-minimums and joins; no neighbourhood is ever gathered.
+In every round each node joins the one that comes first, in an order drawn anew
+for the round, among itself, its neighbours and theirs; edges are carried over
+to what the nodes have become. A star goes away in one round, and a constant
+share of any other graph, so rounds grow with the logarithm of the graph. All
+steps are minimums and joins; no neighbourhood is ever gathered.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         turn = F.lit(len(steps))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        seen = F.struct(F.xxhash64(turn, "b").alias("h"), F.col("b").alias("v"))
-        best = both.groupBy("a").agg(F.min(seen).alias("best"))
-        own = F.struct(F.xxhash64(turn, "a").alias("h"), F.col("a").alias("v"))
-        step = store(best.select(F.col("a").alias("node"), F.least(own, "best")["v"].alias("to")), "step")
+        rank = lambda v: F.struct(F.xxhash64(turn, v).alias("h"), F.col(v).alias("v"))
+        near = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near").alias("near"))
+        best = both.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("near").alias("best")).join(near, "a")
+        step = store(best.select(F.col("a").alias("node"), F.least("near", "best")["v"].alias("to")), "step")
         steps.append(step)
         moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         left = store(moved.filter("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")

@@ -13,10 +13,10 @@ Everything is DataFrame operations. Phrases and terms are broadcast only below
 a checked count; postings, candidates and texts are only ever joined by shuffle.
 
 Cases: a null text has no words; items without words are ignored; repeated
-documents give a row each; a document without id is compared with the candidates
-of all documents without id, which its own words then decide on; empty tables
-give no rows, or no hits; other columns are kept, those that clash with result
-columns are replaced.
+documents give a row each; documents with one id, or none, and different texts
+are told apart by a hash of both; empty tables give no rows, or no hits; other
+columns are kept, those that clash with result columns (whose names are a
+parameter) are replaced; names that begin with two underscores are ours.
 """
 
 from __future__ import annotations
@@ -69,8 +69,9 @@ def _by_rarity(found: DataFrame, terms: DataFrame, postings: DataFrame) -> DataF
     """phrase_id and its (n, offset, term_id), rarest first; phrases with a term
     that no document has are left out."""
     counts = postings.groupBy("term_id").agg(F.count("*").alias("n"))
+    rated = store(terms.join(counts, "term_id"), "terms")  # counts meet terms, not their occurrences in phrases
     each = found.select("phrase_id", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term"))
-    known = each.join(_small(terms), "term").join(counts, "term_id")
+    known = each.join(_small(rated), "term")
     ranked = known.groupBy("phrase_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term_id"))).alias("by"))
     return store(ranked.filter(F.size("by") == F.col("size")).select("phrase_id", "by"), "rarest")
 
@@ -92,16 +93,17 @@ def candidates(found: DataFrame, terms: DataFrame, postings: DataFrame) -> DataF
     return met.select("doc_id", *keys).unionByName(first.join(short, "phrase_id", "left_semi").select("doc_id", *keys))
 
 
-def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", names: tuple[str, str, str] = ("n_words", "n_hit", "items")) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside an occurrence of a window) and
-    items (ids of the items with occurring windows)."""
+    items (ids of the items with occurring windows), under these ``names``."""
+    base = docs.drop(*names)
+    keyed = base.withColumn("__id", F.xxhash64(F.col(id_col), F.col(text_col)))
     found = phrases(items, window, item_col)
     terms = search_terms(found)
-    postings = index(docs, terms, id_col, text_col)
+    postings = index(keyed, terms, "__id", text_col)
     near = candidates(found, terms, postings).join(_small(found), "phrase_id")
     by_doc = near.groupBy("doc_id").agg(F.collect_set(F.struct("start", "phrase", "items")).alias("__near")).withColumnRenamed("doc_id", "__doc")
-    base = docs.drop("n_words", "n_hit", "items")
-    both = base.join(by_doc, base[id_col].eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    both = keyed.join(by_doc, F.col("__id") == F.col("__doc"), "left").drop("__doc", "__id")
     both = both.withColumn("__words", words(F.col(text_col)))
     exact = F.filter("__near", lambda c: F.slice("__words", c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
     both = both.withColumn("__hits", F.array_sort(F.coalesce(exact, F.array().cast(both.schema["__near"].dataType))))
@@ -114,9 +116,9 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     )
     return both.select(
         *base.columns,
-        F.size("__words").cast("long").alias("n_words"),
-        covered.cast("long").alias("n_hit"),
-        F.array_distinct(F.flatten(F.transform("__hits", lambda c: c["items"]))).alias("items"),
+        F.size("__words").cast("long").alias(names[0]),
+        covered.cast("long").alias(names[1]),
+        F.array_distinct(F.flatten(F.transform("__hits", lambda c: c["items"]))).alias(names[2]),
     )
 
 

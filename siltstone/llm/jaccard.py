@@ -18,9 +18,10 @@ the product is masked and taken in blocks:
    common, as the original of a family of near copies is. First each row meets
    only the best of all its heads, which gathers such families; then every
    column's head meets the rows of other components in it and leaves. Columns
-   of few rows are multiplied whole, and longer ones go on with twice as many
-   heads each turn, until no column holds two components: no pair that could be
-   linked is given up, and none within a component is formed.
+   with few pairs of rows in different components are multiplied whole, and
+   others go on with twice as many heads each turn, until no column holds two
+   components: no pair that could be linked is given up, and none within a
+   component is formed.
 5. Size-derived bounds discard entries before they are counted: by the sizes of
    both rows, and by the places of the column at which they met, as all other
    common columns come before it in both rows or after it in both.
@@ -49,7 +50,7 @@ from siltstone.llm.text import SHINGLE, mix, shingle_hashes, utf8, words
 from siltstone.shared import discard, store
 
 EXTRA = 10  # l of step 2: a tenth of the row
-SHORT = 6  # rows of a column that is multiplied whole
+SHORT = 4  # a column with so many pairs a row is multiplied whole, as are all columns with so many a row together
 COLUMN_BLOCKS = 8
 FLAGS = 1 << 24  # bits of the map of rows that go on to step 3: 2 MB, whatever the input
 BROADCAST_ROWS = 200_000  # rows of two ids
@@ -244,24 +245,30 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
     tried = store(best, "pairs")
     links = counted(tried, rows)
     comps = None if links.isEmpty() else _grown(None, links)
-    turn = 0
-    while True:
+    linear = SHORT * columns.count()
+    turn, done = 0, False
+    while not done:
         turn += 1
         now = columns.withColumn("comp", F.col("node")) if comps is None else columns.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         now = store(now.select("x", "node", "n", "at", "size", "common", "comp"), "turn")
         own = F.struct("common", "node", "n", "at", "size", "comp")
         by_comp = now.groupBy("x", "comp").agg(F.count("*").alias("n"), F.max(own).alias("head"))
-        live = store(by_comp.groupBy("x").agg(F.sum("n").alias("rows"), F.count("*").alias("comps"), F.max("head").alias("head")).filter("comps > 1").select("x", "rows", "head"), "live")
-        if live.isEmpty():
-            discard(now, live)
+        live = by_comp.groupBy("x").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("comps"), F.max("head").alias("head")).filter("comps > 1")
+        live = store(live.select("x", "rows", "head", F.expr("(rows * rows - within) div 2").alias("pairs")), "live")
+        pairs_left = live.agg(F.sum("pairs")).collect()[0][0]
+        if pairs_left is None:
             break
-        if turn == 1:
+        done = pairs_left <= linear
+        if turn == 1 and not done:
             heads = live.select("x", "head")
-            left = now.join(live, "x").filter(F.col("node") != F.col("head.node"))
+            left = now.join(live.select("x", "head"), "x").filter(F.col("node") != F.col("head.node"))
         else:
-            lane = F.when(F.col("rows") <= SHORT, F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << min(turn - 2, 40))))
-            heads = store(now.join(live.select("x", "rows"), "x").groupBy("x", lane.alias("lane")).agg(F.max(own).alias("head")).select("x", "head"), "heads")
-            left = now.join(live.filter(F.col("rows") > SHORT).select("x"), "x", "left_semi").join(heads.select("x", F.col("head.node").alias("node")), ["x", "node"], "left_anti")
+            whole = F.lit(done) | (F.col("pairs") <= SHORT * F.col("rows"))
+            lane = F.when(whole, F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << min(max(turn - 2, 0), 40))))
+            heads = now.join(live.select("x", "rows", "pairs"), "x").groupBy("x", lane.alias("lane")).agg(F.max(own).alias("head")).select("x", "head")
+            if not done:
+                heads = store(heads, "heads")
+                left = now.join(live.filter(~whole).select("x"), "x", "left_semi").join(heads.select("x", F.col("head.node").alias("node")), ["x", "node"], "left_anti")
         met = now.join(heads, "x").withColumn("own", own).filter((F.col("comp") != F.col("head.comp")) & _possible("own", "head"))
         pairs = met.select(F.least("node", "head.node").alias("b"), F.greatest("node", "head.node").alias("a"), need).distinct()
         before = tried.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
@@ -270,7 +277,8 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
         if not links.isEmpty():
             comps = _grown(comps, links)
         tried = tried.unionByName(pairs)
-        columns = store(left.select("x", "node", "n", "at", "size", "common"), "columns")
+        if not done:
+            columns = store(left.select("x", "node", "n", "at", "size", "common"), "columns")
         discard(now, live)
     if comps is None:
         return rows.select("node", F.col("node").alias("comp")).limit(0)

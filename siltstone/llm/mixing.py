@@ -8,19 +8,21 @@ then picks its documents in a seeded order: whole rounds take all of them, the
 rest takes those up to a cut, and one more that fits the remainder best.
 
 What comes to the driver is a row for each pattern and source, never for a
-document. Selection needs no shuffle of texts: a pattern's cut and its filler
-are broadcast, and documents are held against them where they are.
+document. Up to a checked number of patterns selection needs no shuffle of texts:
+a pattern's cut and its filler are broadcast, and documents are held against them
+where they are; beyond it they are joined by shuffle.
 
 Cases: a null text has size 0 and is never taken; null is a source of its own,
 after all others; documents without any source are not taken; equal rows share
 their place in the order and are taken together; an empty table gives no rows;
-columns of the input that clash with a result column are replaced.
+columns of the input that clash with a result column are replaced (the results'
+names take a prefix); names that begin with two underscores are ours.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from siltstone.shared import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_IN_BUCKET, MOST_BUCKETS = 20_000, 65_536
+BROADCAST_PATTERNS = 100_000  # rows of a pattern's plan
 
 
 def word_count(text: Column) -> Column:
@@ -56,9 +59,37 @@ def quotas(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], sh
     return out
 
 
+def _groups(patterns: Sequence[tuple]) -> list[list[tuple]]:
+    """Patterns that share sources, directly or by others."""
+    parent: dict = {}
+
+    def top(s):
+        while parent.setdefault(s, s) != s:
+            parent[s] = parent[parent[s]]
+            s = parent[s]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            parent[top(s)] = top(p[0])
+    out: dict = {}
+    for p in patterns:
+        out.setdefault(top(p[0]), []).append(p)
+    return list(out.values())
+
+
 def route(capacity: Mapping[tuple, int], targets: Mapping[str | None, float], rounds: int) -> dict[tuple, dict[str | None, float]]:
     """Words that each pattern gives to each of its sources: a cheapest flow
-    among the largest ones, where use r of a pattern's words costs 2r - 1."""
+    among the largest ones, where use r of a pattern's words costs 2r - 1. Groups
+    of sources that no document joins are solved apart."""
+    out: dict[tuple, dict[str | None, float]] = {}
+    for group in _groups(list(capacity)):
+        named = {s for p in group for s in p}
+        out |= _flow({p: capacity[p] for p in group}, {s: targets[s] for s in named if s in targets}, rounds)
+    return out
+
+
+def _flow(capacity: Mapping[tuple, int], targets: Mapping[str | None, float], rounds: int) -> dict[tuple, dict[str | None, float]]:
     patterns, sources = list(capacity), list(targets)
     node = {("p", p): 1 + i for i, p in enumerate(patterns)} | {("s", s): 1 + len(patterns) + i for i, s in enumerate(sources)}
     sink = 1 + len(node)
@@ -116,41 +147,42 @@ def _order_key(seed: str, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1))
 
 
-def cuts(rows: DataFrame, rest: DataFrame, n_rows: int) -> DataFrame:
+def cuts(rows: DataFrame, rest: DataFrame, n_rows: int, small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
     """For each pattern with words to take in part: the last key below which all
     is taken, and the key of one more document that fits the remainder best.
 
-    rows: pattern, key, size; rest: pattern, words (one row for each pattern).
+    rows: pattern, key, size; rest: pattern, words (one row for each pattern);
+    small: a hint for tables of at most a row for each pattern.
     """
     buckets = min(MOST_BUCKETS, max(64, n_rows // ROWS_IN_BUCKET))
     width = -(-(1 << 62) // buckets)
-    partial = rows.join(F.broadcast(rest), "pattern").withColumn("bucket", F.floor(F.col("key") / F.lit(width)).cast("long"))
+    partial = rows.join(small(rest), "pattern").withColumn("bucket", F.floor(F.col("key") / F.lit(width)).cast("long"))
     sums = partial.groupBy("pattern", "bucket").agg(F.sum("size").alias("size"), F.first("words").alias("words"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     edge = sums.filter((F.col("before") <= F.col("words")) & (F.col("before") + F.col("size") > F.col("words"))).select("pattern", "bucket", "before")
-    keys = partial.join(F.broadcast(edge), ["pattern", "bucket"]).groupBy("pattern", "key").agg(F.sum("size").alias("size"), F.first("words").alias("words"), F.first("before").alias("before"), F.first("bucket").alias("bucket"))
+    keys = partial.join(small(edge), ["pattern", "bucket"]).groupBy("pattern", "key").agg(F.sum("size").alias("size"), F.first("words").alias("words"), F.first("before").alias("before"), F.first("bucket").alias("bucket"))
     running = Window.partitionBy("pattern").orderBy("key")
     keys = keys.withColumn("upto", F.col("before") + F.sum("size").over(running))
     cut = keys.groupBy("pattern").agg(
         F.max(F.when(F.col("upto") <= F.col("words"), F.struct("key", "upto"))).alias("last"), F.first("bucket").alias("bucket"), F.first("before").alias("before"), F.first("words").alias("words")
     ).select("pattern", F.coalesce("last.key", F.col("bucket") * F.lit(width) - 1).alias("cut"), (F.col("words") - F.coalesce("last.upto", "before")).alias("short"))
-    more = rows.join(F.broadcast(cut), "pattern").filter((F.col("key") > F.col("cut")) & (F.abs(F.col("size") - F.col("short")) < F.col("short")))
+    more = rows.join(small(cut), "pattern").filter((F.col("key") > F.col("cut")) & (F.abs(F.col("size") - F.col("short")) < F.col("short")))
     filler = more.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("off"), "key")).alias("best")).select("pattern", F.col("best.key").alias("filler"))
-    return cut.join(F.broadcast(filler), "pattern", "left").select("pattern", "cut", "filler")
+    return cut.join(small(filler), "pattern", "left").select("pattern", "cut", "filler")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "siltstone", id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken.
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "siltstone", id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, prefix: str = "") -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken, after ``prefix``.
 
     sources: an array of the sources of a document; its source column if None.
     source_size and target are those of the document's first source.
     """
     spark = docs.sparkSession
     member = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
-    results = ["size", "source_size", "target", "copies", "taken"]
-    base = docs.drop(*results).withColumns({"__pattern": member, "__key": _order_key(seed, id_col, text_col), "size": word_count(F.col(text_col))})
-    rows = store(base.select(F.col("__pattern").alias("pattern"), F.col("__key").alias("key"), "size").filter("pattern is not null and size(pattern) > 0"), "mix-rows")
+    size, source_size, target_, copies_, taken = (prefix + x for x in ("size", "source_size", "target", "copies", "taken"))
+    base = docs.withColumns({"__mix_pattern": member, "__mix_key": _order_key(seed, id_col, text_col), "__mix_size": word_count(F.col(text_col))}).drop(size, source_size, target_, copies_, taken)
+    rows = store(base.select(F.col("__mix_pattern").alias("pattern"), F.col("__mix_key").alias("key"), F.col("__mix_size").alias("size")).filter("pattern is not null and size(pattern) > 0"), "mix-rows")
     patterns = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     capacity = {tuple(r["pattern"]): r["size"] for r in patterns}
     sizes: dict[str | None, int] = {}
@@ -160,19 +192,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     target = quotas(list(sizes.items()), weights, share, most)
     flow = route(capacity, target, max(1, int(-(-most // 1))))
     kind = rows.schema["pattern"].dataType.simpleString()
-    schema = f"pattern {kind}, source_size long, target double, whole int, words double"
+    schema = f"__mix_p {kind}, __mix_source_size long, __mix_target double, __mix_whole int, words double"
     plan = []
     for p, n in capacity.items():
         words = sum(flow[p].values())
         whole = int(words // n) if n else 0
         plan.append((list(p), sizes[p[0]], target[p[0]], whole, words - whole * n))
+    small = F.broadcast if len(plan) <= BROADCAST_PATTERNS else lambda df: df
     plans = spark.createDataFrame(plan, schema)
     partial = [(p, w) for p, _, _, _, w in plan if w > 0.5]
-    cut = cuts(rows, spark.createDataFrame(partial, f"pattern {kind}, words double"), sum(r["n"] for r in patterns))
+    cut = cuts(rows, spark.createDataFrame(partial, f"pattern {kind}, words double"), sum(r["n"] for r in patterns), small)
     if partial:
         cut = store(cut, "mix-cuts")
-    plans = plans.join(F.broadcast(cut), plans["pattern"].eqNullSafe(cut["pattern"]), "left").select(plans["*"], "cut", "filler")
-    held = base.join(F.broadcast(plans), F.col("__pattern") == F.col("pattern"), "left")
-    more = F.coalesce(((F.col("__key") <= F.col("cut")) | (F.coalesce(F.col("__key") == F.col("filler"), F.lit(False)))).cast("int"), F.lit(0))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.coalesce(F.col("whole"), F.lit(0)) + more)
-    return held.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("size") * F.col("copies")).drop("__pattern", "__key", "pattern", "whole", "words", "cut", "filler")
+    plans = plans.join(small(cut), plans["__mix_p"].eqNullSafe(cut["pattern"]), "left").select("__mix_p", "__mix_source_size", "__mix_target", "__mix_whole", F.col("cut").alias("__mix_cut"), F.col("filler").alias("__mix_filler"))
+    held = base.join(small(plans), F.col("__mix_pattern") == F.col("__mix_p"), "left")
+    more = F.coalesce(((F.col("__mix_key") <= F.col("__mix_cut")) | (F.coalesce(F.col("__mix_key") == F.col("__mix_filler"), F.lit(False)))).cast("int"), F.lit(0))
+    copies = F.when(F.col("__mix_size") == 0, 0).otherwise(F.coalesce(F.col("__mix_whole"), F.lit(0)) + more).cast("int")
+    return held.select(*base.drop("__mix_pattern", "__mix_key", "__mix_size").columns, F.col("__mix_size").alias(size), F.col("__mix_source_size").alias(source_size), F.col("__mix_target").alias(target_), copies.alias(copies_), (F.col("__mix_size") * copies).alias(taken))

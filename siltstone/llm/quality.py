@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm.text import utf8
 
@@ -68,15 +69,22 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its statistics, one row for each row of ``docs``."""
+def with_statistics(docs: DataFrame, into: str = "stats", text_col: str = "text") -> DataFrame:
+    """``docs`` with the statistics of each text in a further column."""
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.list_(pa.float64()))], names=["doc_id", "stats"])
+            rows = [statistics(t) for t in utf8(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=pa.list_(pa.float64()))], names=[*batch.schema.names, into])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and its statistics, one row for each row of ``docs``."""
+    return with_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "stats").select("doc_id", "stats")
 
 
 @dataclass
@@ -147,13 +155,14 @@ def scored(stats: DataFrame, model: Discriminant) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
 
 
-def keep(docs: DataFrame, model: Discriminant, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
-    at = docs.columns.index(text_col)
+def keep(known: DataFrame, model: Discriminant, least: float, stats: str = "stats") -> DataFrame:
+    """The rows of ``known`` (from ``with_statistics``) whose text scores ``least``
+    or more, with all their other columns."""
+    at, schema = known.columns.index(stats), known.drop(stats).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in utf8(batch.column(at))]).reshape(-1, len(NAMES))
-            yield batch.filter(pa.array(model.score(x) >= least))
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+            yield batch.remove_column(at).filter(pa.array(model.score(x) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return known.mapInArrow(run, schema)

@@ -109,7 +109,7 @@ def test_quality_held_out_accuracy_and_edge_rows(spark):
     assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
     out = [(got[i], q) for i, q, _ in labels if i % 5 == 0]
     assert sum((s >= 0.3) == q for s, q in out) >= 0.95 * len(out)
-    kept = quality.keep(docs, model, 0.3)
+    kept = quality.keep(quality.with_statistics(docs, "s"), model, 0.3, "s")
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, s in got.items() if s >= 0.3}
     assert quality.scored(quality.document_statistics(docs.limit(0)), model).collect() == []
