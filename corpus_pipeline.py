@@ -2,7 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns the columns of documents; the last adds shard and slot. Results are
-written as Parquet and read again between stages.
+written as Parquet and read again between stages, so a stage first deletes the
+intermediate tables of those before it.
+
+Cases, in all stages: a null text counts as empty; an empty text has a quality
+score like any other, is nobody's near duplicate, holds no benchmark and is not
+taken by the mix, as it has no words; texts of any length are taken whole; rows
+are told apart by number, not by id, so rows without an id, or with one id and
+different texts, are judged each; of equal texts one row stays; of a group of
+near duplicates the row with the smallest id stays (one without an id only if
+none has one); empty tables give no rows; further columns are kept as they are,
+whatever their names, but for shard and slot, which the last stage replaces;
+names that begin with two underscores are ours.
 """
 
 from __future__ import annotations
@@ -11,42 +22,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, jaccard, mixing, quality, sharding
-from siltstone.shared import read_table, store
+from siltstone.shared import discard, read_table, stage_tables, store
 
 LEAST_QUALITY = 0.3
 KEY = "siltstone"
 SHARDS = 24
+_tables = stage_tables()
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the discriminant, learnt from all labels, rejects."""
-    stats = store(quality.document_statistics(docs), "pipeline-stats")
-    return quality.keep(docs, quality.train(stats, read_table(spark, sf_dir, "labels")), LEAST_QUALITY)
+    with _tables.begin(docs):
+        known = store(quality.with_statistics(docs, "__stats"), "quality")
+        model = quality.train(known.select("doc_id", F.col("__stats").alias("stats")), read_table(spark, sf_dir, "labels"))
+        return quality.keep(known, model, LEAST_QUALITY, "__stats")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Documents without an
-    id cannot be named as one of a group and all stay."""
-    ids = jaccard.join(docs).select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group: that with the smallest id, and of several rows
+    with this id one of them."""
+    with _tables.begin(docs):
+        rows = store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        groups = jaccard.join(rows, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+        named = groups.join(rows.select("__row", "doc_id"), "__row")
+        first = named.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+        kept = store(first.select(F.col("first.__row").alias("__row")), "kept")
+        return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a window of a benchmark item."""
-    marked = decontamination.mark(docs, read_table(spark, sf_dir, "benchmark"))
-    return marked.filter("n_hit = 0").select(*docs.columns)
+    with _tables.begin(docs):
+        marked = decontamination.mark(docs, read_table(spark, sf_dir, "benchmark"), names=("__n_words", "__n_hit", "__items"))
+        return marked.filter("__n_hit = 0").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    taken = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0, seed=KEY).filter("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    with _tables.begin(docs):
+        taken = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0, seed=KEY, prefix="__").filter("__copies > 0")
+        return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With each row's shard and slot in a reproducible shuffle."""
-    return sharding.shard_rows(docs, SHARDS, KEY, [F.col("doc_id"), F.xxhash64("text")])
+    with _tables.begin(docs):
+        return sharding.shard_rows(docs, SHARDS, KEY, [F.col("doc_id"), F.xxhash64("text")])
 
 
 STAGES = [
@@ -63,8 +84,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = store(docs, f"stage{i}")
+            discard(before)
+            before = docs
     return docs
