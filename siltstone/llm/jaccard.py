@@ -23,8 +23,9 @@ the product is masked and taken in blocks:
    components: no pair that could be linked is given up, and none within a
    component is formed.
 5. Size-derived bounds discard entries before they are counted: by the sizes of
-   both rows, and by the places of the column at which they met, as all other
-   common columns come before it in both rows or after it in both.
+   both rows, and by the places of the column at which they met, as it is enough
+   to see a pair in its first common column. So a pair's smaller row has nearly
+   all its columns from there on, and only such rows are heads.
 6. The product: rows are cut into blocks of columns; for each block and entry a
    partial overlap count is made, and partial counts are added up.
 
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
 from siltstone.llm.text import SHINGLE, mix, shingle_hashes, utf8, words
-from siltstone.shared import discard, store
+from siltstone.shared import discard, release, store
 
 EXTRA = 10  # l of step 2: a tenth of the row
 SHORT = 4  # a column with so many pairs a row is multiplied whole, as are all columns with so many a row together
@@ -92,9 +93,10 @@ def sizes(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col
 
 
 def _met(known: DataFrame) -> DataFrame:
-    """(x, node, n, mine, told): the first columns of all sets. Entries of a column
-    that several sets of a batch have are added up there: their sets' rows (x null)
-    carry the number of them, and one told entry tells other batches of the column."""
+    """(x, node, n): the first columns of all sets. Entries of a column that several
+    sets of a batch have are added up there: their sets' rows (x null, n the size and
+    the number of them above 32 bits) carry how many, and one entry with n = -1
+    tells other batches of the column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +104,7 @@ def _met(known: DataFrame) -> DataFrame:
             lengths = np.diff(lists.offsets.to_numpy())
             x = lists.flatten().to_numpy(zero_copy_only=False)
             node = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths)
-            n = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)
+            n = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
             if not len(x):
                 continue
             order = np.argsort(x, kind="stable")
@@ -115,18 +117,10 @@ def _met(known: DataFrame) -> DataFrame:
             alone = np.flatnonzero(~here)
             cols = np.concatenate([x[alone], x[told], np.zeros(len(names), dtype=np.int64)])
             none = np.r_[np.zeros(len(alone) + len(told), dtype=bool), np.ones(len(names), dtype=bool)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cols, mask=none),
-                    pa.array(np.concatenate([node[alone], node[told], names])),
-                    pa.array(np.concatenate([n[alone], n[told], n[here][at]]).astype(np.int32)),
-                    pa.array(np.concatenate([np.ones(len(alone)), np.zeros(len(told)), times]).astype(np.int32)),
-                    pa.array(np.r_[np.zeros(len(alone), dtype=bool), np.ones(len(told), dtype=bool), np.zeros(len(names), dtype=bool)]),
-                ],
-                names=["x", "node", "n", "mine", "told"],
-            )
+            counts = np.concatenate([n[alone], np.full(len(told), -1), n[here][at] | (times.astype(np.int64) << 32)])
+            yield pa.RecordBatch.from_arrays([pa.array(cols, mask=none), pa.array(np.concatenate([node[alone], node[told], names])), pa.array(counts)], names=["x", "node", "n"])
 
-    return known.filter("size(first) > 0").select("n", "node", "first").mapInArrow(run, "x long, node long, n int, mine int, told boolean")
+    return known.filter("size(first) > 0").select("n", "node", "first").mapInArrow(run, "x long, node long, n long")
 
 
 def _flagged(flags: np.ndarray, node: int) -> bool:
@@ -176,9 +170,10 @@ def blocks(docs: DataFrame, known: DataFrame, size: int, text_col: str) -> tuple
     met = _met(known)
     # at most one entry from each batch for a column, however common it is
     column = Window.partitionBy("x")
-    entries = met.filter("x is not null").withColumns({"low": F.min("node").over(column), "high": F.max("node").over(column), "common": F.max("told").over(column)})
-    entries = entries.filter("not told and (common or low != high)")
-    found = entries.select("node", "n", "mine").unionByName(met.filter("x is null").select("node", "n", "mine"))
+    entries = met.filter("x is not null").withColumns({"low": F.min("node").over(column), "high": F.max("node").over(column), "told": F.min("n").over(column)})
+    entries = entries.filter("n > 0 and (told < 0 or low != high)").select("node", "n", F.lit(1).cast("long").alias("mine"))
+    added = met.filter("x is null").select("node", F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), F.shiftright("n", 32).alias("mine"))
+    found = entries.unionByName(added)
     least = F.greatest(F.lit(1), F.floor(_enough(F.col("n")) / EXTRA))
     some = store(found.groupBy("node", "n").agg(F.sum("mine").alias("c")).filter(F.col("c") >= least).select("node"), "some")
     full = store(_full(docs, size, text_col, _flags(some)).join(some, "node", "left_semi"), "full")
@@ -195,9 +190,9 @@ def blocks(docs: DataFrame, known: DataFrame, size: int, text_col: str) -> tuple
     discard(full)
     columns = rows.select("node", "n", "size", "common", F.posexplode("first").alias("at", "x"))
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
-    alike = columns.groupBy("x").agg(F.count("*").alias("rows"), mark(0).alias("m0"), mark(1).alias("m1")).filter("rows > 1")
-    kept = alike.groupBy("rows", "m0", "m1").agg(F.min("x").alias("x"))
-    return rows.select("node", "n", "parts"), store(columns.join(kept.select("x"), "x", "left_semi"), "columns")
+    alike = columns.groupBy("x").agg(F.count("*").alias("rows"), F.min("at").alias("at"), mark(0).alias("m0"), mark(1).alias("m1")).filter("rows > 1")
+    kept = alike.groupBy("rows", "m0", "m1").agg(F.min(F.struct("at", "x"))["x"].alias("x"))  # the first in the order
+    return rows.select("node", "n", "parts"), store(columns.join(kept, "x", "left_semi"), "columns")
 
 
 def _overlap_needed(a: Column, b: Column) -> Column:
@@ -205,12 +200,16 @@ def _overlap_needed(a: Column, b: Column) -> Column:
     return F.floor((3 * (a + b) + 6) / 7)
 
 
+# Step 5. A pair needs to be seen only in its first common column: what is at ``at``
+# of ``size`` columns there leaves size - at columns at most to have in common.
+WIDE = "7 * (size - at) >= 6 * n"  # the smaller row of a linked pair is wide, as its overlap is 6/7 of it or more
+
+
 def _possible(one: str, two: str) -> Column:
-    """Step 5 for two rows (structs with n, at, size) that have a column in common."""
+    """Whether two rows (structs with n, at, size) can be linked by a column of both."""
     n = lambda f: (F.col(f"{one}.{f}"), F.col(f"{two}.{f}"))
     (na, nb), (ia, ib), (sa, sb) = n("n"), n("at"), n("size")
-    most = F.least(ia, ib) + 1 + F.least(sa - 1 - ia, sb - 1 - ib)
-    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (most >= _overlap_needed(na, nb))
+    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (F.least(sa - ia, sb - ib) >= _overlap_needed(na, nb))
 
 
 def counted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -235,13 +234,12 @@ def _grown(comps: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """(node, comp) of all rows that are linked to others: steps 4 to 6."""
-    own = F.struct("common", "node", "n", "at", "size")
+    own, wide = F.struct("common", "node", "n", "at", "size"), F.expr(WIDE)
     need = _overlap_needed(F.col("n"), F.col("head.n")).alias("need")
-    pair = (F.col("head.node").alias("a"), F.col("node").alias("b"), need)
     # each row and the best of its heads
-    heads = columns.groupBy("x").agg(F.max(own).alias("head"))
+    heads = columns.filter(wide).groupBy("x").agg(F.max(own).alias("head"))
     met = columns.join(heads, "x").withColumn("own", own).filter((F.col("node") != F.col("head.node")) & _possible("own", "head"))
-    best = met.groupBy("node", "n").agg(F.max("head").alias("head")).select(*pair)
+    best = met.groupBy("node", "n").agg(F.max("head").alias("head")).select(F.col("head.node").alias("a"), F.col("node").alias("b"), need)
     tried = store(best, "pairs")
     links = counted(tried, rows)
     comps = None if links.isEmpty() else _grown(None, links)
@@ -252,20 +250,20 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
         now = columns.withColumn("comp", F.col("node")) if comps is None else columns.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         now = store(now.select("x", "node", "n", "at", "size", "common", "comp"), "turn")
         own = F.struct("common", "node", "n", "at", "size", "comp")
-        by_comp = now.groupBy("x", "comp").agg(F.count("*").alias("n"), F.max(own).alias("head"))
-        live = by_comp.groupBy("x").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("comps"), F.max("head").alias("head")).filter("comps > 1")
-        live = store(live.select("x", "rows", "head", F.expr("(rows * rows - within) div 2").alias("pairs")), "live")
+        by_comp = now.groupBy("x", "comp").agg(F.count("*").alias("n"), F.count_if(wide).alias("w"), F.max(F.when(wide, own)).alias("head"))
+        live = by_comp.groupBy("x").agg(F.sum("n").alias("rows"), F.sum("w").alias("wide"), F.sum(F.col("n") * F.col("w")).alias("within"), F.max("head").alias("head"))
+        live = store(live.select("x", "rows", "head", (F.col("rows") * F.col("wide") - F.col("within")).alias("pairs")).filter("pairs > 0"), "live")
         pairs_left = live.agg(F.sum("pairs")).collect()[0][0]
         if pairs_left is None:
             break
         done = pairs_left <= linear
         if turn == 1 and not done:
             heads = live.select("x", "head")
-            left = now.join(live.select("x", "head"), "x").filter(F.col("node") != F.col("head.node"))
+            left = now.join(heads, "x").filter(F.col("node") != F.col("head.node"))
         else:
             whole = F.lit(done) | (F.col("pairs") <= SHORT * F.col("rows"))
             lane = F.when(whole, F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << min(max(turn - 2, 0), 40))))
-            heads = now.join(live.select("x", "rows", "pairs"), "x").groupBy("x", lane.alias("lane")).agg(F.max(own).alias("head")).select("x", "head")
+            heads = now.filter(wide).join(live.select("x", "rows", "pairs"), "x").groupBy("x", lane.alias("lane")).agg(F.max(own).alias("head")).select("x", "head")
             if not done:
                 heads = store(heads, "heads")
                 left = now.join(live.filter(~whole).select("x"), "x", "left_semi").join(heads.select("x", F.col("head.node").alias("node")), ["x", "node"], "left_anti")
@@ -288,7 +286,10 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
 def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     first = sizes(docs, size, id_col, text_col)
-    comps = link(*blocks(docs, first, size, text_col))
+    rows, columns = blocks(docs, first, size, text_col)
+    release(docs.sparkSession)
+    comps = link(rows, columns)
+    release(docs.sparkSession)
     own = first.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = own.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
