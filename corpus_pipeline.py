@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         named = groups.join(rows.select("__row", "doc_id"), "__row")
         first = named.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
         kept = store(first.select(F.col("first.__row").alias("__row")), "kept")
-        return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+        return rows.join(kept.hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ setting is missing and Spark runs in one local process (tests, notebooks).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,13 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished jobs. It does so once the
+    driver's collector finds their plans gone, which may not happen for hours."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class stage_tables:
     """Deletes what was stored inside an earlier use of the same object when it is
     entered again, but for tables that ``docs`` still reads. For pipelines whose
