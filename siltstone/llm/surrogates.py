@@ -2,23 +2,29 @@
 
 Found are e-mail addresses, phone numbers, IPv4 addresses, payment card and
 account numbers, IBANs, US social security numbers, secrets (access keys,
-passwords, tokens) and names after a form of address.
+passwords, tokens) and names: words after a form of address, and the same words
+wherever else the text has them (from four letters on, unless it also has them
+in lower case).
 
 A replacement is a keyed permutation of all values of the same shape: digits
 stay digits, letters stay letters of the same case, script and (in names) vowels
-or consonants, signs stay where they are. Given names of a known gender stay
-among the names of that gender and script. So equal entities get equal
-surrogates in all documents, different ones get different ones, and a shape
-survives. Checks over all entities of the input then find surrogates that fall
-on an entity which really occurs, on themselves, or on each other; these are
-drawn anew until none is left. What finds nothing free in its own shape after a
-number of turns, as others fill it, is drawn from wider ones, with more letters
-or digits of the kind of its last one.
+or consonants, signs stay where they are. Card numbers and IBANs with right
+check digits keep such; private and loopback addresses stay in their networks
+and public ones public. Names are replaced word by word, whatever form of address
+they follow, so that a person keeps one surrogate with and without it; known
+given names stay among the names of their gender and script. So equal entities
+get equal surrogates in all documents, different ones get different ones, and a
+shape survives. Checks over all entities of the input then find surrogates that
+fall on an entity which really occurs, on themselves, or on each other; these
+are drawn anew until none is left (given names, which many people share, are
+distinct as they are). What finds nothing free in its own shape after a number
+of turns, as others fill it, is drawn from wider ones, with more letters or
+digits of the kind of its last one.
 
 Cases: a null text stays null, with no entities; overlapping finds are settled
 in favour of the earlier, then the longer one; repeated rows are replaced alike;
-an empty table gives no rows; other columns are kept, those that clash with
-result columns are replaced.
+an empty table gives no rows; texts of any length are searched whole; other
+columns are kept, those that clash with result columns are replaced.
 """
 
 from __future__ import annotations
@@ -38,12 +44,12 @@ BROADCAST_ROWS = 200_000
 TRIES = 16  # turns within a value's own shape
 WIDER = 4  # turns before a shape gets one more letter
 
-# Forms of address, with the gender they tell.
-ADDRESS = {"Mr": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "M": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mademoiselle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "господин": "m", "госпожа": "f", "Dr": "n", "Prof": "n"}
+# Forms of address.
+ADDRESS = "Mr Sir Herr Herrn Monsieur M Señor Sr Don Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Sra Doña господин госпожа Dr Prof".split()
 # Given names by script and gender; each list is permuted in itself.
 GIVEN = {
-    ("latin", "m"): "Adam Alan Alex Andrew Anton Arthur Ben Bruno Carlos Charles Daniel David Diego Edward Emil Erik Felix Frank Fred George Hans Harry Henry Hugo Ivan Jack Jacob James Jan Javier Jean John Jonas Jorge Joseph Juan Karl Klaus Leo Louis Lucas Luis Marc Mark Martin Max Michael Miguel Nicolas Oliver Oscar Otto Pablo Paul Pedro Peter Pierre Ralph Robert Samuel Simon Stefan Thomas Tom Victor Walter William",
-    ("latin", "f"): "Ada Agnes Alice Amelia Ana Andrea Anna Anne Beatrice Carla Carmen Caroline Charlotte Clara Claire Diana Dora Elena Elisa Elizabeth Ella Emily Emma Eva Fiona Gabriela Grace Greta Hanna Helen Helga Ida Ines Irene Isabel Jane Julia Karin Kate Laura Lea Lena Linda Lisa Louise Lucia Maria Marie Marta Mary Mia Monica Nina Nora Olga Paula Petra Rita Rosa Ruth Sara Sofia Sophie Susan Teresa Ursula Vera",
+    ("latin", "m"): "Adam Alan Andrew Anton Arthur Ben Bruno Carlos Charles Daniel David Diego Edward Emil Erik Felix Frank Fred George Hans Harry Henry Hugo Ivan Jack Jacob James Javier John Jonas Jorge Joseph Juan Karl Klaus Leo Louis Lucas Luis Marc Mark Martin Max Michael Miguel Nicolas Oliver Oscar Otto Pablo Paul Pedro Peter Pierre Ralph Robert Samuel Simon Stefan Thomas Tom Victor Walter William",
+    ("latin", "f"): "Ada Agnes Alice Amelia Ana Anna Anne Beatrice Carla Carmen Caroline Charlotte Clara Claire Diana Dora Elena Elisa Elizabeth Ella Emily Emma Eva Fiona Gabriela Grace Greta Hanna Helen Helga Ida Ines Irene Isabel Jane Julia Karin Kate Laura Lea Lena Linda Lisa Louise Lucia Maria Marie Marta Mary Mia Monica Nina Nora Olga Paula Petra Rita Rosa Ruth Sara Sofia Sophie Susan Teresa Ursula Vera",
     ("cyrillic", "m"): "Алексей Андрей Антон Борис Виктор Владимир Григорий Дмитрий Иван Игорь Михаил Николай Олег Павел Пётр Сергей",
     ("cyrillic", "f"): "Алла Анна Вера Галина Дарья Елена Зоя Ирина Лариса Мария Надежда Наталья Нина Ольга Светлана Татьяна",
 }
@@ -61,12 +67,30 @@ KINDS: list[tuple[str, re.Pattern | None, re.Pattern]] = [
     ("ssn", re.compile(r"\d-\d"), re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("phone", re.compile(r"\d"), re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?P<v>\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?<=[ .-])\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")),
     ("account", re.compile(r"\d{4}"), re.compile(r"(?<![\w.])(?P<v>\d(?:[ -]?\d){11,18})(?![\w-])")),
-    ("name", re.compile(rf"\b(?:{_FORMS})\b"), re.compile(rf"\b(?P<form>{_FORMS})\.?[  ](?P<v>(?=[A-ZÀ-ÖØ-ÞА-ЯЁ]){_LETTER}+(?:[ -](?=[A-ZÀ-ÖØ-ÞА-ЯЁ]){_LETTER}+){{0,2}})")),
+    ("name", re.compile(rf"\b(?:{_FORMS})\b"), re.compile(rf"\b(?:{_FORMS})\.?[  ](?P<v>(?=[A-ZÀ-ÖØ-ÞА-ЯЁ]){_LETTER}+(?:[ -](?=[A-ZÀ-ÖØ-ÞА-ЯЁ]){_LETTER}+){{0,2}})")),
 ]
 
 
+MENTION = 4  # letters of a word of a name that is looked for without a form of address
+
+
+def _pieces(name: str) -> list[str]:
+    """Words of a name, with what stands between them at odd places."""
+    return re.split(r"([ \u00a0-])", name)
+
+
+def _mentions(text: str, names: set[str]) -> re.Pattern | None:
+    some = {w for name in names for w in _pieces(name)[::2] if len(w) >= MENTION}
+    if some:
+        some -= {w for w in some if w.lower() in set(re.findall(r"\w+", text))}
+    if not some:
+        return None
+    any_of = "|".join(sorted(map(re.escape, some)))
+    return re.compile(rf"(?<![\w-])(?:{any_of})(?:[ \u00a0-](?:{any_of}))*(?![\w-])")
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities of a text; names carry their gender in the kind."""
+    """(start, end, kind) of the entities of a text."""
     if not text:
         return []
     found = []
@@ -77,7 +101,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             start, end = m.span("v")
             if kind == "email":
                 end = start + len(m["v"].rstrip(".-"))
-            found.append((start, end, f"name/{ADDRESS[m['form']]}" if kind == "name" else kind))
+            found.append((start, end, kind))
+    again = _mentions(text, {text[a:z] for a, z, kind in found if kind == "name"})
+    if again is not None:
+        found += [(*m.span(), "name") for m in again.finditer(text)]
     out: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
         if not out or start >= out[-1][1]:
@@ -85,6 +112,13 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
+def units(kind: str, value: str) -> list[tuple[str, str]]:
+    """(kind, value) of what is replaced by itself: a name's words, or the entity."""
+    if kind != "name":
+        return [(kind, value)]
+    return [("given" if w in _KNOWN else "name", w) for w in _pieces(value)[::2] if w]
+
+
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
 _SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "äöüàâéèêëîïíóúáôù", "ÄÖÜÀÂÉÈÊËÎÏÍÓÚÁÔ"]
 _CLASS = {c: a for a in _ALPHABETS for c in a}
@@ -141,46 +175,96 @@ def _wider(value: str, classes: dict[str, str], turn: int) -> str:
     return value[:at] + more * (1 + (turn - TRIES) // WIDER) + value[at:]
 
 
-def _name(part: str, gender: str, secret: str, turn: str, first: bool) -> str:
-    known = _KNOWN.get(part)
-    if first and known and gender in ("n", known[1]):
-        names = _LISTS[known]
-        return names[_permute(names.index(part), len(names), _key(secret, "given", turn, *known))]
-    return reshape(part, _SOUND, secret, "name", turn)
+def _luhn(digits: str) -> int:
+    """The check digit that makes a card number of these digits right."""
+    total = sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def _iban_check(country: str, rest: str) -> str:
+    """The check digits that make an IBAN of this country and account right."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
+
+
+def _spaced(like: str, signs: str) -> str:
+    """The signs, in order, with the blanks and hyphens of ``like`` among them."""
+    left, out = iter(signs), []
+    for c in like:
+        out.append(c if c in " -" else next(left, ""))
+    return "".join(out) + "".join(left)
+
+
+# Networks that stay within themselves (first address, size).
+_NETWORKS = [(10 << 24, 1 << 24), (127 << 24, 1 << 24), ((172 << 24) | (16 << 16), 1 << 20), ((192 << 24) | (168 << 16), 1 << 16), ((169 << 24) | (254 << 16), 1 << 16)]
+
+
+def _network(x: int) -> tuple[int, int] | None:
+    return next((n for n in _NETWORKS if n[0] <= x < n[0] + n[1]), None)
+
+
+def _address(value: str, secret: str, turn: str) -> str:
+    x = 0
+    for part in value.split("."):
+        x = (x << 8) | int(part)
+    own = _network(x)
+    if own is not None:
+        x = own[0] + _permute(x - own[0], own[1], _key(secret, "ip", turn, str(own[0])))
+    else:
+        key = _key(secret, "ip", turn)
+        x = _permute(x, 1 << 32, key)
+        while _network(x) is not None:  # walks on to the next public one
+            x = _permute(x, 1 << 32, key)
+    return f"{x >> 24}.{(x >> 16) & 255}.{(x >> 8) & 255}.{x & 255}"
 
 
 @functools.lru_cache(maxsize=50_000)
 def surrogate(kind: str, value: str, secret: str, turn: int = 0) -> str:
-    """The replacement of an entity; further turns give further ones."""
+    """The replacement of a unit; further turns give further ones."""
     t = str(turn)
+    if kind == "given":
+        known = _KNOWN[value]
+        names = _LISTS[known]
+        return names[_permute(names.index(value), len(names), _key(secret, "given", *known))]
+    if kind == "name":
+        return reshape(_wider(value, _SOUND, turn), _SOUND, secret, "name", t)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         local = _wider(local, _CLASS, turn)
         host, dot, top = domain.rpartition(".")  # a domain keeps its ending, and meets others only as its original does
         return f"{reshape(local, _CLASS, secret, 'local', t)}@{reshape(host, _CLASS, secret, 'domain')}{dot}{top}"
     if kind == "ip":
-        a, b, c, d = map(int, value.split("."))
-        x = _permute((a << 24) | (b << 16) | (c << 8) | d, 1 << 32, _key(secret, "ip", t))
-        return f"{x >> 24}.{(x >> 16) & 255}.{(x >> 8) & 255}.{x & 255}"
+        return _address(value, secret, t)
     if kind == "secret":
         head = 4 if value.startswith("AKIA") else 0
         classes = _HEX if re.fullmatch(r"[0-9a-f]+", value) else _CLASS
         return value[:head] + reshape(_wider(value[head:], classes, turn), classes, secret, "secret", t)
     if kind == "iban":
-        return value[:2] + reshape(_wider(value[2:], _CLASS, turn), _CLASS, secret, "iban", t)
-    if kind.startswith("name/"):
-        parts = re.split(r"([ -])", value)
-        parts[-1] = _wider(parts[-1], _SOUND, turn)
-        return "".join(p if i % 2 else _name(p, kind[5:], secret, t, i == 0 and len(parts) > 1) for i, p in enumerate(parts))
+        plain = value.replace(" ", "")
+        country, check, rest = plain[:2], plain[2:4], plain[4:]
+        new = reshape(_wider(rest, _CLASS, turn), _CLASS, secret, "iban", t)
+        right = check == _iban_check(country, rest)
+        return _spaced(value, country + (_iban_check(country, new) if right else reshape(check, _CLASS, secret, "iban-check", t)) + new)
+    if kind == "account":
+        digits = re.sub("[ -]", "", value)
+        if int(digits[-1]) == _luhn(digits[:-1]):
+            new = reshape(_wider(digits[:-1], _CLASS, turn), _CLASS, secret, "card", t)
+            return _spaced(value, new + str(_luhn(new)))
     return reshape(_wider(value, _CLASS, turn), _CLASS, secret, kind, t)
 
 
+def replacement(kind: str, value: str, secret: str, turns: dict[tuple[str, str], int]) -> str:
+    """The replacement of an entity, by those of its units."""
+    if kind != "name":
+        return surrogate(kind, value, secret, turns.get((kind, value), 0))
+    return "".join(w if i % 2 or not w else surrogate(*u, secret, turns.get(u, 0)) for i, w in enumerate(_pieces(value)) for u in [("given" if w in _KNOWN else "name", w)])
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Stored distinct (kind, value) of all texts."""
+    """Stored distinct (kind, value) of the units of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {(k, t[a:z]) for t in batch.column(0).to_pylist() for a, z, k in find(t)}
+            seen = {u for t in batch.column(0).to_pylist() for a, z, k in find(t) for u in units(k, t[a:z])}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], type=pa.string()), pa.array([v for _, v in seen], type=pa.string())], names=["kind", "value"])
 
     return store(docs.select(text_col).mapInArrow(run, "kind string, value string").distinct(), "entities")
@@ -198,13 +282,13 @@ def overrides(found: DataFrame, secret: str) -> DataFrame:
     schema = "kind string, value string, turn int, drawn string"
     now = store(found.withColumn("turn", F.lit(0)).mapInArrow(drawn, schema), "drawn")
     moved = None
-    family = F.substring_index("kind", "/", 1)
+    family = F.when(F.col("kind") == "given", "name").otherwise(F.col("kind"))
     while True:  # ends, as shapes widen
         taken = found.select(family.alias("family"), F.col("value").alias("drawn")).distinct().withColumn("real", F.lit(True))
-        held = now.withColumn("family", family).groupBy("family", "drawn").agg(F.min(F.struct("turn", "kind", "value")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
+        held = now.withColumn("family", family).groupBy("family", "drawn").agg(F.min(F.struct((F.col("kind") != "given").alias("free"), "turn", "kind", "value")).alias("owner"), F.count("*").alias("n")).filter("n > 1")
         marked = now.withColumn("family", family).join(taken, ["family", "drawn"], "left").join(held.select("family", "drawn", "owner"), ["family", "drawn"], "left")
         # one that has a surrogate already goes before those that are drawn anew
-        loses = F.col("real").isNotNull() | (F.col("owner").isNotNull() & (F.struct("turn", "kind", "value") != F.col("owner")))
+        loses = (F.col("kind") != "given") & (F.col("real").isNotNull() | (F.col("owner").isNotNull() & (F.struct((F.col("kind") != "given").alias("free"), "turn", "kind", "value") != F.col("owner"))))
         again = store(marked.filter(loses).select("kind", "value", (F.col("turn") + 1).alias("turn")), "again")
         if again.isEmpty():
             break
@@ -222,10 +306,10 @@ def replaced(text: str | None, secret: str, turns: dict[tuple[str, str], int]) -
     out, told, at, size = [], [], 0, 0
     for start, end, kind in find(text):
         value = text[start:end]
-        new = surrogate(kind, value, secret, turns.get((kind, value), 0))
+        new = replacement(kind, value, secret, turns)
         out += [text[at:start], new]
         size += start - at
-        told.append({"kind": kind.partition("/")[0], "start": size, "end": size + len(new)})
+        told.append({"kind": kind, "start": size, "end": size + len(new)})
         size += len(new)
         at = end
     return "".join([*out, text[at:]]), told
@@ -252,7 +336,7 @@ def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text") -> DataFr
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = {(i, k, t[a:z]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, z, k in find(t)}
+                rows = {(i, *u) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, z, k in find(t) for u in units(k, t[a:z])}
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["__key", "kind", "value"])
 

@@ -200,6 +200,50 @@ def test_full_shapes_give_way_to_wider_ones(spark):
         assert {r["doc_id"]: r["text"] for r in again} == got
 
 
+def test_names_keep_one_surrogate_whatever_stands_before_them(spark):
+    said = "Frau Müller came. Dr. Müller spoke, then Prof. Müller left; Müller was tired. Herr Otto Weber waved at Weber, but weber is a trade."
+    rows = [(1, said), (2, "Mrs Anna-Maria Müller and Mr Brown, brown as ever. Brown!")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    m = re.fullmatch(r"Frau (\w+) came. Dr. (\w+) spoke, then Prof. (\w+) left; (\w+) was tired. Herr (\w+) (\w+) waved at Weber, but weber is a trade.", got[1])
+    assert m and len({*m.groups()[:4]}) == 1 and m[1] != "Müller" and m[5] in surrogates.GIVEN["latin", "m"] and m[6] != "Weber"
+    n = re.fullmatch(r"Mrs (\w+)-(\w+) (\w+) and Mr (\w+), brown as ever. Brown!", got[2])
+    assert n and n[3] == m[1] and {n[1], n[2]} <= set(surrogates.GIVEN["latin", "f"].split()) and n[1] != n[2] and n[4] != "Brown"
+
+
+def test_check_digits_and_networks_survive():
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    for key in ("a", "b", "c"):
+        new = surrogates.surrogate("account", card, key)
+        digits = new.replace(" ", "")
+        assert new != card and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", new) and int(digits[-1]) == surrogates._luhn(digits[:-1])
+        drawn = surrogates.surrogate("iban", iban, key).replace(" ", "")
+        assert drawn[:2] == "DE" and int("".join(str(int(c, 36)) for c in drawn[4:] + drawn[:4])) % 97 == 1
+        assert surrogates.surrogate("ip", "10.1.2.3", key).startswith("10.") and surrogates.surrogate("ip", "192.168.7.9", key).startswith("192.168.")
+        assert surrogates._network(int.from_bytes(bytes(map(int, surrogates.surrogate("ip", "8.8.8.8", key).split("."))))) is None
+
+
+def test_distinctness_by_brute_force(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice("BCDFGHKLMNPRST") + "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(1, 3)))
+    names = sorted({word() for _ in range(300)})
+    rows = [(i, f"{rng.choice(['Mr', 'Mrs', 'Dr'])} {w}") for i, w in enumerate(names) for _ in range(2)]
+    got = surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    made = {}
+    for r in got:
+        made.setdefault(r["doc_id"], set()).add(r["text"].split()[1])
+    assert all(len(v) == 1 for v in made.values())
+    drawn = [next(iter(v)) for v in made.values()]
+    assert len(set(drawn)) == len(names)
+    assert not {d for d in drawn if d not in surrogates._KNOWN} & set(names)
+
+
+def test_surrogates_of_very_long_text():
+    text = "plain words here " * 60_000 + "Frau Helga Schmidt, " + "more of them " * 60_000 + "Schmidt"
+    new, told = surrogates.replaced(text, "k", {})
+    assert [e["kind"] for e in told] == ["name", "name"] and "Schmidt" not in new
+    assert new[told[1]["start"] : told[1]["end"]] == new[told[0]["start"] : told[0]["end"]].split()[1]
+
+
 def test_permute_is_a_bijection():
     for n in (2, 10, 26 * 26, 1000):
         assert sorted(surrogates._permute(i, n, hashlib.sha256(b"k").digest()) for i in range(n)) == list(range(n))

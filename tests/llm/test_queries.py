@@ -67,7 +67,7 @@ def test_op2(spark, docs):
         for (a, z, kind), e in zip(found, got[i]["entities"], strict=True):
             new = got[i]["text"][e["start"] : e["end"]]
             assert new != text[a:z] and made.setdefault((kind, text[a:z]), new) == new
-    assert len(set(made.values())) == len(made) and not set(made.values()) & {v for _, v in made}
+    assert made and len(set(made.values())) == len(made) and not set(made.values()) & {v for _, v in made}
 
 
 def test_op4(spark, docs):
