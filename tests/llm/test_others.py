@@ -3,8 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, mixing, sharding, surrogates, topk
@@ -35,24 +39,39 @@ def test_shards_are_even_gapless_and_repeatable(spark):
     assert sharding.shard_rows(df.limit(0), 24, "key", order).collect() == []
 
 
-def test_topk_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 7)
-    monkeypatch.setattr(topk, "TILE", 16)
+@pytest.mark.parametrize(("query_bytes", "score_bytes", "tile"), [(64 << 20, 16 << 20, 4096), (600, 8 * 16 * 7, 16)])
+def test_topk_equals_brute_force(spark, monkeypatch, query_bytes, score_bytes, tile):
+    """Whole, and in several broadcasts of queries and small tiles."""
+    for name, value in (("QUERY_BYTES", query_bytes), ("SCORE_BYTES", score_bytes), ("TILE", tile)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 4]) for i in range(300)]  # many ties
-    bad = [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0]), (302, [float("nan")] * 5), (303, [float("inf")] * 5), (None, [1.0] * 5), (310, [1.0, 2.0]), (17, rows[17][1])]
+    bad = [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0]), (302, [float("nan")] * 5), (303, [float("inf")] * 5), (None, [1.0] * 5), (310, [1.0, 2.0]), (17, rows[17][1]), (20, rows[20][1]), (30, rows[31][1]), (40, [])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
     got = topk.search(df, F.col("vec_id") % 10 == 0, 4)
-    usable = [(i, np.floor(1024 * np.array(v))) for i, v in [*rows, bad[5], bad[6]]]
-    want = set()
-    for q, x in usable:
+    usable = [(i, np.floor(1024 * np.array(v))) for i, v in [*rows, *bad[5:]]]
+    want = []
+    for j, (q, x) in enumerate(usable):
         if q % 10 == 0:
-            best = sorted((-int(x @ y), i) for i, y in usable if i != q and len(x) == len(y))[:4]
-            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in got.collect()} == want
+            best = sorted((-int(x @ y), i) for m, (i, y) in enumerate(usable) if m != j and len(x) == len(y))[:4]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert topk.search(df.limit(0), F.col("vec_id") % 10 == 0, 4).collect() == []
 
 
+def test_topk_tiles_are_bounded_in_bytes():
+    """4,096 vectors against 16,384 queries: no array of all scores."""
+    rng = np.random.default_rng(1)
+    ids, values = np.arange(4096), rng.random((4096, 16)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(values.astype(np.float64)))], names=["vec_id", "v"])
+    blocks = {16: (np.arange(16_384), np.floor(1024 * rng.random((16_384, 16))))}
+    tracemalloc.start()
+    got = sum(b.num_rows for b in topk._searcher(SimpleNamespace(value=blocks), 11)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 11 * 16_384 and peak < 200e6  # the whole matrix alone would take 537 MB
+
+
 def test_topk_of_huge_components_stays_in_order(spark):
     """Beyond the exact range of floats integers are used, beyond long scores are cut."""
     rows = [(0, [2.0**18, 1.0]), (1, [2.0**18, 2.0]), (2, [2.0**18, 2.0 + 2**-10]), (3, [2.0**40, 1.0]), (4, [2.0**41, 1.0])]
