@@ -51,8 +51,9 @@ from siltstone.llm.text import SHINGLE, mix, shingle_hashes, utf8, words
 from siltstone.shared import discard, release, store
 
 EXTRA = 10  # l of step 2: a tenth of the row
-SHORT = 4  # a column with so many pairs a row is multiplied whole, as are all columns with so many a row together
+SHORT = 8  # a column with so many pairs a row is multiplied whole, as are all columns with so many a row together
 COLUMN_BLOCKS = 8
+SIZE_CLASSES = 15  # for a size e times as large
 FLAGS = 1 << 24  # bits of the map of rows that go on to step 3: 2 MB, whatever the input
 BROADCAST_ROWS = 200_000  # rows of two ids
 
@@ -200,6 +201,17 @@ def _overlap_needed(a: Column, b: Column) -> Column:
     return F.floor((3 * (a + b) + 6) / 7)
 
 
+def _by_size(columns: DataFrame) -> DataFrame:
+    """Columns, split by the size of the smaller row of a pair: x stands for a column
+    and a class of sizes; rows stand in all classes that a partner's size may have
+    there, and are ``wide`` in that of their own size."""
+    step = lambda n: F.floor(F.log(n) * SIZE_CLASSES).cast("int")
+    n, left = F.col("n"), F.col("size") - F.col("at")
+    low, high = F.floor((3 * n + 3) / 4), F.least(F.floor(4 * n / 3), F.floor(7 * left / 3) - n)
+    each = columns.filter(high >= low).withColumn("class", F.explode(F.sequence(step(low), step(high))))
+    return each.withColumns({"x": F.xxhash64("x", "class"), "wide": F.expr(WIDE) & (F.col("class") == step(n))}).drop("class")
+
+
 # Step 5. A pair needs to be seen only in its first common column: what is at ``at``
 # of ``size`` columns there leaves size - at columns at most to have in common.
 WIDE = "7 * (size - at) >= 6 * n"  # the smaller row of a linked pair is wide, as its overlap is 6/7 of it or more
@@ -234,25 +246,26 @@ def _grown(comps: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """(node, comp) of all rows that are linked to others: steps 4 to 6."""
-    own, wide = F.struct("common", "node", "n", "at", "size"), F.expr(WIDE)
+    linear = SHORT * columns.count()
+    columns = store(_by_size(columns), "classes")
+    own = F.struct("common", "node", "n", "at", "size")
     need = _overlap_needed(F.col("n"), F.col("head.n")).alias("need")
     # each row and the best of its heads
-    heads = columns.filter(wide).groupBy("x").agg(F.max(own).alias("head"))
+    heads = columns.filter("wide").groupBy("x").agg(F.max(own).alias("head"))
     met = columns.join(heads, "x").withColumn("own", own).filter((F.col("node") != F.col("head.node")) & _possible("own", "head"))
     best = met.groupBy("node", "n").agg(F.max("head").alias("head")).select(F.col("head.node").alias("a"), F.col("node").alias("b"), need)
     tried = store(best, "pairs")
     links = counted(tried, rows)
     comps = None if links.isEmpty() else _grown(None, links)
-    linear = SHORT * columns.count()
     turn, done = 0, False
     while not done:
         turn += 1
         now = columns.withColumn("comp", F.col("node")) if comps is None else columns.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = store(now.select("x", "node", "n", "at", "size", "common", "comp"), "turn")
+        now = store(now.select("x", "node", "n", "at", "size", "common", "wide", "comp"), "turn")
         own = F.struct("common", "node", "n", "at", "size", "comp")
-        by_comp = now.groupBy("x", "comp").agg(F.count("*").alias("n"), F.count_if(wide).alias("w"), F.max(F.when(wide, own)).alias("head"))
-        live = by_comp.groupBy("x").agg(F.sum("n").alias("rows"), F.sum("w").alias("wide"), F.sum(F.col("n") * F.col("w")).alias("within"), F.max("head").alias("head"))
-        live = store(live.select("x", "rows", "head", (F.col("rows") * F.col("wide") - F.col("within")).alias("pairs")).filter("pairs > 0"), "live")
+        by_comp = now.groupBy("x", "comp").agg(F.count("*").alias("n"), F.count_if("wide").alias("w"), F.max(F.when(F.col("wide"), own)).alias("head"))
+        live = by_comp.groupBy("x").agg(F.sum(F.col("n") * F.col("w")).alias("within"), F.sum("n").alias("rows"), F.sum("w").alias("w"), F.max("head").alias("head"))
+        live = store(live.select("x", "rows", "head", (F.col("rows") * F.col("w") - F.col("within")).alias("pairs")).filter("pairs > 0"), "live")
         pairs_left = live.agg(F.sum("pairs")).collect()[0][0]
         if pairs_left is None:
             break
@@ -263,7 +276,7 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
         else:
             whole = F.lit(done) | (F.col("pairs") <= SHORT * F.col("rows"))
             lane = F.when(whole, F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << min(max(turn - 2, 0), 40))))
-            heads = now.filter(wide).join(live.select("x", "rows", "pairs"), "x").groupBy("x", lane.alias("lane")).agg(F.max(own).alias("head")).select("x", "head")
+            heads = now.filter("wide").join(live.select("x", "rows", "pairs"), "x").groupBy("x", lane.alias("lane")).agg(F.max(own).alias("head")).select("x", "head")
             if not done:
                 heads = store(heads, "heads")
                 left = now.join(live.filter(~whole).select("x"), "x", "left_semi").join(heads.select("x", F.col("head.node").alias("node")), ["x", "node"], "left_anti")
@@ -276,7 +289,7 @@ def link(rows: DataFrame, columns: DataFrame) -> DataFrame:
             comps = _grown(comps, links)
         tried = tried.unionByName(pairs)
         if not done:
-            columns = store(left.select("x", "node", "n", "at", "size", "common"), "columns")
+            columns = store(left.select("x", "node", "n", "at", "size", "common", "wide"), "columns")
         discard(now, live)
     if comps is None:
         return rows.select("node", F.col("node").alias("comp")).limit(0)

@@ -143,6 +143,27 @@ def test_passages_meet_around_a_line_that_many_texts_hold(spark):
     assert all(got[i]["n_repeated"] == 0 for i in range(60))
 
 
+@pytest.mark.parametrize(("families", "members"), [(40, 10), (1, 400)])
+def test_near_passages_are_recalled(spark, families, members):
+    """Texts whose passage of 50 words differs from their family's in one word: those
+    with a passage like that of another text (40 of 46 shingles) should be found."""
+    rng = random.Random(families)
+    say = lambda n: [f"u{rng.randrange(100_000)}" for _ in range(n)]
+    docs, like = [], []
+    for _ in range(families):
+        passage, lost = say(50), []
+        for _ in range(members):
+            at, own = rng.randrange(50), list(passage)
+            own[at] = say(1)[0]
+            docs.append(say(30) + own + say(30))
+            lost.append(set(range(max(0, at - 4), min(45, at) + 1)))
+        like += [any(i != j and 46 - len(a | b) >= 40 for j, b in enumerate(lost)) for i, a in enumerate(lost)]
+    got = {r["doc_id"]: r["n_repeated"] > 0 for r in substrings.repeats(spark.createDataFrame([(i, " ".join(d), "en", 7) for i, d in enumerate(docs)], SCHEMA)).collect()}
+    found = sum(got[i] for i, x in enumerate(like) if x)
+    print("recall", found, sum(like), sum(got[i] for i, x in enumerate(like) if not x))
+    assert found >= 0.9 * sum(like) and not any(got[i] for i, x in enumerate(like) if not x)
+
+
 def windows(w):
     return [frozenset(tuple(w[k + i : k + i + 5]) for i in range(46)) for k in range(len(w) - 49)]
 
