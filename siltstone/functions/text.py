@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 # White space as the query side trims it: ASCII, no-break and ideographic spaces.
 SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+NO_SPACE = SPACE[1:-1]  # to be put into a negated class
 LATIN = "[a-z0-9][a-z0-9._+-]*"
 CJK = "[\\u3400-\\u9fff]+"
 
@@ -187,7 +188,7 @@ def clean_text(text: Column) -> Column:
 
 
 def line_context(line: Column) -> Column:
-    for pattern, by in ((r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"""https?://[^\s<>"']+""", ""), (r"\|", " · ")):
+    for pattern, by in ((r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (rf"""https?://[^{NO_SPACE}<>"']+""", ""), (r"\|", " · ")):
         line = F.regexp_replace(line, pattern, by)
     return F.substring(clean_text(line), 1, 220)
 

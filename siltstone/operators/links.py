@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
-from siltstone.functions.text import line_context
+from siltstone.functions.text import NO_SPACE, line_context
 
-MARKDOWN = r"(!?)\[([^\]]*)\]\((https?://[^\s)]+)\)"
+# Where links stand in a line; white space of any script ends them.
+MARKDOWN = rf"(!?)\[([^\]]*)\]\((https?://[^{NO_SPACE})]+)\)"
 ANCHOR = r"""(?i)<a\b[^>]*href=["'](https?://[^"']+)["'][^>]*>(.*?)</a>"""
-BARE = r"""https?://[^\s<>"']+"""
+BARE = rf"""https?://[^{NO_SPACE}<>"']+"""
 
 
 def _matches(line: Column) -> Column:

@@ -13,19 +13,21 @@ from siltstone.shared import store
 
 
 def walk(nodes: DataFrame, root: DataFrame, depth: int = 100) -> DataFrame:
-    """All nodes below the root rows, with their depth: one join for each level.
+    """All nodes below the root rows, each once, with their depth: one join for each
+    level, so cycles end. A tree deeper than ``depth`` raises an error.
 
     nodes: nodeToken, parentNodeToken and others; root: the same columns.
     """
-    level = root.withColumn("depth", F.lit(0))
+    level = store(root.withColumn("depth", F.lit(0)), "level")
     out = level
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 2):
         above = level.select(F.col("nodeToken").alias("parentNodeToken"))
-        level = store(nodes.join(above, "parentNodeToken").select(*nodes.columns).withColumn("depth", F.lit(d)), "level")
+        below = nodes.join(above, "parentNodeToken").select(*nodes.columns).join(out.select("nodeToken"), "nodeToken", "left_anti").select(*nodes.columns)
+        level = store(below.dropDuplicates(["nodeToken"]).withColumn("depth", F.lit(d)), "level")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"the tree has more than {depth} levels")
 
 
 def with_parent_title(nodes: DataFrame, default: str) -> DataFrame:
@@ -53,18 +55,18 @@ def citations(docs: DataFrame) -> DataFrame:
 def closure(start: DataFrame, edges: DataFrame, allowed: DataFrame | None = None, depth: int = 100) -> DataFrame:
     """(id, depth) of all that is reached from ``start`` (id) along edges (src, dst):
     level by level, each only with what was not seen before, so cycles end. Only
-    ids in ``allowed`` are entered."""
+    ids in ``allowed`` are entered. More than ``depth`` levels raise an error."""
     seen = store(start.select("id").distinct().withColumn("depth", F.lit(0)), "seen")
     front = seen
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 2):
         reached = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         if allowed is not None:
             reached = reached.join(allowed.select("id"), "id", "left_semi")
         front = store(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)), "front")
         if front.isEmpty():
-            break
+            return seen
         seen = store(seen.unionByName(front), "seen")
-    return seen
+    raise ValueError(f"citations lead on for more than {depth} levels")
 
 
 def refused(cited: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -75,7 +75,9 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors closest to vector 0."""
-    return cosine_scores(spark, sf_dir).orderBy(F.desc("similarity"), "vec_id").limit(10)
+    query = F.array(*map(F.lit, _query_vector(spark, sf_dir)))
+    ranked = read_table(spark, sf_dir, "embeddings").select("vec_id", cosine(F.col("embedding"), query).alias("raw")).orderBy(F.desc("raw"), "vec_id").limit(10)
+    return ranked.select("vec_id", F.round("raw", 6).alias("similarity"))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +147,7 @@ ORACLE_SQL = {
     "corpus_statistics": f"WITH {_BM25} SELECT (SELECT n::BIGINT FROM s) AS n, (SELECT round(avg_len, 6) FROM s) AS avg_len, string_agg(df::VARCHAR, ',' ORDER BY i) AS df FROM d",
     "lexical_gate": f"WITH {_BM25} SELECT doc_id, matched::INTEGER AS matched, run::INTEGER AS run, passes FROM p",
     "cosine_scores": f"SELECT vec_id, round({_COSINE}, 6) AS similarity FROM (SELECT vec_id, embedding AS e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS v FROM embeddings)",
-    "cosine_topk": f"SELECT vec_id, round({_COSINE}, 6) AS similarity FROM (SELECT vec_id, embedding AS e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS v FROM embeddings) ORDER BY similarity DESC, vec_id LIMIT 10",
+    "cosine_topk": f"SELECT vec_id, round({_COSINE}, 6) AS similarity FROM (SELECT vec_id, embedding AS e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS v FROM embeddings) ORDER BY {_COSINE} DESC, vec_id LIMIT 10",
     "hybrid_search": f"""WITH {_BM25},
 m AS (SELECT p.*, lower(t.text) AS low, {_COSINE.replace("e::", "em.embedding::").replace("v::", "qv.embedding::")} AS raw, em.embedding IS NOT NULL AS has
       FROM p JOIN t USING (doc_id) LEFT JOIN embeddings em ON em.vec_id = p.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) qv),

@@ -10,32 +10,40 @@ from pyspark.sql import functions as F
 
 from siltstone.schemas import TABLES
 
-POINTER = "current"
+POINTER, POINTERS = "current", "version string, number long"
 
 
 def empty(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
 
 
+def _pointers(spark: SparkSession, path: str) -> DataFrame:
+    """(version, number) of all snapshots; numbers grow with each write."""
+    try:
+        return spark.read.schema(POINTERS).json(f"{path}/{POINTER}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], POINTERS)
+        raise
+
+
 def write(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> str:
     """Write a new version beside the others, then point to it: readers see the old
     snapshot or the new one, never a part of either."""
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{path}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/{POINTER}")
+    number = (_pointers(spark, path).agg(F.max("number")).collect()[0][0] or 0) + 1
+    spark.createDataFrame([(version, number)], POINTERS).coalesce(1).write.mode("append").json(f"{path}/{POINTER}")
     return version
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The latest snapshot; empty tables if there is none. Other errors are raised."""
-    try:
-        named = spark.read.schema("version string").json(f"{path}/{POINTER}").select("version", F.col("_metadata.file_modification_time").alias("t"))
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return empty(spark)
-        raise
-    last = named.agg(F.max_by("version", "t").alias("v")).collect()[0]["v"]
+    # of two writers that took one number at once, one wins for all readers
+    last = _pointers(spark, path).agg(F.max(F.struct("number", "version"))["version"].alias("v")).collect()[0]["v"]
+    if last is None:
+        return empty(spark)
     return {name: spark.read.schema(schema).parquet(f"{path}/{last}/{name}") for name, schema in TABLES.items()}
 
 

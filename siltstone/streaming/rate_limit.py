@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,7 +26,7 @@ def limited(events: DataFrame, key: str, ts: str, limit: int, window_s: int, ord
 
     Rows are dealt out by key and sorted, and each task walks through its sorted
     rows with the state of one key at a time: no key's events are ever gathered,
-    however many it has.
+    however many it has. Keys keep their values; null is a key like any other.
     """
     names = [c for c in events.columns if c not in ("allowed", "remaining", "reset_at")]
     seconds = "__us"
@@ -32,26 +34,33 @@ def limited(events: DataFrame, key: str, ts: str, limit: int, window_s: int, ord
     dealt = rows.repartition(key).sortWithinPartitions(key, seconds, order)
     span = window_s * 1_000_000
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, count, reset = object(), 0, 0
-        for frame in frames:
-            allowed, remaining, resets = [], [], []
-            for k, t in zip(frame[key].tolist(), frame[seconds].tolist(), strict=True):
-                if k != now or reset <= t:
-                    now, count, reset = k, 0, t + span
-                count += 1
-                allowed.append(count <= limit)
-                remaining.append(max(0, limit - count))
-                resets.append(reset)
-            yield frame[names].assign(allowed=allowed, remaining=remaining, reset_us=resets)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, reset = object(), 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(names.index(key))
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            times = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            heads = np.r_[0, np.flatnonzero(np.diff(codes)) + 1, len(codes)]
+            nth, ends = np.empty(len(codes), dtype=np.int64), np.empty(len(codes), dtype=np.int64)
+            for first, end in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+                own = keys[first].as_py()
+                if own != last:
+                    last, count, reset = own, 0, times[first]
+                at = first
+                while at < end:  # a step for each window, not for each event
+                    if reset <= times[at]:
+                        count, reset = 0, int(times[at]) + span
+                    to = at + int(np.searchsorted(times[at:end], reset))
+                    nth[at:to] = np.arange(count + 1, count + 1 + to - at)
+                    ends[at:to] = reset
+                    count, at = count + to - at, to
+            told = [pa.array(nth <= limit), pa.array(np.maximum(0, limit - nth).astype(np.int32)), pa.array(ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *told], names=[*names, "allowed", "remaining", "reset_us"])
 
     schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in names) + ", allowed boolean, remaining int, reset_us long"
-    return dealt.mapInPandas(run, schema).withColumn("reset_at", F.timestamp_micros("reset_us")).drop("reset_us")
-
-
-def counted(events: DataFrame, key: str, ts: str) -> DataFrame:
-    """Events numbered by key, for checks."""
-    return events.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(ts)))
+    return dealt.mapInArrow(run, schema).withColumn("reset_at", F.timestamp_micros("reset_us")).drop("reset_us")
 
 
 def limited_stream(events: DataFrame, key: str, ts: str, limit: int, window_s: int, late: str = "1 minute") -> DataFrame:

@@ -1,10 +1,12 @@
 """Chunks, ranking, cascade, sync, links, streams and snapshots, on literal rows."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions import dates
 from siltstone.functions.text import tokenize
 from siltstone.operators import chunking, conversations, links, reports, search, sync
 from siltstone.plans import link_queries
@@ -233,3 +235,53 @@ def test_request_bodies(spark):
     rows = [("application/json", '{"q": "x"}'), ("text/plain", "{}"), ("application/json", "{"), ("application/json; charset=utf-8", '{"q": "' + "y" * 99 + '"}')]
     df = spark.createDataFrame(rows, "content_type string, body string")
     assert [r["status"] for r in snapshot.requests(df, "q string", 50).collect()] == [200, 415, 400, 413]
+
+
+def test_rate_limits_keep_null_and_large_keys(spark):
+    at = "2024-01-01 00:00:"
+    rows = [(i, k, f"{at}{i % 60:02d}") for i, k in enumerate([None] * 8 + [9007199254740993] * 4 + [9007199254740992] * 4)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, at string").select("event_id", "user_id", F.col("at").cast("timestamp").alias("ts"))
+    got = rate_limit.limited(events, "user_id", "ts", 2, 3600, "event_id").collect()
+    allowed = {}
+    for r in got:
+        allowed[r["user_id"]] = allowed.get(r["user_id"], 0) + r["allowed"]
+    assert allowed == {None: 2, 9007199254740993: 2, 9007199254740992: 2} and len(got) == 16
+
+
+def test_rate_limits_equal_a_fold_over_events(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), rng.randrange(5000)) for i in range(3000)]
+    events = spark.createDataFrame(rows, "event_id long, user string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["event_id"]: (r["allowed"], r["remaining"]) for r in rate_limit.limited(events, "user", "ts", 5, 60, "event_id").collect()}
+    state, want = {}, {}
+    for i, user, s in sorted(rows, key=lambda r: (r[2], r[0])):
+        count, reset = state.get(user, (0, -1))
+        if reset <= s:
+            count, reset = 0, s + 60
+        state[user] = count + 1, reset
+        want[i] = count + 1 <= 5, max(0, 4 - count)
+    assert got == want
+
+
+def test_ideographic_space_ends_links_and_stands_in_ranges(spark):
+    docs = spark.createDataFrame([("d", "t", "https://own.example/d", "see https://a.example/p　and more")], "documentId string, documentTitle string, documentUrl string, markdown string")
+    assert [r["url"] for r in links.extract(docs).collect()] == ["https://a.example/p"]
+    title = spark.createDataFrame([("report 2024-01-01　~　2024-01-07",)], "title string")
+    got = title.select(dates.report_range(F.col("title")).alias("r")).collect()[0]["r"]
+    assert (str(got["start"]), str(got["end"])) == ("2024-01-01", "2024-01-07")
+
+
+def test_tree_walk_ends_in_cycles(spark):
+    nodes = spark.createDataFrame([("a", "r"), ("b", "a"), ("a2", "b"), ("r", "a2")], "nodeToken string, parentNodeToken string")
+    root = spark.createDataFrame([("r", None)], "nodeToken string, parentNodeToken string")
+    assert {(r["nodeToken"], r["depth"]) for r in sync.walk(nodes, root).collect()} == {("r", 0), ("a", 1), ("b", 2), ("a2", 3)}
+    with pytest.raises(ValueError, match="levels"):
+        sync.walk(nodes, root, depth=2)
+
+
+def test_the_last_of_two_snapshots_written_at_once_is_read(spark, tmp_path):
+    tables = snapshot.empty(spark)
+    versions = [snapshot.write(spark, str(tmp_path), tables) for _ in range(3)]
+    numbers = {r["version"]: r["number"] for r in spark.read.json(f"{tmp_path}/current").collect()}
+    assert [numbers[v] for v in versions] == [1, 2, 3]
+    assert set(snapshot.read(spark, str(tmp_path))) == set(tables)
