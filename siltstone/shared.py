@@ -11,6 +11,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,19 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of at most so many bytes for what is run inside, so that workers
+    hold few whole texts at a time; a single longer text is a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most_bytes)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished jobs. It does so once the
     driver's collector finds their plans gone, which may not happen for hours."""
