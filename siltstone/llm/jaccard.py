@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
 from siltstone.llm.text import SHINGLE, mix, shingle_hashes, utf8, words
-from siltstone.shared import discard, release, store
+from siltstone.shared import discard, release, small_batches, store
 
 EXTRA = 10  # l of step 2: a tenth of the row
 SHORT = 8  # a column with so many pairs a row is multiplied whole, as are all columns with so many a row together
@@ -86,11 +86,12 @@ def sizes(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col
                 row, node = _row(text, size)
                 names.append(node)
                 sizes.append(len(row))
-                firsts.append(row[:0] if node in seen else row[: len(row) // 4 + max(1, len(row) // EXTRA)])
+                firsts.append(row[: 0 if node in seen else len(row) // 4 + max(1, len(row) // EXTRA)].copy())  # not a view, which keeps the row
                 seen.add(node)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(names, type=pa.int64()), _lists(firsts)], names=["doc_id", "n", "node", "first"])
 
-    return store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n int, node long, first array<long>"), "shingles")
+    with small_batches(docs.sparkSession):
+        return store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n int, node long, first array<long>"), "shingles")
 
 
 def _met(known: DataFrame) -> DataFrame:
@@ -177,7 +178,8 @@ def blocks(docs: DataFrame, known: DataFrame, size: int, text_col: str) -> tuple
     found = entries.unionByName(added)
     least = F.greatest(F.lit(1), F.floor(_enough(F.col("n")) / EXTRA))
     some = store(found.groupBy("node", "n").agg(F.sum("mine").alias("c")).filter(F.col("c") >= least).select("node"), "some")
-    full = store(_full(docs, size, text_col, _flags(some)).join(some, "node", "left_semi"), "full")
+    with small_batches(docs.sparkSession):
+        full = store(_full(docs, size, text_col, _flags(some)).join(some, "node", "left_semi"), "full")
     discard(some)
     counts = full.select(F.explode("row").alias("x")).groupBy("x").agg(F.count("*").alias("rows")).filter("rows > 1")
     common = full.select("node", "n", F.explode("row").alias("x")).join(counts, "x")

@@ -69,17 +69,14 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, into: str = "stats", text_col: str = "text") -> DataFrame:
-    """``docs`` with the statistics of each text in a further column."""
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))])
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _statistics(text: pa.Array) -> pa.Array:
+    return pa.array([statistics(t) for t in utf8(text)], type=pa.list_(pa.float64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in utf8(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=pa.list_(pa.float64()))], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(run, schema)
+def with_statistics(docs: DataFrame, into: str = "stats", text_col: str = "text") -> DataFrame:
+    """``docs`` with the statistics of each text in a further column."""
+    return docs.withColumn(into, _statistics(F.col(text_col)))
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,12 +154,10 @@ def scored(stats: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep(known: DataFrame, model: Discriminant, least: float, stats: str = "stats") -> DataFrame:
     """The rows of ``known`` (from ``with_statistics``) whose text scores ``least``
-    or more, with all their other columns."""
-    at, schema = known.columns.index(stats), known.drop(stats).schema
+    or more, with all their other columns. Only statistics go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
-            yield batch.remove_column(at).filter(pa.array(model.score(x) >= least))
+    @F.arrow_udf(T.DoubleType())
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))))
 
-    return known.mapInArrow(run, schema)
+    return known.filter(score(F.col(stats)) >= least).drop(stats)
