@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, jaccard, mixing, quality, sharding
-from siltstone.shared import discard, read_table, stage_tables, store
+from siltstone.shared import discard, read_table, small_batches, stage_tables, store
 
 LEAST_QUALITY = 0.3
 KEY = "siltstone"
@@ -33,7 +33,8 @@ _tables = stage_tables()
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the discriminant, learnt from all labels, rejects."""
     with _tables.begin(docs):
-        known = store(quality.with_statistics(docs, "__stats"), "quality")
+        with small_batches(spark):
+            known = store(quality.with_statistics(docs, "__stats"), "quality")
         model = quality.train(known.select("doc_id", F.col("__stats").alias("stats")), read_table(spark, sf_dir, "labels"))
         return quality.keep(known, model, LEAST_QUALITY, "__stats")
 
