@@ -107,6 +107,17 @@ def category_counts(resources: DataFrame) -> DataFrame:
     return category_order(resources.sparkSession).join(counts, "category", "left").select("category", "ord", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def domain_count(resources: DataFrame) -> DataFrame:
+    """One row: how many domains the resources have."""
+    return resources.agg(F.count_distinct("domain").alias("n_domains"))
+
+
+def carried(mentions: DataFrame, failed: DataFrame) -> DataFrame:
+    """Mentions of the last snapshot in documents (id) that could not be read now:
+    they stay, as nothing is known of these documents' new text."""
+    return mentions.join(failed.select(F.col("id").alias("documentId")), "documentId", "left_semi")
+
+
 def default_category(resources: DataFrame) -> DataFrame:
     return category_counts(resources).filter("n > 0").agg(F.min_by("category", "ord").alias("category"))
 

@@ -30,6 +30,21 @@ def walk(nodes: DataFrame, root: DataFrame, depth: int = 100) -> DataFrame:
     raise ValueError(f"the tree has more than {depth} levels")
 
 
+def documents_of(nodes: DataFrame) -> DataFrame:
+    """Nodes that are text documents."""
+    return nodes.filter(F.col("objType") == "docx")
+
+
+def tokens_of(nodes: DataFrame) -> DataFrame:
+    """(id) the node and object tokens of nodes, each once."""
+    return nodes.select(F.col("nodeToken").alias("id")).union(nodes.select("objToken")).distinct()
+
+
+def listed(documents: DataFrame) -> DataFrame:
+    """Documents by title from the last to the first, as Chinese sorts them."""
+    return documents.orderBy(F.collate("title", "zh").desc(), "doc_pos")
+
+
 def with_parent_title(nodes: DataFrame, default: str) -> DataFrame:
     parents = nodes.select(F.col("nodeToken").alias("parentNodeToken"), F.col("title").alias("parentTitle"))
     return nodes.join(parents, "parentNodeToken", "left").withColumn("parentTitle", F.coalesce("parentTitle", F.lit(default)))

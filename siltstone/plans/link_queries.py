@@ -60,6 +60,26 @@ def resource_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.matching(links.resources(found, order), links.mentions(found, order), "Skill / 知识库 / 工作流", " COURSE 3").select("id", "url", "title")
 
 
+def resource_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many domains the link targets have."""
+    return links.domain_count(links.resources(links.extract(_inputs(spark, sf_dir)), [F.col("documentId").cast("long"), F.col("pos")]))
+
+
+def failed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of pages that a second ingest could not read, one in ten."""
+    found = _inputs(spark, sf_dir)
+    failed = found.filter(F.col("page_id") % 10 == 2).select(F.col("documentId").alias("id"))
+    kept = links.carried(links.mentions(links.extract(found), [F.col("documentId").cast("long"), F.col("pos")]), failed)
+    return kept.select(F.col("documentId").cast("long").alias("page_id"), "url", "context")
+
+
+def node_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of customers as nodes; those of one segment are documents."""
+    of = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    nodes = read_table(spark, sf_dir, "customer").select(of("c", "c_custkey").alias("nodeToken"), of("n", "c_nationkey").alias("objToken"), F.when(F.col("c_mktsegment") == "BUILDING", "docx").otherwise("sheet").alias("objType"))
+    return sync.tokens_of(sync.documents_of(nodes))
+
+
 def parent_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers below nations below regions: every node's depth and parent's title."""
     nation, customer = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "customer")
@@ -125,7 +145,7 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.state(docs, held, []).select("status", "documentCount", "chunkCount", "embeddedChunkCount")
 
 
-QUERIES = {f.__name__: f for f in (url_sanitize, url_domains, link_extract, resource_merge, category_counts, resource_filter, parent_titles, citations, citation_closure, citations_refused, sync_diff, embedding_pending, index_status)}
+QUERIES = {f.__name__: f for f in (url_sanitize, url_domains, link_extract, resource_merge, category_counts, resource_filter, resource_domains, failed_mentions, node_tokens, parent_titles, citations, citation_closure, citations_refused, sync_diff, embedding_pending, index_status)}
 
 _URL = r"""regexp_extract({0}, '^(https?)://', 1) || '://' || lower(regexp_extract({0}, '^https?://([^/?#]*)', 1)) ||
 CASE WHEN regexp_replace(regexp_extract({0}, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract({0}, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') END ||
@@ -153,6 +173,9 @@ SELECT page_id, clean, regexp_replace(regexp_extract(clean, '^https?://([^/?#]*)
     "resource_merge": f"{_LINKS} SELECT id, url, title, domain, category, n_mentions, first_document FROM m",
     "category_counts": f"{_LINKS}, d(category, ord) AS (VALUES {_CATS}) SELECT d.category, d.ord, count(m.url) AS n FROM d LEFT JOIN m USING (category) GROUP BY ALL",
     "resource_filter": f"{_LINKS} SELECT id, url, title FROM m WHERE category = 'Skill / 知识库 / 工作流' AND title = 'Skill course 3'",
+    "resource_domains": f"{_LINKS} SELECT count(DISTINCT domain) AS n_domains FROM m",
+    "failed_mentions": f"{_LINKS} SELECT DISTINCT page_id, url, context FROM r WHERE page_id % 10 = 2",
+    "node_tokens": "SELECT 'c' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT 'n' || c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'",
     "parent_titles": """WITH RECURSIVE n AS (SELECT 'n' || n_nationkey AS nodeToken, 'r' || n_regionkey AS p, n_name AS title FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
 w AS (SELECT 'r' || r_regionkey AS nodeToken, r_name AS title, 'root' AS parentTitle, 0 AS depth FROM region
   UNION ALL SELECT n.nodeToken, n.title, w.title, w.depth + 1 FROM w JOIN n ON n.p = w.nodeToken)
