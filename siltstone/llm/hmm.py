@@ -1,18 +1,25 @@
 """Hidden Markov language model, trained by Baum-Welch across partitions.
 
-Words are counted over all training texts. The most frequent ones (a bounded
-head of the vocabulary) have an emission probability of their own in every
-state. All others, and unseen words, share one symbol per state; within it, a
-word has the Laplace-smoothed share of its count among them. So the model is a
-proper distribution over all words while states hold tables of bounded size.
+Words are counted over all training texts, and every word of them has an emission
+probability of its own in each state. Those of the most frequent words (the head)
+are held in tables in the tasks; those of all others are a stored table that grows
+with the vocabulary and that is joined to the texts, by word. One further symbol
+stands for all unseen words, so the model is a proper distribution.
 
 Each round of Baum-Welch runs the scaled forward and backward recursions over
-all training texts; expected counts are added up across partitions, and tables
-of bounded size (states x head) come to the driver. Scores are the exact
-likelihood by the scaled forward recursion.
+all training texts and adds up expected counts across partitions. In all rounds
+but the last, words outside the head share one symbol, within which each has the
+same share in every state; the last round counts each of them by state. (The share
+cancels in what is expected, so every round is an exact one for its model.) Only
+tables of states x head come to the driver. Counts are rounded to 2^-16 before
+they are added, so that sums do not depend on their order.
 
-The starting point is taken from a bounded number of training texts, which are
-grouped by their words; the rounds that follow use all of them.
+States begin as groups of training texts, of all of them: first by a random
+direction for each word of the head, then once more by the words of these groups.
+
+Scores are the exact likelihood by the scaled forward recursion. Long texts are
+taken in spans: forward variables are kept where spans begin, and computed again
+from there on the way back.
 
 Cases: a null text is empty and has the end token only; repeated rows count and
 are scored each; without training texts all counts are 0 and every word is
@@ -28,16 +35,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.text import utf8, words
-from siltstone.shared import store
+from siltstone.shared import discard, release, small_batches, store
 
-STATES, HEAD, ROUNDS, START_TEXTS = 8, 32_768, 3, 512
-END, TAIL, FIRST = 0, 1, 2  # ids: the end token, all words outside the head, the head
+STATES, HEAD, ROUNDS = 8, 32_768, 3
+END, TAIL, FIRST = 0, 1, 2  # ids: the end token, words outside the head, the head
 FLUSH = 400_000  # distinct words that a task holds while counting
 CELLS = 1 << 18  # words in a block of texts that the recursions take at once
+SPAN = 1 << 15  # steps of long texts that are held at once
+UNIT = 65_536.0  # expected counts are multiples of 1 / UNIT
 PRIOR = 200.0  # weight, in words, of the overall distribution in each state's
 
 
@@ -90,10 +100,12 @@ class Model:
     emit: np.ndarray  # ids x K
 
 
-def _blocks(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, their lengths, ids as steps x rows) of texts of similar length, longest first."""
+def _blocks(lists: pa.ListArray, flat: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their lengths, ids as steps x rows) of texts of similar length, longest
+    first. ``flat`` takes the place of the lists' values."""
     lengths = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if flat is None:
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
     starts = np.r_[0, np.cumsum(lengths)][:-1]
     order = np.argsort(-lengths, kind="stable")
     at = 0
@@ -102,112 +114,225 @@ def _blocks(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         rows = order[at : at + max(1, CELLS // max(1, steps))]
         at += len(rows)
         size = lengths[rows]
-        ids = np.zeros((steps, len(rows)), dtype=np.int64)
+        ids = np.zeros((steps, len(rows)), dtype=np.int32)
         t = np.arange(steps)[:, None]
         live = t < size[None, :]
         ids[live] = flat[(starts[rows][None, :] + t)[live]]
         yield rows, size, ids
 
 
-def _forward(model: Model, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward variables, emissions, scales (1 past a text's end) and live texts by step."""
+def _forward(model: Model, size: np.ndarray, ids: np.ndarray, begin: int = 0, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward variables, emissions, scales (1 past a text's end) and live texts
+    by step, for the steps from ``begin`` on, with the variables ``before`` them."""
     steps, n = ids.shape
-    live = np.searchsorted(-size, -np.arange(steps), side="left")  # texts longer than t, as the longest come first
+    live = np.searchsorted(-size, -np.arange(begin, begin + steps), side="left")  # texts longer than t, as the longest come first
     emit = model.emit[ids]
     alpha = np.zeros_like(emit)
     scale = np.ones((steps, n))
     for t in range(steps):
         m = live[t]
-        a = (alpha[t - 1, :m] @ model.move if t else np.broadcast_to(model.start, (m, len(model.start)))) * emit[t, :m]
+        last = alpha[t - 1] if t else before
+        a = (np.broadcast_to(model.start, (m, len(model.start))) if last is None else last[:m] @ model.move) * emit[t, :m]
         c = a.sum(axis=1)
         scale[t, :m] = c
         alpha[t, :m] = a / c[:, None]
     return alpha, emit, scale, live
 
 
+def _likely(model: Model, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """log10 of each text's likelihood."""
+    total, last = np.zeros(len(size)), None
+    for begin in range(0, len(ids), SPAN):
+        alpha, _, scale, _ = _forward(model, size, ids[begin : begin + SPAN], begin, last)
+        total += np.log10(scale).sum(axis=0)
+        last = alpha[-1]
+    return total
+
+
 def _expected(model: Model, size: np.ndarray, ids: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
     """Adds the expected starts, moves and emissions of a block of texts."""
-    alpha, emit, scale, live = _forward(model, size, ids)
-    steps = len(ids)
-    ahead = emit / scale[:, :, None]
-    beta = np.ones_like(alpha)
-    for t in range(steps - 2, -1, -1):
-        m = live[t + 1]
-        ahead[t + 1, :m] *= beta[t + 1, :m]
-        ahead[t + 1, m:] = 0
-        beta[t, :m] = ahead[t + 1, :m] @ model.move.T
-    gamma = alpha * beta  # 0 past a text's end, as alpha is
     start, move, counts = into
-    start += gamma[0].sum(axis=0)
-    if steps > 1:
-        k = len(model.start)
-        move += model.move * (alpha[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
-    flat = ids.ravel()
-    for k in range(len(model.start)):
-        counts[:, k] += np.bincount(flat, weights=gamma[:, :, k].ravel(), minlength=len(counts))
-
-
-def baum_welch(encoded: DataFrame, model: Model, prior: np.ndarray) -> Model:
-    """One round over all rows of ``encoded`` (column ids)."""
+    k = len(model.start)
+    begins, lasts = list(range(0, len(ids), SPAN)), [None]
+    for begin in begins[:-1]:
+        lasts.append(_forward(model, size, ids[begin : begin + SPAN], begin, lasts[-1])[0][-1].copy())
+    after, follow = None, 0  # what the next span's first step is worth, and the texts that reach it
+    for begin, last in zip(reversed(begins), reversed(lasts), strict=True):
+        alpha, emit, scale, live = _forward(model, size, ids[begin : begin + SPAN], begin, last)
+        ahead = emit / scale[:, :, None]
+        beta = np.ones_like(alpha)
+        for t in range(len(alpha) - 1, -1, -1):
+            if after is not None:
+                beta[t, :follow] = after[:follow] @ model.move.T
+            follow = live[t]
+            ahead[t, :follow] *= beta[t, :follow]
+            ahead[t, follow:] = 0
+            after = ahead[t]
+        after = after.copy()
+        if len(alpha) > 1:
+            move += model.move * (alpha[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
+        if last is not None:
+            move += model.move * (last.T @ ahead[0])
+        beta *= alpha  # 0 past a text's end, as alpha is
+        if begin == 0:
+            start += beta[0].sum(axis=0)
+        flat = ids[begin : begin + SPAN].ravel()
+        for j in range(k):
+            counts[:, j] += np.bincount(flat, weights=beta[:, :, j].ravel(), minlength=len(counts))
+
+
+def _rows(word: pa.Array, row: np.ndarray, n: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    """Added counts by head id, or by word; whole multiples of 1 / UNIT add up alike in any order."""
+    g = np.rint(g * UNIT) / UNIT
+    names = ["row", "word", "n", *(f"g{j}" for j in range(g.shape[1]))]
+    return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), word, pa.array(n.astype(np.int64)), *(pa.array(g[:, j].copy()) for j in range(g.shape[1]))], names=names)
+
+
+def _sums(encoded: DataFrame, model: Model, by_word: bool) -> DataFrame:
+    """Expected counts over all rows of ``encoded`` (columns ids, tail), as rows of
+    (row, word, n, g0, ...): emissions of the head by id, then moves, then starts.
+    ``by_word``: words outside the head each, with their occurrences, in place of id TAIL."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     symbols, k = model.emit.shape
-    fields = [f"g{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         total = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
         for batch in batches:
-            for _, size, ids in _blocks(batch.column(0)):
-                _expected(model, size, ids, total)
-        rows = np.concatenate([total[2], total[1], total[0][None, :]])  # emissions, then moves, then starts
+            lists, own, flat, here = batch.column(0), total[2], None, model
+            if by_word:
+                coded = batch.column(1).flatten().dictionary_encode()
+                which = coded.indices.to_numpy()
+                flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
+                flat[flat == TAIL] = symbols + which
+                found = len(coded.dictionary)
+                own = np.zeros((symbols + found, k))
+                here = Model(model.start, model.move, np.concatenate([model.emit, np.repeat(model.emit[TAIL : TAIL + 1], found, axis=0)]))
+            for _, size, ids in _blocks(lists, flat):
+                _expected(here, size, ids, (total[0], total[1], own))
+            if by_word:
+                np.add(total[2], own[:symbols], out=total[2])
+                yield _rows(coded.dictionary, np.full(found, TAIL), np.bincount(which, minlength=found), own[symbols:])
+        rows = np.concatenate([total[2], total[1], total[0][None, :]])
         some = np.flatnonzero(rows.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(rows[some, i]) for i in range(k))], names=["row", *fields])
+        yield _rows(pa.nulls(len(some), pa.binary()), some, np.zeros(len(some)), rows[some])
 
-    parts = encoded.select("ids").mapInArrow(run, "row int, " + ", ".join(f"{f} double" for f in fields))
-    added = parts.groupBy("row").agg(*(F.sum(f).alias(f) for f in fields)).toArrow()  # head x states numbers
-    shared.destroy()
+    fields = [f"g{j}" for j in range(k)]
+    parts = encoded.select("ids", "tail").mapInArrow(run, "row int, word binary, n long, " + ", ".join(f"{f} double" for f in fields))
+    return parts.groupBy("row", "word").agg(F.sum("n").alias("n"), *(F.sum(f).alias(f) for f in fields))
+
+
+def _fetch(sums: DataFrame, symbols: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions of the head, moves and starts: at most head x states numbers."""
+    added = sums.filter("word is null").toArrow()
     rows = np.zeros((symbols + k + 1, k))
-    for i, f in enumerate(fields):
-        rows[added["row"].to_numpy(), i] = added[f].to_numpy()
-    counts, move, start = rows[:symbols], rows[symbols:-1] + 1.0, rows[-1] + 1.0
+    for j in range(k):
+        rows[added["row"].to_numpy(), j] = added[f"g{j}"].to_numpy()
+    move, start = rows[symbols:-1] + 1.0, rows[-1] + 1.0
+    return rows[:symbols], move / move.sum(axis=1, keepdims=True), start / start.sum()
+
+
+def baum_welch(encoded: DataFrame, model: Model, prior: np.ndarray) -> Model:
+    """One round over all rows of ``encoded``, with one symbol for words outside the head."""
+    counts, move, start = _fetch(_sums(encoded, model, False), *model.emit.shape)
     # every symbol keeps an occurrence of its own, shared among the states by their weight
     emit = counts + PRIOR * prior[:, None] + counts.sum(axis=0) / max(1.0, counts.sum())
-    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-
-
-def _begin(encoded: DataFrame, prior: np.ndarray, states: int) -> Model:
-    """States from groups of at most START_TEXTS texts, by spherical k-means."""
-    some = encoded.filter(F.size("ids") > 20).orderBy(F.xxhash64("ids"), "ids").select(F.slice("ids", 1, 2_000).alias("ids")).limit(START_TEXTS).collect()
-    symbols = len(prior)
-    centres = np.tile(prior, (states, 1))
-    if some:
-        used = np.unique(np.concatenate([np.asarray(r["ids"]) for r in some]))
-        counts = np.array([np.bincount(np.searchsorted(used, np.asarray(r["ids"])), minlength=len(used)) for r in some], dtype=np.float64)
-        look = np.sqrt(counts)
-        look /= np.linalg.norm(look, axis=1, keepdims=True)
-        seeds = [0]
-        while len(seeds) < min(states, len(some)):
-            seeds.append(int(np.argmin((look @ look[seeds].T).max(axis=1))))
-        middle = look[seeds]
-        for _ in range(8):
-            group = np.argmax(look @ middle.T, axis=1)
-            middle = np.array([look[group == g].sum(axis=0) if (group == g).any() else middle[g] for g in range(len(seeds))])
-            middle /= np.linalg.norm(middle, axis=1, keepdims=True)
-        for g in range(len(seeds)):
-            own = counts[group == g].sum(axis=0)
-            if own.sum():
-                centres[g] *= 0.5
-                centres[g, used] += 0.5 * own / own.sum()
+    return Model(start, move, emit / emit.sum(axis=0))
+
+
+@dataclass
+class Smoothing:
+    """Emissions from expected counts g and occurrences c: (g + PRIOR * (c + 1) / n + weight) / total."""
+
+    n: float  # occurrences of all symbols, one more for each
+    weight: np.ndarray  # K
+    total: np.ndarray  # K
+
+    def emissions(self, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (g + PRIOR * (c[:, None] + 1) / self.n + self.weight) / self.total
+
+
+def last_round(encoded: DataFrame, model: Model, known: np.ndarray, symbols: int) -> tuple[Model, Smoothing, DataFrame]:
+    """A round that counts every word by itself: the model, in which id TAIL now stands for
+    unseen words, and a stored (word, c, g) of words outside the head, g as K floats.
+    ``known``: occurrences by id, ``symbols``: number of words, end and unseen words included."""
+    k = model.emit.shape[1]
+    sums = store(_sums(encoded, model, True), "hmm-sums")
+    counts, move, start = _fetch(sums, *model.emit.shape)
+    rare = sums.filter("word is not null")
+    added = rare.agg(*(F.sum(f"g{j}").alias(f"g{j}") for j in range(k))).collect()[0]
+    whole = counts.sum(axis=0) + np.array([x or 0.0 for x in added])
+    weight = whole / max(1.0, whole.sum())
+    smooth = Smoothing(float(known.sum() + symbols), weight, whole + PRIOR + symbols * weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = np.stack([batch.column(2 + j).to_numpy() for j in range(k)], axis=1).astype("<f4")
+            packed = pa.Array.from_buffers(pa.binary(4 * k), len(g), [None, pa.py_buffer(g.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["word", "c", "g"])
+
+    table = store(rare.select("word", "n", *(f"g{j}" for j in range(k))).mapInArrow(run, "word binary, c long, g binary"), "hmm-emissions")
+    each = known.copy()
+    each[TAIL] = 0
+    return Model(start, move, smooth.emissions(counts, each)), smooth, table
+
+
+def _group(encoded: DataFrame, weights: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every text goes to the group with the largest start plus sum of its words' weights:
+    occurrences by id, and texts, for each group."""
+    shared = encoded.sparkSession.sparkContext.broadcast((weights, start))
+    symbols, k = weights.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, start = shared.value
+        counts, texts = np.zeros(symbols * k), np.zeros((1, k))
+        for batch in batches:
+            lengths = np.diff(batch.column(0).offsets.to_numpy())
+            if not len(lengths):
+                continue
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            begins = np.r_[0, np.cumsum(lengths)][:-1]  # no text is without its end token
+            group = np.argmax(start + np.stack([np.add.reduceat(weights[:, j][flat], begins) for j in range(k)], axis=1), axis=1)
+            texts += np.bincount(group, minlength=k)
+            counts += np.bincount(np.repeat(group, lengths) * symbols + flat, minlength=len(counts))
+        rows = np.concatenate([counts.reshape(k, symbols).T, texts])
+        some = np.flatnonzero(rows.sum(axis=1))
+        yield _rows(pa.nulls(len(some), pa.binary()), some, np.zeros(len(some)), rows[some])
+
+    fields = [f"g{j}" for j in range(k)]
+    parts = encoded.select("ids").mapInArrow(run, "row int, word binary, n long, " + ", ".join(f"{f} double" for f in fields))
+    added = parts.groupBy("row").agg(*(F.sum(f).alias(f) for f in fields)).toArrow()  # head x states numbers
+    rows = np.zeros((symbols + 1, k))
+    for j in range(k):
+        rows[added["row"].to_numpy(), j] = added[f"g{j}"].to_numpy()
+    shared.destroy()
+    return rows[:-1], rows[-1]
+
+
+def _begin(encoded: DataFrame, prior: np.ndarray, states: int, refinements: int = 1) -> Model:
+    """States from groups of all texts."""
+    weights = np.random.default_rng(0).standard_normal((len(prior), states)) * -np.log(prior)[:, None]
+    weights -= prior @ weights  # what is usual tells no groups apart
+    start = np.zeros(states)
+    for _ in range(1 + refinements):
+        counts, texts = _group(encoded, weights, start)
+        size = counts.sum(axis=0)
+        centres = 0.5 * prior[:, None] + 0.5 * np.where(size > 0, counts / np.maximum(size, 1.0), prior[:, None])
+        weights = np.log(centres / prior[:, None])
+        start = np.log((texts + 1) / (texts + 1).sum())
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), move, centres.T.copy())
+    return Model(np.full(states, 1 / states), move, centres)
 
 
 def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: int = HEAD, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score and score (log10), learning from those that are not held out."""
+    base_score and score (log10), learning from those that are not held out in
+    ``rounds`` rounds, one at least."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    counts = count_words(rows.filter("not held_out"))
+    with small_batches(spark):
+        counts = count_words(rows.filter("not held_out"))
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).collect()[0]
     n, v, ends = totals["n"] or 0, totals["v"], totals["ends"] or 0
     # the head: words with at least so many occurrences that it stays within its size
@@ -221,50 +346,60 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
     top = named.filter(F.col("c") >= least).orderBy("word").toArrow()
     in_head = np.asarray(top["c"], dtype=np.float64)
     known = np.r_[ends, n - ends - in_head.sum(), in_head]  # by id
-    tail_words = v - (1 if ends else 0) - len(in_head)
     prior = (known + 1) / (known + 1).sum()
     head = {w: FIRST + i for i, w in enumerate(top["word"].to_pylist())}
-    encoded = encode(rows.withColumn("key", F.monotonically_increasing_id()), head, "text")
-    training = encoded.filter("not held_out")
-    del head, top
-    model = _begin(training, prior, states)
-    for _ in range(rounds):
-        model = baum_welch(training, model, prior)
-
-    # words outside the head: their counts, by document
-    rare = named.filter(F.col("c") < least)
-    told = encoded.select("key", F.explode("tail").alias("word")).join(rare, "word", "left")
-    by_doc = told.groupBy("key").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("tail_logs"), F.count("c").alias("tail_known"))
-
-    shared = encoded.sparkSession.sparkContext.broadcast((model, np.log10(known + 1), known > 0))
+    with small_batches(spark):
+        encoded = encode(rows.withColumn("key", F.monotonically_increasing_id()), head, "text")
+        discard(counts)
+        training = encoded.filter("not held_out")
+        del head, top
+        model = _begin(training, prior, states)
+        for _ in range(rounds - 1):
+            model = baum_welch(training, model, prior)
+        model, smooth, table = last_round(training, model, known, v + (1 if ends else 2))
+    release(spark)
+
+    # words outside the head that training texts hold: where they are, by document
+    told = encoded.select("key", F.posexplode("tail").alias("at", "word")).join(table, "word")
+    by_doc = told.groupBy("key").agg(F.collect_list(F.struct("at", "c", "g")).alias("rare"))
+    shared = spark.sparkContext.broadcast((model, smooth, np.log10(np.where(np.arange(len(known)) == TAIL, 0, known) + 1), known > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs, seen = shared.value
-        logs, seen = logs.copy(), seen.copy()
-        logs[TAIL], seen[TAIL] = 0.0, False
+        model, smooth, logs, seen = shared.value
+        symbols, k = model.emit.shape
         for batch in batches:
-            lists = batch.column(3)
-            likely, base, some = np.zeros(len(lists)), np.zeros(len(lists)), np.zeros(len(lists), dtype=np.int64)
-            tails = np.zeros(len(lists), dtype=np.int64)
-            for at, size, ids in _blocks(lists):
-                _, _, scale, _ = _forward(model, size, ids)
-                inside = np.arange(len(ids))[:, None] < size[None, :]
-                likely[at] = np.log10(scale).sum(axis=0)
-                base[at] = (logs[ids] * inside).sum(axis=0)
-                some[at] = (seen[ids] & inside).sum(axis=0)
-                tails[at] = ((ids == TAIL) & inside).sum(axis=0)
+            lists, rare = batch.column(3), batch.column(4)
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, (sizes, tails, some, base, likely))], names=["key", "doc_id", "held_out", "n_tokens", "n_tail", "head_known", "head_logs", "likely"])
-
-    schema = f"key long, doc_id {encoded.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_tail long, head_known long, head_logs double, likely double"
-    scored = encoded.select("key", "doc_id", "held_out", "ids").mapInArrow(run, schema).join(by_doc, "key", "left")
-    tail_logs = F.coalesce("tail_logs", F.lit(0.0))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
+            begins = np.r_[0, np.cumsum(sizes)]
+            # the place of a document's i-th word outside the head
+            tails = np.flatnonzero(flat == TAIL)
+            first = np.searchsorted(tails, begins[:-1])
+            own = pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False)
+            found = rare.flatten()
+            flat[tails[np.repeat(first, own) + found.field("at").to_numpy()]] = symbols + np.arange(len(found))
+            c = found.field("c").to_numpy().astype(np.float64)
+            g = np.frombuffer(b"".join(found.field("g").to_pylist()), dtype="<f4").reshape(-1, k)
+            here = Model(model.start, model.move, np.concatenate([model.emit, smooth.emissions(g, c)]))
+            token_logs = np.r_[logs, np.log10(c + 1)][flat]
+            base = np.add.reduceat(token_logs, begins[:-1]) if len(sizes) else np.zeros(0)
+            token_seen = (np.r_[seen, c > 0] & (np.arange(symbols + len(c)) != TAIL))[flat]
+            some = np.add.reduceat(token_seen.astype(np.int64), begins[:-1]) if len(sizes) else np.zeros(0, dtype=np.int64)
+            likely = np.zeros(len(sizes))
+            for at, size, ids in _blocks(lists, flat):
+                likely[at] = _likely(here, size, ids)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *map(pa.array, (sizes, some, base, likely))], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
+
+    schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double"
+    with small_batches(spark):
+        scored = store(encoded.select("key", "doc_id", "held_out", "ids").join(by_doc, "key", "left").select("key", "doc_id", "held_out", "ids", "rare").mapInArrow(run, schema), "hmm-scores")
+    discard(encoded, table)
     return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_logs") + tail_logs - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("likely") + tail_logs - F.col("n_tail") * math.log10(known[TAIL] + tail_words + 1)).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        "score",
     )

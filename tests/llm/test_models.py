@@ -71,6 +71,42 @@ def test_hmm_forward_is_exact_likelihood_and_training_raises_it():
     assert sum(math.log(brute(after, s)) for s in seqs) > sum(math.log(brute(model, s)) for s in seqs)
 
 
+def test_hmm_long_texts_in_spans_are_the_same(monkeypatch):
+    rng = np.random.default_rng(1)
+    k, symbols = 3, 7
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), size=k), rng.dirichlet(np.ones(symbols), size=k).T)
+    size = np.array([23, 20, 8, 1])
+    ids = np.where(np.arange(23)[:, None] < size, rng.integers(0, symbols, (23, 4)), 0)
+    found = []
+    for span in (1 << 15, 5):
+        monkeypatch.setattr(hmm, "SPAN", span)
+        total = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
+        hmm._expected(model, size, ids, total)
+        found.append((*total, hmm._likely(model, size, ids)))
+    assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(*found, strict=True))
+    assert math.isclose(found[1][1].sum(), sum(size - 1)) and math.isclose(found[1][2].sum(), sum(size))
+
+
+def test_hmm_words_outside_the_head_have_emissions_of_their_own(spark):
+    """One state is a smoothed unigram, whatever the head's size; with more states rare words of one kind raise each other."""
+    rows = [(i, t) for i, t in enumerate(["a b c", "a b d d", "a e", None, "f g h i j"])] + [(10, "a d zz"), (11, "h q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(w for i, t in rows if i < 10 for w in [*words((t or "").encode()), b""])
+    n, s = sum(counts.values()), len(counts) + 1
+    for head_size in (0, 2, 100):
+        got = {r["doc_id"]: r for r in hmm.score(df, F.col("doc_id") >= 10, states=1, head_size=head_size, rounds=2).collect()}
+        for i, t in rows:
+            tokens = [*words((t or "").encode()), b""]
+            want = sum(math.log10((counts[w] + hmm.PRIOR * (counts[w] + 1) / (n + s) + 1) / (n + hmm.PRIOR + s)) for w in tokens)
+            assert math.isclose(got[i]["score"], want, abs_tol=1e-6)
+    kinds = [[f"a{i}" for i in range(300)], [f"b{i}" for i in range(300)]]
+    rng = random.Random(3)
+    rows = [(i, " ".join(["x" if i % 2 else "y"] * 20 + [rng.choice(kinds[i % 2]) for _ in range(40)])) for i in range(200)]
+    probes = [(1000, "x " * 5 + "a1 a2 a3 a4"), (1001, "x " * 5 + "b1 b2 b3 b4"), (1002, "y " * 5 + "a1 a2 a3 a4"), (1003, "y " * 5 + "b1 b2 b3 b4")]
+    got = {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(rows + probes, "doc_id long, text string"), F.col("doc_id") >= 1000, states=2, head_size=2).collect()}
+    assert got[1001] > got[1000] + 1 and got[1002] > got[1003] + 1
+
+
 def test_hmm_is_a_distribution_over_words(spark):
     """One-word texts: the probabilities of all known words and an unseen one add up to those of two-token texts."""
     rows = [(i, w) for i, w in enumerate(["a a b", "b c", "c d e", "a"])]
