@@ -32,6 +32,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ FLUSH = 400_000  # distinct words that a task holds while counting
 CELLS = 1 << 18  # words in a block of texts that the recursions take at once
 SPAN = 1 << 15  # steps of long texts that are held at once
 UNIT = 65_536.0  # expected counts are multiples of 1 / UNIT
+SHARES = 255  # parts of a rare word's occurrences, as states share them
 PRIOR = 200.0  # weight, in words, of the overall distribution in each state's
 
 
@@ -254,24 +256,21 @@ class Smoothing:
 
 def last_round(encoded: DataFrame, model: Model, known: np.ndarray, symbols: int) -> tuple[Model, Smoothing, DataFrame]:
     """A round that counts every word by itself: the model, in which id TAIL now stands for
-    unseen words, and a stored (word, c, g) of words outside the head, g as K floats.
+    unseen words, and a stored (word, c, g) of words outside the head: g has, in bytes, the
+    states' parts of c in 255ths, and totals are of these parts, so probabilities add up to 1.
     ``known``: occurrences by id, ``symbols``: number of words, end and unseen words included."""
     k = model.emit.shape[1]
     sums = store(_sums(encoded, model, True), "hmm-sums")
     counts, move, start = _fetch(sums, *model.emit.shape)
-    rare = sums.filter("word is not null")
-    added = rare.agg(*(F.sum(f"g{j}").alias(f"g{j}") for j in range(k))).collect()[0]
-    whole = counts.sum(axis=0) + np.array([x or 0.0 for x in added])
+    packed = [F.shiftleft(F.least(F.rint(F.col(f"g{j}") / F.col("n") * SHARES), F.lit(SHARES)).cast("long"), 8 * (j % 8)) for j in range(k)]
+    longs = [reduce(lambda x, y: x.bitwiseOR(y), packed[j : j + 8]) for j in range(0, k, 8)]
+    table = store(sums.filter("word is not null").select("word", F.col("n").alias("c"), F.array(*longs).alias("g")), "hmm-emissions")
+    discard(sums)
+    shares = [F.shiftrightunsigned(F.col("g")[j // 8], 8 * (j % 8)).bitwiseAND(F.lit(255)) for j in range(k)]
+    added = table.agg(*(F.sum(F.col("c") * x).alias(f"g{j}") for j, x in enumerate(shares))).collect()[0]
+    whole = counts.sum(axis=0) + np.array([x or 0 for x in added]) / SHARES
     weight = whole / max(1.0, whole.sum())
     smooth = Smoothing(float(known.sum() + symbols), weight, whole + PRIOR + symbols * weight)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g = np.stack([batch.column(2 + j).to_numpy() for j in range(k)], axis=1).astype("<f4")
-            packed = pa.Array.from_buffers(pa.binary(4 * k), len(g), [None, pa.py_buffer(g.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["word", "c", "g"])
-
-    table = store(rare.select("word", "n", *(f"g{j}" for j in range(k))).mapInArrow(run, "word binary, c long, g binary"), "hmm-emissions")
     each = known.copy()
     each[TAIL] = 0
     return Model(start, move, smooth.emissions(counts, each)), smooth, table
@@ -351,6 +350,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
     with small_batches(spark):
         encoded = encode(rows.withColumn("key", F.monotonically_increasing_id()), head, "text")
         discard(counts)
+        release(spark)
         training = encoded.filter("not held_out")
         del head, top
         model = _begin(training, prior, states)
@@ -379,7 +379,8 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
             found = rare.flatten()
             flat[tails[np.repeat(first, own) + found.field("at").to_numpy()]] = symbols + np.arange(len(found))
             c = found.field("c").to_numpy().astype(np.float64)
-            g = np.frombuffer(b"".join(found.field("g").to_pylist()), dtype="<f4").reshape(-1, k)
+            parts = found.field("g").flatten().to_numpy().astype("<i8").view(np.uint8).reshape(len(found), 8 * -(-k // 8))[:, :k]
+            g = parts * (c[:, None] / SHARES)
             here = Model(model.start, model.move, np.concatenate([model.emit, smooth.emissions(g, c)]))
             token_logs = np.r_[logs, np.log10(c + 1)][flat]
             base = np.add.reduceat(token_logs, begins[:-1]) if len(sizes) else np.zeros(0)
