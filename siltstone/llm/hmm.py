@@ -46,7 +46,8 @@ from siltstone.shared import discard, release, small_batches, store
 STATES, HEAD, ROUNDS = 8, 32_768, 3
 END, TAIL, FIRST = 0, 1, 2  # ids: the end token, words outside the head, the head
 FLUSH = 400_000  # distinct words that a task holds while counting
-CELLS = 1 << 18  # words in a block of texts that the recursions take at once
+CELLS = 1 << 17  # words in a block of texts that the recursions take at once
+BATCH = 2 << 20  # bytes of Arrow batches
 SPAN = 1 << 15  # steps of long texts that are held at once
 UNIT = 65_536.0  # expected counts are multiples of 1 / UNIT
 SHARES = 255  # parts of a rare word's occurrences, as states share them
@@ -144,8 +145,9 @@ def _forward(model: Model, size: np.ndarray, ids: np.ndarray, begin: int = 0, be
 def _likely(model: Model, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log10 of each text's likelihood."""
     total, last = np.zeros(len(size)), None
-    for begin in range(0, len(ids), SPAN):
-        alpha, _, scale, _ = _forward(model, size, ids[begin : begin + SPAN], begin, last)
+    span = max(1, SPAN // len(size))  # nothing but the last step is kept
+    for begin in range(0, len(ids), span):
+        alpha, _, scale, _ = _forward(model, size, ids[begin : begin + span], begin, last)
         total += np.log10(scale).sum(axis=0)
         last = alpha[-1]
     return total
@@ -330,7 +332,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
     ``rounds`` rounds, one at least."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    with small_batches(spark):
+    with small_batches(spark, BATCH):
         counts = count_words(rows.filter("not held_out"))
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).collect()[0]
     n, v, ends = totals["n"] or 0, totals["v"], totals["ends"] or 0
@@ -347,7 +349,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
     known = np.r_[ends, n - ends - in_head.sum(), in_head]  # by id
     prior = (known + 1) / (known + 1).sum()
     head = {w: FIRST + i for i, w in enumerate(top["word"].to_pylist())}
-    with small_batches(spark):
+    with small_batches(spark, BATCH):
         encoded = encode(rows.withColumn("key", F.monotonically_increasing_id()), head, "text")
         discard(counts)
         release(spark)
@@ -392,7 +394,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *map(pa.array, (sizes, some, base, likely))], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
 
     schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double"
-    with small_batches(spark):
+    with small_batches(spark, BATCH):
         scored = store(encoded.select("key", "doc_id", "held_out", "ids").join(by_doc, "key", "left").select("key", "doc_id", "held_out", "ids", "rare").mapInArrow(run, schema), "hmm-scores")
     discard(encoded, table)
     return scored.select(
