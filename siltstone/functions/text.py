@@ -82,14 +82,18 @@ def _pairs(run: Column) -> Column:
     return F.when(F.length(run) > 1, some).otherwise(F.array().cast("array<string>"))
 
 
+# A stop word that stands alone is passed over; whatever else begins a token is group 1.
+_LATIN_OR_STOP = f"(?:{'|'.join(w for w in STOP_WORDS if w.isascii())})(?![a-z0-9._+-])|({LATIN})"
+
+
 def tokenize(text: Column) -> Column:
     """Tokens of text in compatibility form: Latin ones first, then of each run of
     CJK characters all single ones and all pairs; stop words are left out."""
     low = F.lower(text)
-    latin = F.regexp_extract_all(low, F.lit(LATIN), F.lit(0))
+    latin = F.array_remove(F.regexp_extract_all(low, F.lit(_LATIN_OR_STOP), F.lit(1)), "")
     runs = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
     cjk = F.transform(runs, lambda r: F.concat(_without(F.split(r, "")), _without(_pairs(r))))
-    return F.concat(_without(latin), F.flatten(cjk))
+    return F.concat(latin, F.flatten(cjk))
 
 
 def tokens_of(query: str) -> list[str]:

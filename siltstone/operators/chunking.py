@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.config import CHUNK_OVERLAP, CHUNK_SIZE, DEFAULT_HEADING
@@ -12,70 +12,49 @@ HEADING = r"^#{1,6}\s+(.+)$"
 
 
 def sections(markdown: Column) -> Column:
-    """array of struct(heading, content): a fold over the lines of cleaned text.
+    """array of struct(heading, content) of cleaned text, without a shuffle.
 
-    A document's sections stay in its row, so no shuffle is needed. Lines are
-    collected as arrays and joined once, at the section's end.
+    The places of headings are found first; each section is then one slice of the
+    lines, so the work is linear in the text's length.
     """
     lines = F.split(clean_markdown(markdown), r"\r?\n")
     section = "struct<heading:string,content:string>"
-    empty = F.array().cast(f"array<{section}>")
-    none = F.array().cast("array<string>")
-
-    def closed(acc: Column) -> Column:
-        content = trim(F.array_join(acc["lines"], "\n"))
-        done = F.array(F.struct(acc["heading"].alias("heading"), content.alias("content")))
-        return F.concat(acc["done"], F.when(content != "", done).otherwise(empty))
-
-    def step(acc: Column, line: Column) -> Column:
-        heads = line.rlike(HEADING)
-        return F.when(heads, F.struct(closed(acc).alias("done"), trim(F.regexp_extract(line, HEADING, 1)).alias("heading"), none.alias("lines"))).otherwise(
-            F.struct(acc["done"].alias("done"), acc["heading"].alias("heading"), F.concat(acc["lines"], F.array(line)).alias("lines"))
-        )
 
-    start = F.struct(empty.alias("done"), F.lit(DEFAULT_HEADING).alias("heading"), none.alias("lines"))
-    return F.aggregate(lines, start, step, closed)
+    def cut(lines: Column, heads: Column) -> Column:
+        def one(at: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(heads, i + 1), F.size(lines))
+            heading = F.when(at < 0, DEFAULT_HEADING).otherwise(trim(F.regexp_extract(F.get(lines, at), HEADING, 1)))
+            content = trim(F.array_join(F.slice(lines, at + 2, F.greatest(end - at - 1, F.lit(0))), "\n"))
+            return F.struct(heading.alias("heading"), content.alias("content"))
+
+        return F.filter(F.transform(heads, one), lambda s: s["content"] != "")
 
+    def found(lines: Column) -> Column:
+        at = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(HEADING), i)), lambda i: i.isNotNull())
+        return let(F.concat(F.array(F.lit(-1)), at), lambda heads: cut(lines, heads))
 
-def _last(text: Column, mark: str) -> Column:
-    """Where the last mark of a text begins, from 1; 0 if nowhere."""
-    at = F.instr(F.reverse(text), F.lit(mark[::-1]))
-    return F.when(at > 0, F.length(text) - at - len(mark) + 2).otherwise(0)
+    return let(lines, found).cast(f"array<{section}>")
 
 
 def pieces(content: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Overlapping pieces of at most size characters (one more if a boundary falls
     on the limit). A cut moves back to a paragraph break or full stop if that lies
-    beyond the first 400 characters. As every next start depends on the last cut,
-    this is a fold; the number of steps is bounded by the least advance.
-    """
-    least = max(1, 400 + 1 - overlap)
-    n = F.length(content)
-    steps = F.sequence(F.lit(1), F.ceil(n / least).cast("int") + 1)
-    none = F.array().cast("array<string>")
-
-    def step(acc: Column, _: Column) -> Column:
-        start = acc["start"]
-        ideal = F.least(start + size, n)
-
-        def brk(look: Column) -> Column:
-            # a mark may begin at the limit itself: a break reaches one character beyond
-            one = F.substring(look, 1, ideal - start + 1)
-            return F.greatest(_last(look, "\n\n"), _last(one, "。"), _last(one, "；"))
-
-        def cut(mark: Column) -> Column:
-            boundary = start + mark - 1
-            return F.when((ideal < n) & (mark > 0) & (boundary >= F.greatest(start + 400, ideal - 240)), boundary + 1).otherwise(ideal)
+    beyond the first 400 characters.
 
-        def on(end: Column) -> Column:
-            piece = let(trim(F.substring(content, start + 1, end - start)), lambda p: F.when(p != "", F.array(p)).otherwise(none))
-            return F.struct(F.when(end >= n, n).otherwise(F.greatest(end - overlap, start + 1)).alias("start"), F.concat(acc["out"], piece).alias("out"), (end >= n).alias("over"))
-
-        end = let(F.substring(content, start + 1, ideal - start + 2), lambda look: let(brk(look), cut))
-        return F.when(acc["over"], acc).otherwise(let(end, on))
-
-    start = F.struct(F.lit(0).alias("start"), none.alias("out"), F.lit(False).alias("over"))
-    return F.when(n <= size, F.array(content)).otherwise(F.aggregate(steps, start, step, lambda acc: acc["out"]))
+    One pattern tells how far each piece's start lies before the next one's: what
+    it passes over ends ``overlap`` characters before the cut, which it looks ahead
+    to. So one pass over the text finds all cuts, and a piece is what was passed
+    over, with the first characters of what follows.
+    """
+    least = max(400, size - 240)
+    if not 0 < overlap < min(least, size):
+        raise ValueError("the overlap must be shorter than any piece")
+    last = rf".{{1,{size}}}\z"
+    marked = rf".{{{least + 1 - overlap},{size + 1 - overlap}}}(?=.{{{overlap - 1}}}(?:[。；]|\n(?=\n)))"
+    plain = rf".{{{size - overlap}}}"
+    steps = F.regexp_extract_all(content, F.lit(f"(?s){last}|{marked}|{plain}" if least <= size else f"(?s){last}|{plain}"), F.lit(0))
+    whole = lambda steps: F.transform(steps, lambda p, i: trim(F.concat(p, F.left(F.coalesce(F.get(steps, i + 1), F.lit("")), F.lit(overlap)))))
+    return F.when(F.length(content) <= size, F.array(content)).otherwise(F.filter(let(steps, whole), lambda p: p != ""))
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
@@ -110,10 +89,3 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
         context.alias("contextualText"),
         "ordinal",
     ).withColumn("tokens", tokenize(F.col("contextualText")))
-
-
-def by_window(lines: DataFrame) -> DataFrame:
-    """Section numbers for lines that are rows (doc, line_no, line): a running
-    count of headings, for documents too long to stay in one row."""
-    running = Window.partitionBy("doc").orderBy("line_no")
-    return lines.withColumn("section_no", F.sum(F.col("line").rlike(HEADING).cast("int")).over(running))

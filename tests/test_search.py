@@ -2,12 +2,13 @@
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import dates
-from siltstone.functions.text import tokenize
+from siltstone.functions.text import tokenize, tokens_of
 from siltstone.operators import chunking, conversations, links, reports, search, sync
 from siltstone.plans import link_queries
 from siltstone.sources import snapshot
@@ -38,7 +39,7 @@ def fold(content, size=430, overlap=70):
     while start < len(content):
         end = ideal = min(start + size, len(content))
         if ideal < len(content):
-            mark = max(content.rfind("\n\n", 0, ideal + 2), content.rfind("。", 0, ideal + 1), content.rfind("；", 0, ideal + 1))
+            mark = max(content.rfind("\n\n", start, ideal + 2), content.rfind("。", start, ideal + 1), content.rfind("；", start, ideal + 1))
             if mark >= max(start + 400, ideal - 240):
                 end = mark + 1
         if piece := content[start:end].strip():
@@ -59,6 +60,35 @@ def test_pieces_equal_a_plain_fold(spark):
         assert r["p"] == fold(r["t"])
 
 
+def test_pieces_of_other_sizes_and_line_ends(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab", " ", "\n", "\n\n", "。", "\r\n", "漢"]) for _ in range(n)) for n in (0, 1, 215, 429, 430, 431, 860, 3000, 3001)] + [" " * 2000, "。" * 2000, "x" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size, overlap in ((430, 70), (700, 20), (300, 1)):
+        for r in df.select("t", chunking.pieces(F.col("t"), size, overlap).alias("p")).collect():
+            assert r["p"] == fold(r["t"], size, overlap)
+    with pytest.raises(ValueError):
+        chunking.pieces(F.col("t"), 430, 430)
+
+
+def test_one_text_of_ten_megabytes_is_chunked_in_linear_time(spark):
+    """Lines, headings and pieces: the fold before took minutes for a tenth of it."""
+    line = "word other 。" * 7 + "\n"
+    text = ("# Head\n" + line * 200) * 600 + line * 20_000
+    assert len(text) > 10_000_000
+    df = spark.createDataFrame([("d", "n", "T", "P", "u", text)], "documentId string, nodeToken string, title string, parentTitle string, url string, markdown string")
+    began = time.time()
+    told = df.select(F.size(chunking.pieces(F.col("markdown"))).alias("n"), chunking.sections(F.col("markdown")).alias("s")).select("n", F.size("s").alias("sections"), F.length(F.element_at("s", -1)["content"]).alias("last")).collect()[0]
+    assert time.time() - began < 20
+    assert told["sections"] == 600 and told["last"] > 1_500_000 and told["n"] == len(fold(text))
+
+
+def test_stop_words_are_whole_tokens(spark):
+    text = "The theory and.b for-x this (with) THAT. and+ 那了和 the"
+    got = spark.createDataFrame([(text,)], "t string").select(tokenize(F.col("t")).alias("w")).collect()[0]["w"]
+    assert got == tokens_of(text) == ["theory", "and.b", "for-x", "that.", "and+", "那", "那了", "了和"]
+
+
 def test_topic_before_link_list_and_caps(spark):
     rows = [("a:0", "a", "t", "资源链接", "agent memory design", None), ("b:0", "b", "t", "TOP 话题", "agent memory design", None)] + [(f"c:{i}", "c", "t", "h", "agent memory design", None) for i in range(5)]
     got = search.search_index(chunks(spark, rows), "agent memory").collect()
