@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import STOP_WORDS, excerpt, query_terms, tokenize, tokens_of
 from siltstone.functions.vectors import cosine
-from siltstone.operators import search
+from siltstone.operators import search, term_index
 from siltstone.shared import read_table
 
 QUERY = "from by on of"
@@ -31,7 +31,7 @@ def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve best documents, at most three of a source, without weak ones."""
-    found = search.search_index(chunks(spark, sf_dir), QUERY)
+    found = term_index.search_stored(term_index.build(chunks(spark, sf_dir)), QUERY)
     return found.select(F.col("chunk_pos").alias("doc_id"), F.col("documentId").alias("source"), F.round("score", 6).alias("score"), F.round("lexicalScore", 6).alias("lexical_score"))
 
 
@@ -63,26 +63,29 @@ def lexical_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("chunk_pos").alias("doc_id"), matched.alias("matched"), run.alias("run"), passes.alias("passes"))
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(read_table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").collect()[0][0])
+def _with_vector_0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with that of row 0, by a broadcast of one row; none if there is no row 0."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    one = vectors.filter("vec_id = 0").agg(F.first("embedding").alias("query")).filter("query is not null")
+    return search._with_row(vectors.select("vec_id", "embedding"), one)
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's cosine with vector 0."""
-    query = F.array(*map(F.lit, _query_vector(spark, sf_dir)))
-    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), query), 6).alias("similarity"))
+    return _with_vector_0(spark, sf_dir).select("vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors closest to vector 0."""
-    query = F.array(*map(F.lit, _query_vector(spark, sf_dir)))
-    ranked = read_table(spark, sf_dir, "embeddings").select("vec_id", cosine(F.col("embedding"), query).alias("raw")).orderBy(F.desc("raw"), "vec_id").limit(10)
+    ranked = _with_vector_0(spark, sf_dir).select("vec_id", cosine(F.col("embedding"), F.col("query")).alias("raw")).orderBy(F.desc("raw"), "vec_id").limit(10)
     return ranked.select("vec_id", F.round("raw", 6).alias("similarity"))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and vectors together; documents without a vector go by words alone."""
-    found = search.search_index(chunks(spark, sf_dir, vectors=True), QUERY, _query_vector(spark, sf_dir))
+    vector = read_table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").head()
+    index = term_index.build(chunks(spark, sf_dir, vectors=True))
+    found = term_index.search_stored(index, QUERY, list(vector[0]) if vector else None)
     return found.select(F.col("chunk_pos").alias("doc_id"), F.round("score", 6).alias("score"), F.round("semanticScore", 6).alias("semantic_score"))
 
 
