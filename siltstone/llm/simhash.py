@@ -12,12 +12,16 @@ no more than one segment can hold three, so two linked fingerprints share the
 keys of two segments: a fingerprint goes by each pair of keys, 108 at most, and
 fingerprints under one pair of keys are compared.
 
-Fingerprints are told apart once, so copies cost nothing. A pair of keys with
-more than ``most`` fingerprints is not compared; its fingerprints meet by
-midpoints instead. Each goes to all 2,081 values within two bits, and all that
-come to one value lie within four bits of each other, so a chain through them
-keeps their component. That is exact as well, and what either way costs grows
-with the number of fingerprints, however large a group of near copies is.
+Fingerprints are told apart once, so copies cost nothing. Those of a pair of keys
+with more than ``most`` of them are not compared; they meet by midpoints instead.
+Of the values within two bits of a fingerprint, each goes to those that have this
+pair of keys themselves, some 44; all that come to one value lie within four bits
+of each other, so a chain through them keeps their component. Two linked
+fingerprints have a value half way, at most one bit off in either segment, and
+share its pair of keys, so this is exact as well; and what either way costs grows
+with the number of fingerprints, however large a group of near copies is. Up to
+``local`` fingerprints meet within the task that has their key; only beyond, the
+values themselves are shuffled, so that no key must fit into a task.
 
 Cases: null and empty texts, and texts of white space, have the fingerprint
 zero and link like any other; texts with fewer words than a shingle have one,
@@ -43,6 +47,7 @@ from siltstone.shared import store
 SHINGLE, SEED, BITS = 4, 42, 64
 LIMIT = 4  # differing bits
 MOST = 64  # fingerprints under a key that are compared with each other
+LOCAL = 1 << 16  # fingerprints under a key that meet within its task
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, width
 PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -121,58 +126,104 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(keys)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp). Of a key that is too frequent in a batch alone, ``most`` + 1
-    rows go on, enough to tell; all its fingerprints are marked by a key below zero."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp)."""
     for batch in batches:
         fps = batch.column(0).to_numpy()
         for k in range(0, len(fps), ROWS):
-            some = fps[k : k + ROWS]
-            index, keys = keys_of(some)
-            order = np.argsort(keys, kind="stable")
-            index, keys = index[order], keys[order]
-            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
-            sizes = np.diff(np.r_[heads, len(keys)])
-            nth = np.arange(len(keys)) - np.repeat(heads, sizes)
-            marked = np.unique(index[np.repeat(sizes > most, sizes)])
-            on = nth <= most
-            told = np.r_[keys[on], -1 - (some[marked] & 0x7FFFFFFF)]
-            yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(np.r_[some[index[on]], some[marked]])], names=["key", "fp"])
-
-
-def _compared(most: int):
-    """Over rows (key, fp) in order: (a, b) for linked pairs of a key, and (a, a) for
-    the fingerprints of keys with more than ``most``."""
-
-    def links(keys: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
-        found = []
-        below = keys < 0
-        if below.any():
-            found.append(np.stack([fps[below], fps[below]]))
-        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.repeat(np.diff(np.r_[heads, len(keys)]), np.diff(np.r_[heads, len(keys)]))
-        hot = (sizes > most) & ~below
-        if hot.any():
-            found.append(np.stack([np.unique(fps[hot])] * 2))
-        i = np.flatnonzero((sizes > 1) & (sizes <= most) & ~below)
-        for d in range(1, most):
-            i = i[i + d < len(keys)]
-            i = i[keys[i] == keys[i + d]]
-            if not len(i):
+            index, keys = keys_of(fps[k : k + ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[k : k + ROWS][index])], names=["key", "fp"])
+
+
+def _halves(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All changes of two bits at most, of them one at most in segment a and in segment
+    b: (number of the change in a, in b, bits), numbers as in ``segment_keys``."""
+    (at_a, wide_a), (at_b, wide_b) = SEGMENTS[a], SEGMENTS[b]
+    at_c, wide_c = SEGMENTS[3 - a - b]
+    single = [1 << at_c + k for k in range(wide_c)]
+    other = {0: [0], 1: single, 2: [x | y for n, x in enumerate(single) for y in single[:n]]}
+    told = []
+    for i in range(wide_a + 1):
+        for j in range(wide_b + 1):
+            bits = (1 << at_a + i - 1 if i else 0) | (1 << at_b + j - 1 if j else 0)
+            told += [(i, j, bits | x) for n in range(3 - (i > 0) - (j > 0)) for x in other[n]]
+    i, j, bits = zip(*told, strict=True)
+    return np.array(i), np.array(j), np.array(bits, dtype=np.uint64)
+
+
+class _Midpoints:
+    """The values half way between fingerprints under a pair of keys."""
+
+    def __init__(self) -> None:
+        self.errors, self.halves = _errors(), [_halves(a, b) for a, b in PAIRS]
+
+    def _has(self, bits: np.ndarray, segment: int, key: int) -> np.ndarray:
+        """For each change of one bit whether the segment's word then is the key's."""
+        at, width = SEGMENTS[segment]
+        near = (bits >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)[:, None] ^ np.r_[0, 1 << np.arange(width)]
+        return (near ^ self.errors[_syndromes(near)]) >> 11 == key
+
+    def of(self, fps: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index, value): all values within two bits that have the key themselves."""
+        a, b = PAIRS[key >> 24]
+        i, j, change = self.halves[key >> 24]
+        bits, rows, values = fps.view(np.uint64), [], []
+        for k in range(0, len(bits), 512):
+            some = bits[k : k + 512]
+            row, col = np.nonzero(self._has(some, a, key >> 12 & 0xFFF)[:, i] & self._has(some, b, key & 0xFFF)[:, j])
+            rows.append(row + k)
+            values.append((some[row] ^ change[col]).view(np.int64))
+        return np.concatenate(rows), np.concatenate(values)
+
+    def stars(self, fps: np.ndarray, key: int) -> np.ndarray:
+        """Links (a, b) from each fingerprint to the first of those that it leads to."""
+        row, value = self.of(fps, key)
+        order = np.lexsort((row, value))
+        row, value = row[order], value[order]
+        meet = value[1:] == value[:-1]
+        a, b = row[:-1][meet], row[1:][meet]
+        first = np.arange(len(fps))
+        while True:
+            new = first.copy()
+            np.minimum.at(new, a, first[b])
+            np.minimum.at(new, b, first[a])
+            new = new[new]
+            if (new == first).all():
                 break
-            near = np.bitwise_count((fps[i] ^ fps[i + d]).view(np.uint64)) <= LIMIT
-            found.append(np.stack([fps[i[near]], fps[i[near] + d]]))
-        return found
+            first = new
+        own = np.flatnonzero(first != np.arange(len(fps)))
+        return np.stack([fps[first[own]], fps[own]])
+
+
+def _compared(most: int, local: int):
+    """Over rows (key, fp) in order: links (a, b, -1) between fingerprints of a key,
+    and (a, a, key) for the fingerprints of keys with more than ``local``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        keys, fps, over, midpoints = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), -1, _Midpoints()
+
+        def links(keys: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
+            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            each = np.diff(np.r_[heads, len(keys)])
+            sizes = np.repeat(each, each)
+            many = (sizes > local) | (keys == over)
+            yield np.stack([fps[many], fps[many], keys[many]])
+            for g in np.flatnonzero((each > most) & (each <= local) & (keys[heads] != over)).tolist():
+                own = midpoints.stars(fps[heads[g] : heads[g] + each[g]], int(keys[heads[g]]))
+                yield np.r_[own, np.full((1, own.shape[1]), -1)]
+            i = np.flatnonzero((sizes > 1) & (sizes <= most) & ~many)
+            for d in range(1, most):
+                i = i[i + d < len(keys)]
+                i = i[keys[i] == keys[i + d]]
+                if not len(i):
+                    break
+                near = i[np.bitwise_count((fps[i] ^ fps[i + d]).view(np.uint64)) <= LIMIT]
+                yield np.stack([fps[near], fps[near + d], np.full(len(near), -1)])
 
         def told(upto: int) -> Iterator[pa.RecordBatch]:
-            found = links(keys[:upto], fps[:upto])
-            if found:
-                both = np.concatenate(found, axis=1)
-                both = np.unique(np.sort(both, axis=0), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            found = np.unique(np.concatenate(list(links(keys[:upto], fps[:upto])), axis=1), axis=1)
+            if found.size:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "key"])
 
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
@@ -183,26 +234,25 @@ def _compared(most: int):
             if last:
                 yield from told(last)
             keys, fps = keys[last:], fps[last:]
-            if len(keys) > 4 * most and keys[0] >= 0:  # a frequent key in pieces: each has enough rows to tell
-                yield from told(len(keys) - most - 1)
-                keys, fps = keys[-most - 1 :], fps[-most - 1 :]
+            if len(keys) > local or keys[0] == over:
+                over = keys[0]
+                yield from told(len(keys))
+                keys, fps = keys[:0], fps[:0]
         if len(keys):
             yield from told(len(keys))
 
     return run
 
 
-def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(mid, fp) for all values within two bits of each fingerprint."""
-    single = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-    flips = np.unique((single[:, None] ^ single[None, :]).ravel())  # zero and all of two bits
-    flips = np.r_[flips, single]
+def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mid, fp) for the midpoints of rows (fp, key)."""
+    midpoints = _Midpoints()
     for batch in batches:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        for k in range(0, len(fps), 64):
-            some = fps[k : k + 64]
-            mids = (some[:, None] ^ flips).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(mids.view(np.int64)), pa.array(np.repeat(some, len(flips)).view(np.int64))], names=["mid", "fp"])
+        fps, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for key in np.unique(keys).tolist():
+            own = fps[keys == key]
+            row, value = midpoints.of(own, key)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(own[row])], names=["mid", "fp"])
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,16 +266,15 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
-def linked(fps: DataFrame, most: int = MOST) -> DataFrame:
+def linked(fps: DataFrame, most: int = MOST, local: int = LOCAL) -> DataFrame:
     """(node, comp): the components, of more than one, of distinct fingerprints (fp)."""
+    dealt = fps.select("fp").mapInArrow(_keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    found = store(dealt.mapInArrow(_compared(most, local), "a long, b long, key long"), "simhash-links")
+    # dealt out by number, as their bytes say too little of what becomes of them
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = fps.select("fp").mapInArrow(lambda b: _keyed(b, most), "key long, fp long")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    found = store(dealt.mapInArrow(_compared(most), "a long, b long"), "simhash-links")
-    # a few rows that become thousands each: dealt out by number, as their bytes say too little
-    frequent = found.filter("a = b").select(F.col("a").alias("fp")).distinct().repartition(spread, "fp")
-    met = frequent.mapInArrow(_midpoints, "mid long, fp long").repartition("mid").sortWithinPartitions("mid", "fp")
-    edges = found.filter("a != b").unionByName(met.mapInArrow(_chained, "a long, b long")).distinct()
+    crowded = found.filter("key >= 0").select(F.col("a").alias("fp"), "key").distinct().repartition(spread, "fp")
+    met = crowded.mapInArrow(_valued, "mid long, fp long").repartition("mid").sortWithinPartitions("mid", "fp")
+    edges = found.filter("key < 0").select("a", "b").unionByName(met.mapInArrow(_chained, "a long, b long")).distinct()
     return components(store(edges, "simhash-edges"))
 
 

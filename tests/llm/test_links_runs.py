@@ -179,8 +179,8 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-@pytest.mark.parametrize("most", [2, 64])
-def test_links_of_crowded_and_lone_fingerprints(spark, most):
+@pytest.mark.parametrize("most, local", [(2, 20), (2, 10**6), (64, 10**6)])
+def test_links_of_crowded_and_lone_fingerprints(spark, most, local):
     """Chains at exactly four bits, a ball of near ones with frequent keys, and pairs at five."""
     rng = random.Random(5)
     flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
@@ -198,7 +198,7 @@ def test_links_of_crowded_and_lone_fingerprints(spark, most):
     numbered = sorted(fps)
     want = brute_components(list(enumerate(numbered)))
     df = spark.createDataFrame([(signed(x),) for x in numbered], "fp long").repartition(3)
-    comp = {r["node"] % 2**64: r["comp"] for r in simhash.linked(df, most=most).collect()}
+    comp = {r["node"] % 2**64: r["comp"] for r in simhash.linked(df, most, local).collect()}
     groups = {}
     for i, x in enumerate(numbered):
         groups.setdefault(want[i], set()).add(comp.get(x, ("alone", x)))
