@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import STOP_WORDS, excerpt, query_terms, tokenize, tokens_of
 from siltstone.functions.vectors import cosine
 from siltstone.operators import search, term_index
-from siltstone.shared import read_table
+from siltstone.shared import read_table, spread
 
 QUERY = "from by on of"
 TERMS = query_terms(QUERY)
@@ -17,7 +17,7 @@ TERMS = query_terms(QUERY)
 def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
     """Documents as chunks: one each, grouped by source; the tables hold text in
     compatibility form already. A document has the vector with its number, if any."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     none = F.lit("")
     out = docs.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("documentId"), F.col("lang").alias("title"), none.alias("parentTitle"), none.alias("heading"), none.alias("url"),

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import clean_markdown, redact
 from siltstone.operators import chunking, conversations
-from siltstone.shared import read_table
+from siltstone.shared import read_table, spread
 from siltstone.streaming import rate_limit
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     headed = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n\n## Tail\n"), "lang")
     return docs.select(F.col("doc_id").cast("string").alias("documentId"), F.lit("").alias("nodeToken"), F.col("source").alias("title"), F.lit("").alias("parentTitle"), F.lit("").alias("url"), headed.alias("markdown"), "doc_id")
 
@@ -25,7 +25,7 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in overlapping pieces."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     each = docs.select("doc_id", F.posexplode(chunking.pieces(F.col("text"))).alias("pos", "piece"))
     return each.select("doc_id", "pos", F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("piece_md5"))
 

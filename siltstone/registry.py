@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import link_queries, report_queries, search_queries, text_queries
+from siltstone.plans import link_queries, question_queries, report_queries, search_queries, text_queries
 
-_MODULES = (search_queries, report_queries, text_queries, link_queries)
+_MODULES = (search_queries, report_queries, question_queries, text_queries, link_queries)
 
 
 def queries() -> dict:
