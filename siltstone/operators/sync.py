@@ -45,8 +45,9 @@ def listed(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.collate("title", "zh").desc(), "doc_pos")
 
 
-def with_parent_title(nodes: DataFrame, default: str) -> DataFrame:
-    parents = nodes.select(F.col("nodeToken").alias("parentNodeToken"), F.col("title").alias("parentTitle"))
+def with_parent_title(nodes: DataFrame, default: str, titles: DataFrame | None = None) -> DataFrame:
+    """Nodes with their parent's title; titles: where parents are, if not among the nodes."""
+    parents = (nodes if titles is None else titles).select(F.col("nodeToken").alias("parentNodeToken"), F.col("title").alias("parentTitle"))
     return nodes.join(parents, "parentNodeToken", "left").withColumn("parentTitle", F.coalesce("parentTitle", F.lit(default)))
 
 
@@ -137,16 +138,32 @@ def pending(chunks: DataFrame, done: DataFrame) -> DataFrame:
     return chunks.join(done.select("id"), "id", "left_anti")
 
 
-def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 16, text_col: str = "contextualText") -> DataFrame:
+def no_vector() -> Column:
+    return F.lit(None).cast("array<float>")
+
+
+def can_use_query_vectors(state: DataFrame, provider: str | None, disabled: bool = False, local_on_hosted: bool = False) -> DataFrame:
+    """One row, usable: whether a question's vector may be compared with the index of
+    ``state``, whose vectors must be there and of the same model. A model that runs
+    locally is not loaded on a hosted runtime."""
+    allowed = F.lit(bool(provider) and not disabled and not local_on_hosted)
+    same = F.coalesce(F.col("embeddingProvider") == F.lit(provider), F.lit(False))
+    return state.agg(F.coalesce(F.max(allowed & same & (F.coalesce("embeddedChunkCount", F.lit(0)) > 0)), F.lit(False)).alias("usable"))
+
+
+def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 16, text_col: str = "contextualText", purpose: str = "document") -> DataFrame:
     """(id, embedding): texts go to ``embedder`` in batches; the vector comes back in
-    the row of its text, so nothing is matched by position across tasks."""
+    the row of its text, so nothing is matched by position across tasks. Models tell
+    questions from documents by a prefix; for questions purpose is "query"."""
     import pandas as pd
 
+    prefix = "query: " if purpose == "query" else "passage: "
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), batch):
                 some = frame.iloc[i : i + batch]
-                yield pd.DataFrame({"id": some["id"], "embedding": embedder(["passage: " + t for t in some[text_col]])})
+                yield pd.DataFrame({"id": some["id"], "embedding": embedder([prefix + (t or "") for t in some[text_col]])})
 
     return chunks.select("id", text_col).mapInPandas(run, "id string, embedding array<float>")
 
