@@ -68,8 +68,8 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event against five in six hours for each user."""
-    events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    """Every event against five in six hours for each user; some have no time stamp."""
+    events = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("ts"))
     told = rate_limit.limited(events, "user_id", "ts", 5, 6 * 3600, "event_id")
     return told.select("event_id", "user_id", "allowed", "remaining", F.unix_micros("reset_at").alias("reset_us"))
 
@@ -115,9 +115,10 @@ SELECT doc_id, md5(t) AS redacted_md5 FROM r WHERE t <> text""",
     "conversation_validity": """WITH v AS (SELECT conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars, bool_and(role IN ('user', 'assistant')) AS roles_ok, bool_and(length(text) BETWEEN 1 AND 8000) AS lengths_ok, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id)
 SELECT *, roles_ok AND lengths_ok AND last_role = 'user' AND n_messages <= 24 AND n_chars <= 32000 AS valid FROM v""",
     "trace_events": "SELECT conv_id, turn, substr(sha256(text), 1, 16) AS query_hash, length(text)::INTEGER AS query_length FROM conversations WHERE role = 'user'",
-    "rate_limits": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    "rate_limits": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_id % 97 <> 0 AND ts IS NOT NULL),
 r AS (SELECT event_id, user_id, i, 1 AS n, t + 21600000000 AS reset FROM e WHERE i = 1
   UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN r.reset <= e.t THEN 1 ELSE r.n + 1 END, CASE WHEN r.reset <= e.t THEN e.t + 21600000000 ELSE r.reset END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-SELECT event_id, user_id, n <= 5 AS allowed, greatest(0, 5 - n)::INTEGER AS remaining, reset::BIGINT AS reset_us FROM r""",
+SELECT event_id, user_id, n <= 5 AS allowed, greatest(0, 5 - n)::INTEGER AS remaining, reset::BIGINT AS reset_us FROM r
+UNION ALL SELECT event_id, user_id, FALSE, 0, NULL FROM events WHERE event_id % 97 = 0 OR ts IS NULL""",
     "request_keys": "SELECT event_type || ':' || substr(sha256(coalesce(user_id::VARCHAR, 'unknown') || '|' || coalesce(props, '')), 1, 24) AS key, count(*) AS n FROM events GROUP BY 1",
 }

@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def request_key(scope: Column, address: Column, agent: Column) -> Column:
@@ -26,11 +27,15 @@ def limited(events: DataFrame, key: str, ts: str, limit: int, window_s: int, ord
 
     Rows are dealt out by key and sorted, and each task walks through its sorted
     rows with the state of one key at a time: no key's events are ever gathered,
-    however many it has. Keys keep their values; null is a key like any other.
+    however many it has, though all of them pass one task, as a window's begin
+    depends on all that came before. Keys keep their values; null is a key like any
+    other. An event without a time stamp belongs to no window: it is not allowed,
+    has nothing remaining, no reset_at, and counts for no other event.
     """
     names = [c for c in events.columns if c not in ("allowed", "remaining", "reset_at")]
     seconds = "__us"
-    rows = events.select(*names).withColumn(seconds, F.unix_micros(F.col(ts).cast("timestamp")))
+    timed = events.select(*names).withColumn(seconds, F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = timed.filter(F.col(seconds).isNotNull())
     dealt = rows.repartition(key).sortWithinPartitions(key, seconds, order)
     span = window_s * 1_000_000
 
@@ -60,31 +65,70 @@ def limited(events: DataFrame, key: str, ts: str, limit: int, window_s: int, ord
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *told], names=[*names, "allowed", "remaining", "reset_us"])
 
     schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in names) + ", allowed boolean, remaining int, reset_us long"
-    return dealt.mapInArrow(run, schema).withColumn("reset_at", F.timestamp_micros("reset_us")).drop("reset_us")
+    told = dealt.mapInArrow(run, schema).withColumn("reset_at", F.timestamp_micros("reset_us")).drop("reset_us")
+    outside = timed.filter(F.col(seconds).isNull()).select(*names, F.lit(False).alias("allowed"), F.lit(0).alias("remaining"), F.lit(None).cast("timestamp").alias("reset_at"))
+    return told.unionByName(outside)
 
 
-def limited_stream(events: DataFrame, key: str, ts: str, limit: int, window_s: int, late: str = "1 minute") -> DataFrame:
-    """The same over a stream: the state of a key is (count, reset), and it is given
-    up when the watermark has passed its window. Events that are later than ``late``
-    are left out."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(found: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, reset = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(frames)).sort_values(ts)
+class _Windows(StatefulProcessor):
+    """The windows of one key. Events wait until the watermark has passed them, so they
+    are counted in the order of their times, in whatever order they arrive; a timer
+    wakes the key then, and again when its window is over and it can be forgotten."""
+
+    def __init__(self, limit: int, window_s: int) -> None:
+        self.limit, self.span = limit, window_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "count long, reset long")
+        self.waiting = handle.getListState("waiting", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [int(us) for frame in rows for us in frame["us"]]
+        if new:
+            if self.waiting.exists():
+                self.waiting.appendList([(us,) for us in new])
+            else:
+                self.waiting.put([(us,) for us in new])
+            self._wake(min(new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(r[0] for r in self.waiting.get()) if self.waiting.exists() else []
+        ready, later = [us for us in waiting if us <= due], [us for us in waiting if us > due]
+        count, reset = self.window.get() if self.window.exists() else (0, None)
         out = []
-        for t in rows[ts]:
-            us = int(t.value // 1000)
-            if reset <= us:
-                count, reset = 0, us + window_s * 1_000_000
+        for us in ready:
+            if reset is None or reset <= us:
+                count, reset = 0, us + self.span
             count += 1
-            out.append((found[0], t, count <= limit, max(0, limit - count)))
-        state.update((count, reset))
-        state.setTimeoutTimestamp(max(reset // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "ts", "allowed", "remaining"])
+            out.append((key[0], pd.Timestamp(us, unit="us"), count <= self.limit, max(0, self.limit - count), pd.Timestamp(reset, unit="us")))
+        if later:
+            self.waiting.put([(us,) for us in later])
+            self._wake(later[0])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if reset is not None and reset > due:
+            self.window.update((count, reset))
+            self._wake(reset)
+        elif self.window.exists():
+            self.window.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "ts", "allowed", "remaining", "reset_at"])
 
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def limited_stream(events: DataFrame, key: str, ts: str, limit: int, window_s: int, late: str = "1 minute") -> DataFrame:
+    """The same over a stream, as (key, ts, allowed, remaining, reset_at): an event is
+    told once the watermark has passed it. Events that come later than ``late`` and
+    events without a time stamp are left out; a key without an open window and
+    without waiting events has no state. Needs the RocksDB state store."""
     kind = events.schema[key].dataType.simpleString()
-    return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, f"key {kind}, ts timestamp, allowed boolean, remaining int", "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).filter("ts is not null").withColumn("us", F.unix_micros("ts"))
+    return timed.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_Windows(limit, window_s), f"key {kind}, ts timestamp, allowed boolean, remaining int, reset_at timestamp", "append", "eventTime")

@@ -218,19 +218,35 @@ def test_windows_open_at_the_first_event(spark):
     assert got == {0: (True, 1), 1: (True, 0), 2: (False, 0), 3: (False, 0), 4: (True, 1), 5: (True, 0), 9: (True, 1)}
 
 
-def test_windows_over_a_stream(spark, tmp_path):
-    t = datetime.datetime(2026, 1, 1)
-    rows = [("k", t + datetime.timedelta(seconds=s)) for s in (0, 1, 2, 61)]
-    spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "in"))
-    out = rate_limit.limited_stream(stream, "key", "ts", 2, 60)
-    q = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+def test_windows_over_a_stream_equal_the_batch(spark, tmp_path):
+    """Three files, out of order within what the watermark allows, null keys and stamps."""
+    t = lambda s: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=s)
+    files = [[("k", 5), ("k", 0), (None, 7), ("m", 3), ("k", None)], [("k", 2), ("k", 61), ("k", 20), (None, 7), ("m", 64)], [("k", 66), ("k", 62), ("m", 63), ("k", 119), ("k", 59), ("z", 600)]]
+    for n, rows in enumerate(files):
+        df = spark.createDataFrame([(k, None if s is None else t(s)) for k, s in rows], "key string, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their times
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        assert q.awaitTermination(90)
-        got = [r["allowed"] for r in spark.table("limited").orderBy("ts").collect()]
+        stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = rate_limit.limited_stream(stream, "key", "ts", 2, 60)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
     finally:
-        q.stop()
-    assert got == [True, True, False, True]
+        spark.conf.unset(store)
+    said = lambda df: sorted((str(r["key"]), str(r["ts"]), r["allowed"], r["remaining"], str(r["reset_at"])) for r in df.collect())
+    events = spark.createDataFrame([(i, k, None if s is None else t(s)) for i, (k, s) in enumerate(x for f in files for x in f)], "id long, key string, ts timestamp")
+    want = rate_limit.limited(events.filter("ts is not null and key is distinct from 'z'"), "key", "ts", 2, 60, "id")  # z only moves the watermark
+    assert said(spark.read.parquet(str(tmp_path / "out"))) == said(want)
+
+
+def test_events_without_a_time_stamp(spark):
+    rows = [(1, "a", None), (2, "a", 5), (3, None, None), (4, "a", 6)]
+    events = spark.createDataFrame(rows, "id long, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["id"]: (r["allowed"], r["remaining"], r["reset_at"] is None) for r in rate_limit.limited(events, "key", "ts", 2, 60, "id").collect()}
+    assert got == {1: (False, 0, True), 2: (True, 1, False), 3: (False, 0, True), 4: (True, 0, False)}
+    assert len(rate_limit.limited(events.filter("ts is null"), "key", "ts", 2, 60, "id").collect()) == 2
 
 
 def test_conversation_rules(spark):
