@@ -37,22 +37,65 @@ def _droppable(name: Column) -> Column:
     return low.isin(TRACKING + SENSITIVE) | low.rlike("^(?:utm_|x-amz-|x-goog-)") | low.rlike("_(?:token|signature)$")
 
 
+def decoded(part: Column) -> Column:
+    """A name or value of a query as a form means it; a percent sign that begins no
+    escape stands for itself."""
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _escaped(text: Column, unsafe: str) -> Column:
+    """Characters of a class, and all beyond ASCII, as percent escapes of UTF-8."""
+    bad = rf"[^\x21-\x7e]|[{unsafe}]"
+    runs = F.regexp_extract_all(text, F.lit(rf"(?:{bad})+|(?:(?!{bad}).)+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(rf"^(?:{bad})"), F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))).otherwise(r)), "")
+
+
+def _segments(path: Column) -> Column:
+    """A path without dot segments: a fold over its segments with a stack."""
+    parts = F.split(F.regexp_replace(F.translate(path, "\\", "/"), "^/", ""), "/")
+    last = lambda i: i == F.size(parts) - 1
+    empty = F.array(F.lit(""))
+
+    def step(stack: Column, part: Column) -> Column:
+        word = F.replace(F.lower(part["s"]), F.lit("%2e"), F.lit("."))
+        up = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+        closed = lambda kept: F.when(part["last"], F.concat(kept, empty)).otherwise(kept)
+        return F.when(word == "..", closed(up)).when(word == ".", closed(stack)).otherwise(F.concat(stack, F.array(part["s"])))
+
+    each = F.transform(parts, lambda x, i: F.struct(x.alias("s"), last(i).alias("last")))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(each, F.array().cast("array<string>"), step), "/"))
+
+
+def _ascii_host(host: Column) -> Column:
+    """A host as the network knows it: labels beyond ASCII by Punycode, null if there is no such name."""
+    named = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), decoded(host))
+    plain = F.when(host.rlike(r"[^\x00-\x7f]|%"), F.lower(named)).otherwise(host)
+    return F.when(~plain.rlike(r"[\x00-\x20#%/<>?@\\^|]"), plain)
+
+
 def sanitize(url: Column) -> Column:
-    """The canonical form of an http(s) URL, null for anything else: without
-    fragment, tracking and secret parameters, default port and closing slashes,
-    with a lower-case host. (No percent re-encoding or host punycode.)"""
+    """The canonical form of an http(s) URL, null for anything else: host in lower case
+    and ASCII, without default port, dot segments, closing slashes, fragment, and
+    tracking and secret parameters, whose names are told by what they decode to. As
+    in a URL parser, a query is written anew only if a parameter is taken out."""
     text = clean_url(url)
-    ok = text.rlike(r"(?i)^https?://[^/?#\s]+")
-    scheme = F.lower(F.regexp_extract(text, r"(?i)^(https?)://", 1))
-    host = F.lower(F.regexp_extract(text, r"(?i)^https?://(?:[^/?#]*@)?([^/?#]*)", 1))
-    user = F.regexp_extract(text, r"(?i)^https?://([^/?#]*@)?", 1)
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    path = F.regexp_extract(text, r"(?i)^https?://[^/?#]*([^?#]*)", 1)
-    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
+    begin = r"(?i)^(https?):[/\\]{2}((?:[^/?#\\]*@)?)(\[[0-9a-f:.]+\]|[^/?#\\:@\s]+)(?::(\d*))?(?=[/?#\\]|$)([^?#]*)"
+    part = lambda i: F.regexp_extract(text, begin, i)
+    scheme, port = F.lower(part(1)), part(4).try_cast("int")
+    host = _ascii_host(F.lower(part(3)))
+    usual = F.when(scheme == "http", 80).otherwise(443)
+    number = F.when(port.isNull() | (port == usual), "").otherwise(F.concat(F.lit(":"), port.cast("string")))
+    path = F.regexp_replace(_segments(_escaped(part(5), '"<>`{}^')), "/+$", "")
     query = F.regexp_extract(text, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~_droppable(F.split_part(p, F.lit("="), F.lit(1)))), "&")
-    # a URL parser writes the root as "/", also where slashes were cut down to nothing
-    return F.when(ok, F.concat(scheme, F.lit("://"), user, host, F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    name = lambda p: decoded(F.split_part(p, F.lit("="), F.lit(1)))
+    value = lambda p: decoded(F.regexp_extract(p, "(?s)=(.*)$", 1))
+    kept = F.filter(pairs, lambda p: ~_droppable(name(p)))
+    anew = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(name(p)), F.lit("="), F.url_encode(value(p)))), "&")
+    as_is = F.when(text.rlike(r"^[^?#]*\?"), F.concat(F.lit("?"), _escaped(query, "\"<>'"))).otherwise("")
+    asked = F.when(F.size(kept) == F.size(pairs), as_is).when(F.size(kept) > 0, F.concat(F.lit("?"), anew)).otherwise("")
+    ok = text.rlike(begin) & F.coalesce(port.between(0, 65535), part(4) == "")
+    return F.when(ok, F.concat(scheme, F.lit("://"), part(2), host, number, F.when(path == "", "/").otherwise(path), asked))
 
 
 def host_of(url: Column) -> Column:

@@ -10,7 +10,7 @@ not seen, and a repeated one replaces what it left.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -77,14 +77,15 @@ def cited(fetched: DataFrame, trees: DataFrame, allowed: DataFrame) -> DataFrame
     return naming.join(new, "docId").select(F.col("docId").alias("nodeToken"), F.col("docId").alias("objToken"), F.col("f.documentId").alias("parentNodeToken"), F.col("f.title").alias("title"))
 
 
-def wanted(nodes: DataFrame, root: DataFrame, fetched: DataFrame, allowlist: Sequence[str], base_url: str, name: str) -> tuple[DataFrame, DataFrame]:
+def wanted(nodes: DataFrame, root: DataFrame, fetched: DataFrame, allowlist: DataFrame, base_url: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(documents, warnings): the documents of the tree and those cited, each with what
-    was fetched (markdown is null where that failed), and what is to be told."""
+    was fetched (markdown is null where that failed), and what is to be told.
+    allowlist: ids (id) of documents outside the tree that may be cited."""
     every = store(sync.walk(nodes, root).drop("depth"), "ingest-nodes")
     trees = sync.documents_of(every)
     got = fetched.select("nodeToken", "revisionId", "markdown", "doc_pos")
     own = sync.tokens_of(every)
-    allowed = own.unionByName(own.sparkSession.createDataFrame([(a,) for a in allowlist], "id string"))
+    allowed = own.unionByName(allowlist.select("id"))
     more = cited(got, trees, allowed)
     titled = sync.with_parent_title(trees, name, every).select("nodeToken", "objToken", "title", "parentTitle", F.concat(F.lit(f"{base_url}/wiki/"), "nodeToken").alias("url"))
     titles = trees.select("nodeToken", "title").unionByName(more.select("nodeToken", "title"))

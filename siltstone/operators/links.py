@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import urls
 from siltstone.functions.text import NO_SPACE, line_context
+from siltstone.shared import numbered
 
 # Where links stand in a line; white space of any script ends them.
 MARKDOWN = rf"(!?)\[([^\]]*)\]\((https?://[^{NO_SPACE})]+)\)"
@@ -101,6 +102,12 @@ def listed(resources: DataFrame) -> DataFrame:
     return ordered.orderBy("ord", F.collate(numeric_key(F.col("title")), "zh"), "url").drop("ord")
 
 
+def placed(resources: DataFrame) -> DataFrame:
+    """``listed`` with each resource's place in the list, from one up."""
+    ordered = resources.join(F.broadcast(category_order(resources.sparkSession)), "category", "left")
+    return numbered(ordered, [F.col("ord"), F.collate(numeric_key(F.col("title")), "zh"), F.col("url")]).drop("ord")
+
+
 def category_counts(resources: DataFrame) -> DataFrame:
     """category, ord, n for all categories, also those without resources."""
     counts = resources.groupBy("category").agg(F.count("*").alias("n"))

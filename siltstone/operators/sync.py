@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.dates import RANGE
 from siltstone.functions.text import trim
-from siltstone.shared import store
+from siltstone.shared import numbered, store
 
 
 def walk(nodes: DataFrame, root: DataFrame, depth: int = 100) -> DataFrame:
@@ -45,6 +45,11 @@ def listed(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.collate("title", "zh").desc(), "doc_pos")
 
 
+def placed(documents: DataFrame) -> DataFrame:
+    """``listed`` with each document's place in the list, from one up."""
+    return numbered(documents, [F.collate("title", "zh").desc(), F.col("doc_pos")])
+
+
 def with_parent_title(nodes: DataFrame, default: str, titles: DataFrame | None = None) -> DataFrame:
     """Nodes with their parent's title; titles: where parents are, if not among the nodes."""
     parents = (nodes if titles is None else titles).select(F.col("nodeToken").alias("parentNodeToken"), F.col("title").alias("parentTitle"))
@@ -171,7 +176,3 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
 def resumed(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks with the checkpoint's vectors where it has them."""
     return chunks.join(done.select("id", F.col("embedding").alias("made")), "id", "left").withColumn("embedding", F.coalesce("made", "embedding")).drop("made")
-
-
-def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
-from siltstone.operators import links, sync
-from siltstone.shared import read_table
+from siltstone.operators import ingest, links, sync
+from siltstone.shared import read_table, shared_dir
 
 
 def url_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical form and domain of every page's URL."""
     pages = read_table(spark, sf_dir, "pages")
-    clean = pages.select("page_id", urls.sanitize(F.concat("url", F.when(F.contains("url", F.lit("?")), "&token=1&x=2)").otherwise("?utm_x=1&a=b)"))).alias("clean"))
+    clean = pages.select("page_id", urls.sanitize(F.concat("url", F.when(F.contains("url", F.lit("?")), F.when(F.col("page_id") % 2 == 0, "&token=1&x=2)").otherwise("&%74oken=1&x=2)")).otherwise("?utm_x=1&a=b)"))).alias("clean"))
     return clean.withColumn("domain", urls.domain(F.col("clean")))
 
 
@@ -145,7 +147,52 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.state(docs, held, []).select("status", "documentCount", "chunkCount", "embeddedChunkCount")
 
 
-QUERIES = {f.__name__: f for f in (url_sanitize, url_domains, link_extract, resource_merge, category_counts, resource_filter, resource_domains, failed_mentions, node_tokens, parent_titles, citations, citation_closure, citations_refused, sync_diff, embedding_pending, index_status)}
+def resources_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link targets in their order: by category, then by title with numbers in order."""
+    found = links.resources(links.extract(_inputs(spark, sf_dir)), [F.col("documentId").cast("long"), F.col("pos")])
+    return links.placed(found).select("place", "url", "title", "category")
+
+
+def documents_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the order of a list of documents: by name from the last to the first."""
+    part = read_table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("doc_pos"))
+    return sync.placed(part).select("place", F.col("doc_pos").alias("p_partkey"), "title")
+
+
+def _fetched(spark: SparkSession, sf_dir: str, day: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, fetched) of two days: documents under their sources; every fiftieth cites a
+    document outside the tree, half of which are allowed. On day 2 some are new,
+    others changed, gone, or could not be read."""
+    docs, d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("doc_id")
+    here = docs.filter((d % 10 != 3) if day == 1 else (d % 13 != 0))
+    n = d.cast("string")
+    nodes = here.select(F.concat(F.lit("n"), n).alias("nodeToken"), F.concat(F.lit("o"), n).alias("objToken"), F.lit("docx").alias("objType"), F.concat(F.lit("s-"), "source").alias("parentNodeToken"), F.concat(F.lit("Document "), n).alias("title"))
+    folders = here.select("source").distinct().select(F.concat(F.lit("s-"), "source").alias("nodeToken"), F.concat(F.lit("o-"), "source").alias("objToken"), F.lit("folder").alias("objType"), F.lit("root").alias("parentNodeToken"), F.col("source").alias("title"))
+    root = spark.createDataFrame([("root", "root", "wiki", "", "Root")], "nodeToken string, objToken string, objType string, parentNodeToken string, title string")
+    cite = F.concat(F.lit('\n<cite doc-id="x'), n, F.lit('" title="Report 2024-01-01~2024-01-07" file-type="docx"></cite>'))
+    text = F.concat("text", F.when(d % 50 == 1, cite).otherwise(""), F.when((d % 7 == 0) & F.lit(day == 2), "\nmore").otherwise(""))
+    text = F.when((d % 11 != 0) | F.lit(day == 1), text)
+    own = here.select(F.concat(F.lit("n"), n).alias("nodeToken"), F.lit(day).cast("long").alias("revisionId"), text.alias("markdown"), d.alias("doc_pos"))
+    beyond = here.filter(d % 50 == 1).select(F.concat(F.lit("x"), n).alias("nodeToken"), F.lit(day).cast("long").alias("revisionId"), F.concat(F.lit("cited "), n).alias("markdown"), (d + 10_000_000).alias("doc_pos"))
+    return root.unionByName(folders).unionByName(nodes), own.unionByName(beyond)
+
+
+def two_ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after two ingests in a row, with the day that each was read, and the
+    ingest that wrote its chunks."""
+    path = f"{shared_dir(spark)}/siltstone/ingest-{uuid.uuid4().hex}"
+    allowed = read_table(spark, sf_dir, "documents").filter("doc_id % 100 = 1").select(F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("id"))
+    index = None
+    for day in (1, 2):
+        nodes, fetched = _fetched(spark, sf_dir, day)
+        documents, warnings = ingest.wanted(nodes, nodes.filter("nodeToken = 'root'"), fetched, allowed, "https://base.example", "Source")
+        index = ingest.ingest(spark, path, documents, warnings, f"day {day}")
+    held = index.chunks.groupBy(F.col("documentId").alias("id")).agg(F.count("*").cast("int").alias("held"))
+    told = index.documents.join(held, "id", "left")
+    return told.select("id", "parentTitle", "revisionId", "contentHash", F.col("syncedAt").alias("synced_at"), "generation", (F.coalesce("held", F.lit(0)) == F.col("chunkCount")).alias("whole"))
+
+
+QUERIES = {f.__name__: f for f in (resources_listed, documents_listed, two_ingests, url_sanitize, url_domains, link_extract, resource_merge, category_counts, resource_filter, resource_domains, failed_mentions, node_tokens, parent_titles, citations, citation_closure, citations_refused, sync_diff, embedding_pending, index_status)}
 
 _URL = r"""regexp_extract({0}, '^(https?)://', 1) || '://' || lower(regexp_extract({0}, '^https?://([^/?#]*)', 1)) ||
 CASE WHEN regexp_replace(regexp_extract({0}, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract({0}, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') END ||
@@ -189,4 +236,14 @@ SELECT doc_id, min(depth)::INTEGER AS depth FROM r GROUP BY doc_id""",
 sha256(CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END) AS content_hash FROM documents""",
     "embedding_pending": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "index_status": "SELECT 'ready' AS status, count(*) AS documentCount, count(*) AS chunkCount, count(embedding) AS embeddedChunkCount FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+    "resources_listed": f"""{_LINKS}, d(category, ord) AS (VALUES {_CATS}), o AS (SELECT url, title, category, ord, title || '' AS t FROM m LEFT JOIN d USING (category))
+SELECT row_number() OVER (ORDER BY ord, regexp_replace(lower(t), '([0-9]+)$', ''), try_cast(regexp_extract(t, '([0-9]+)$', 1) AS BIGINT) NULLS FIRST, url) AS place, url, title, category FROM o""",
+    "documents_listed": "SELECT row_number() OVER (ORDER BY p_name DESC, p_partkey) AS place, p_partkey, p_name AS title FROM part",
+    "two_ingests": """WITH d AS (SELECT *, doc_id % 10 <> 3 AS here1, doc_id % 13 <> 0 AS here2, doc_id % 11 = 0 AS failed, doc_id % 50 = 1 AS cites, doc_id % 100 = 1 AS allowed,
+  text || CASE WHEN doc_id % 50 = 1 THEN chr(10) || '<cite doc-id="x' || doc_id || '" title="Report 2024-01-01~2024-01-07" file-type="docx"></cite>' ELSE '' END AS m1 FROM documents),
+e AS (SELECT *, m1 || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'more' ELSE '' END AS m2, m1 IS NULL OR failed AS no2 FROM d)
+SELECT 'n' || doc_id AS id, source AS parentTitle, CASE WHEN no2 THEN 1 ELSE 2 END::BIGINT AS revisionId, sha256(CASE WHEN no2 THEN m1 ELSE m2 END) AS contentHash,
+  CASE WHEN no2 THEN 'day 1' ELSE 'day 2' END AS synced_at, CASE WHEN no2 OR (here1 AND doc_id % 7 <> 0) THEN 1 ELSE 2 END::BIGINT AS generation, TRUE AS whole
+FROM e WHERE here2 AND (NOT no2 OR here1) AND m1 IS NOT NULL
+UNION ALL SELECT 'x' || doc_id, 'Document ' || doc_id, 2, sha256('cited ' || doc_id), 'day 2', CASE WHEN here1 THEN 1 ELSE 2 END, TRUE FROM e WHERE here2 AND cites AND allowed AND NOT no2""",
 }

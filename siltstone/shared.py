@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN = "siltstone"
 
@@ -116,6 +117,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: list, into: str = "place") -> DataFrame:
+    """Rows with their place in an order, from one up: ranges are sorted each by itself,
+    and one count for each of them tells where it begins; no task sees all rows."""
+    spark = df.sparkSession
+    keyed = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id()), "numbered")
+    counts = [tuple(r) for r in keyed.groupBy("__part").agg(F.count("*"), F.min("__in")).orderBy("__part").collect()]  # a row for each range
+    begins, total = [], 0
+    for part, n, first in counts:
+        begins.append((part, total - first))
+        total += n
+    starts = spark.createDataFrame(begins, "__part int, __begin long")
+    return keyed.join(F.broadcast(starts), "__part").withColumn(into, F.col("__in") + F.col("__begin") + 1).drop("__part", "__in", "__begin")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A table in fewer files than there are cores is dealt out to all of them, by a
     key; one in more files is left as it lies. For plans that work hard on each row."""

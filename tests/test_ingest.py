@@ -14,7 +14,7 @@ CITE = '<cite doc-id="{}" title="R 2026-01-01~2026-01-07" file-type="docx"></cit
 def wanted(spark, texts, allow=("x",)):
     nodes = spark.createDataFrame([("root", "r", "wiki", "", "Root")] + [(k, f"o{k}", "docx", "root", f"Title {k}") for k in texts if k not in ("x", "y", "z")], NODES)
     fetched = spark.createDataFrame([(k, 1, t, n) for n, (k, t) in enumerate(texts.items())], FETCHED)
-    return ingest.wanted(nodes, nodes.filter("nodeToken = 'root'"), fetched, allow, "https://base", "Source")
+    return ingest.wanted(nodes, nodes.filter("nodeToken = 'root'"), fetched, spark.createDataFrame([(a,) for a in allow], "id string"), "https://base", "Source")
 
 
 def told(index):

@@ -75,6 +75,32 @@ def test_urls_become_canonical(spark):
             assert one(spark, urls.sanitize(urls.sanitize(F.col("c0"))), said) == want
 
 
+def test_urls_are_parsed(spark):
+    """Names by what they decode to, dot segments, ports, hosts beyond ASCII, escapes."""
+    for said, want in (
+        ("https://e.org/a?%74oken=x&b=1", "https://e.org/a?b=1"),
+        ("https://e.org/a?%zz%74oken=x", "https://e.org/a?%zz%74oken=x"),  # the name is %zztoken
+        ("https://e.org/a?q=a%20b+c&utm_x=1&e", "https://e.org/a?q=a+b+c&e="),
+        ("https://e.org/a?q=a%20b+c&e", "https://e.org/a?q=a%20b+c&e"),
+        ("https://e.org/a/./b/../c/%2e%2E/d/", "https://e.org/a/d"),
+        ("https://e.org/../..", "https://e.org/"),
+        ("https://e.org/a/b/..", "https://e.org/a"),
+        ("https://e.org\\a\\b", "https://e.org/a/b"),
+        ("HTTP://User:p@Bücher.Example:80/ä b?x=ü#f", "http://User:p@xn--bcher-kva.example/%C3%A4%20b?x=%C3%BC"),
+        ("https://例え。テスト/", "https://xn--r8jz45g.xn--zckzah/"),
+        ("https://e%2Eorg/", "https://e.org/"),
+        ("https://e.org:08443", "https://e.org:8443/"),
+        ("https://e.org:99999/", None),
+        ("https://[::1]:443/x", "https://[::1]/x"),
+        ("https://e.org?a=1&&b=2&utm_q=", "https://e.org/?a=1&b=2"),
+        ("https://a b.org/", None),
+        ("https://", None),
+    ):
+        assert one(spark, urls.sanitize(F.col("c0")), said) == want, said
+        if want:
+            assert one(spark, urls.sanitize(F.col("c0")), want) == want
+
+
 def test_resource_rules(spark):
     for said, want in (("https://file/x", False), ("https://a.b/pic.PNG", False), ("https://a.b/c", True), ("https://docs.x/1", False)):
         assert one(spark, urls.is_resource(F.col("c0"), F.lit("https://docs.x/1")), said) is want
