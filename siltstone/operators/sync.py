@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,22 +13,24 @@ from siltstone.functions.text import trim
 from siltstone.shared import numbered, store
 
 
-def walk(nodes: DataFrame, root: DataFrame, depth: int = 100) -> DataFrame:
+def walk(nodes: DataFrame, root: DataFrame, depth: int | None = None) -> DataFrame:
     """All nodes below the root rows, each once, with their depth: one join for each
-    level, so cycles end. A tree deeper than ``depth`` raises an error.
+    level, so cycles end. A tree deeper than ``depth``, if given, raises an error.
 
     nodes: nodeToken, parentNodeToken and others; root: the same columns.
     """
     level = store(root.withColumn("depth", F.lit(0)), "level")
     out = level
-    for d in range(1, depth + 2):
+    for d in count(1):
         above = level.select(F.col("nodeToken").alias("parentNodeToken"))
         below = nodes.join(above, "parentNodeToken").select(*nodes.columns).join(out.select("nodeToken"), "nodeToken", "left_anti").select(*nodes.columns)
         level = store(below.dropDuplicates(["nodeToken"]).withColumn("depth", F.lit(d)), "level")
         if level.isEmpty():
             return out
-        out = out.unionByName(level)
-    raise ValueError(f"the tree has more than {depth} levels")
+        if d == depth:
+            raise ValueError(f"the tree has more than {depth} levels")
+        # written anew, so that the plan does not grow with the levels
+        out = store(out.unionByName(level), "walked")
 
 
 def documents_of(nodes: DataFrame) -> DataFrame:
@@ -73,21 +76,22 @@ def citations(docs: DataFrame) -> DataFrame:
     return good.groupBy("documentId", "docId").agg(F.min(F.struct("pos", "title")).alias("f")).select("documentId", "f.pos", "docId", "f.title")
 
 
-def closure(start: DataFrame, edges: DataFrame, allowed: DataFrame | None = None, depth: int = 100) -> DataFrame:
+def closure(start: DataFrame, edges: DataFrame, allowed: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(id, depth) of all that is reached from ``start`` (id) along edges (src, dst):
     level by level, each only with what was not seen before, so cycles end. Only
-    ids in ``allowed`` are entered. More than ``depth`` levels raise an error."""
+    ids in ``allowed`` are entered. More than ``depth`` levels, if given, raise an error."""
     seen = store(start.select("id").distinct().withColumn("depth", F.lit(0)), "seen")
     front = seen
-    for d in range(1, depth + 2):
+    for d in count(1):
         reached = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         if allowed is not None:
             reached = reached.join(allowed.select("id"), "id", "left_semi")
         front = store(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)), "front")
         if front.isEmpty():
             return seen
+        if d == depth:
+            raise ValueError(f"citations lead on for more than {depth} levels")
         seen = store(seen.unionByName(front), "seen")
-    raise ValueError(f"citations lead on for more than {depth} levels")
 
 
 def refused(cited: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -63,6 +63,12 @@ def conversation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.validity(read_table(spark, sf_dir, "conversations"))
 
 
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each turn could be a search: one to 500 characters without the blanks around."""
+    turns = read_table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", F.coalesce(conversations.query_ok(F.col("text")), F.lit(False)).alias("ok"))
+
+
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.trace(read_table(spark, sf_dir, "conversations"))
 
@@ -81,7 +87,7 @@ def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (section_split, overlap_pieces, chunk_counts, markdown_cleaning, redaction, content_hashes, conversation_export, latest_questions, conversation_validity, trace_events, rate_limits, request_keys)}
+QUERIES = {f.__name__: f for f in (section_split, overlap_pieces, chunk_counts, markdown_cleaning, redaction, content_hashes, conversation_export, latest_questions, conversation_validity, search_requests, trace_events, rate_limits, request_keys)}
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)</?(?:callout|grid|column)\b[^>]*>', '', 'g'), '!\[([^\]]*)\]\([^)]+\)', '\1', 'g'),
 'https://internal-api-drive-stream\.feishu\.cn/\S+', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"""
@@ -114,6 +120,7 @@ SELECT doc_id, md5(t) AS redacted_md5 FROM r WHERE t <> text""",
     "latest_questions": "SELECT conv_id, trim(arg_max(text, turn), ' ' || chr(9) || chr(10) || chr(13)) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "conversation_validity": """WITH v AS (SELECT conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars, bool_and(role IN ('user', 'assistant')) AS roles_ok, bool_and(length(text) BETWEEN 1 AND 8000) AS lengths_ok, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id)
 SELECT *, roles_ok AND lengths_ok AND last_role = 'user' AND n_messages <= 24 AND n_chars <= 32000 AS valid FROM v""",
+    "search_requests": "SELECT conv_id, turn, coalesce(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) BETWEEN 1 AND 500, FALSE) AS ok FROM conversations",
     "trace_events": "SELECT conv_id, turn, substr(sha256(text), 1, 16) AS query_hash, length(text)::INTEGER AS query_length FROM conversations WHERE role = 'user'",
     "rate_limits": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_id % 97 <> 0 AND ts IS NOT NULL),
 r AS (SELECT event_id, user_id, i, 1 AS n, t + 21600000000 AS reset FROM e WHERE i = 1

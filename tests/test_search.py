@@ -323,6 +323,7 @@ def test_tree_walk_ends_in_cycles(spark):
     assert {(r["nodeToken"], r["depth"]) for r in sync.walk(nodes, root).collect()} == {("r", 0), ("a", 1), ("b", 2), ("a2", 3)}
     with pytest.raises(ValueError, match="levels"):
         sync.walk(nodes, root, depth=2)
+    assert sync.walk(nodes, root, depth=4).count() == 4
 
 
 def test_the_last_of_two_snapshots_written_at_once_is_read(spark, tmp_path):
