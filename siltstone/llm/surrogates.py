@@ -82,7 +82,8 @@ def _pieces(name: str) -> list[str]:
 def _mentions(text: str, names: set[str]) -> re.Pattern | None:
     some = {w for name in names for w in _pieces(name)[::2] if len(w) >= MENTION}
     if some:
-        some -= {w for w in some if w.lower() in set(re.findall(r"\w+", text))}
+        said = set(re.findall(r"\w+", text))
+        some -= {w for w in some if w.lower() in said}
     if not some:
         return None
     any_of = "|".join(sorted(map(re.escape, some)))

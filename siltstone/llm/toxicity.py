@@ -109,10 +109,13 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 best[start] = max(weight, best.get(start, weight))
-        out = []
+        spared.sort()
+        out, k, reach = [], 0, -1
         for start, weight in sorted(best.items()):
+            while k < len(spared) and spared[k][0] <= start:  # how far the exceptions go that began by now
+                k, reach = k + 1, max(reach, spared[k][1])
             word = said[start : look.index(" ", start + 1) - 1]
-            if any(chr(b).isalpha() or b >= 128 for b in word) and not any(a <= start < z for a, z in spared):
+            if any(chr(b).isalpha() or b >= 128 for b in word) and start >= reach:
                 out.append((start, weight))
         return out
 

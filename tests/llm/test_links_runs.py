@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import negatives, periodicity, queries, simhash
+from siltstone.llm import negatives, periodicity, queries, simhash, surrogates, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -293,3 +294,31 @@ def test_the_walk_ends_before_the_end():
     scores = own @ v.T
     scores[np.arange(400), np.arange(400)] = -1e9
     assert (lists.scores == -np.sort(-scores, axis=1)[:, :5]).all()
+
+
+# --- texts that took the square of their length
+
+
+def test_exceptions_of_a_very_long_text():
+    """Merged exceptions spare what testing each of them spares, in linear time."""
+    lexicon = toxicity.Lexicon({b" trash": 2.0, b" scum ": 1.5, b" clown": 1.0})
+    rng = random.Random(2)
+    phrases = ["trash can ", "pond scum ", "class clown fish ", "scum ", "clown ", "trashy ", "fish ", "take out the trash bin "]
+    said = "".join(rng.choice(phrases) for _ in range(300)).encode()
+    look = b" " + said + b" "
+    spans = [(i, i + len(p) - 1) for p in (f" {e} ".encode() for e in toxicity.EXCEPTIONS) for i in range(len(look)) if look[i : i + len(p)] == p]
+    plain = lambda e: [i for i in range(len(look)) if look[i : i + len(e)] == e and not any(a <= i < z for a, z in spans)]
+    assert [i for i, _ in lexicon.matches(said)] == sorted(i for e in lexicon.weights for i in plain(e))
+    began = time.time()
+    assert lexicon.matches(b"trash can " * 200_000) == []
+    assert time.time() - began < 10
+
+
+def test_many_names_in_one_text():
+    """Mentions are looked up in the text's words once, not once for each name."""
+    rng = random.Random(3)
+    names = {"".join(rng.choice("abcdefghijklmnop") for _ in range(9)).capitalize() for _ in range(20_000)}
+    text = "".join(f"Mr. {n} came. " for n in names)
+    began = time.time()
+    found = surrogates.find(text)
+    assert time.time() - began < 60 and len(found) >= len(names)
