@@ -301,14 +301,14 @@ def test_the_walk_ends_before_the_end():
 
 def test_exceptions_of_a_very_long_text():
     """Merged exceptions spare what testing each of them spares, in linear time."""
-    lexicon = toxicity.Lexicon({b" trash": 2.0, b" scum ": 1.5, b" clown": 1.0})
+    lexicon = toxicity.Lexicon({b" trash": 2.0, b" scum ": 1.5, b" fish": 1.0})
     rng = random.Random(2)
     phrases = ["trash can ", "pond scum ", "class clown fish ", "scum ", "clown ", "trashy ", "fish ", "take out the trash bin "]
     said = "".join(rng.choice(phrases) for _ in range(300)).encode()
-    look = b" " + said + b" "
-    spans = [(i, i + len(p) - 1) for p in (f" {e} ".encode() for e in toxicity.EXCEPTIONS) for i in range(len(look)) if look[i : i + len(p)] == p]
-    plain = lambda e: [i for i in range(len(look)) if look[i : i + len(e)] == e and not any(a <= i < z for a, z in spans)]
-    assert [i for i, _ in lexicon.matches(said)] == sorted(i for e in lexicon.weights for i in plain(e))
+    look, spared = b" " + toxicity.fold(said) + b" ", [b" " + toxicity.fold(e.encode()) + b" " for e in toxicity.EXCEPTIONS]
+    spans = [(i, i + len(p) - 1) for p in spared for i in range(len(look)) if look[i : i + len(p)] == p]
+    want = {i for e in lexicon.weights for i in range(len(look)) if look[i : i + len(e)] == e and not any(a <= i < z for a, z in spans)}
+    assert [i for i, _ in lexicon.matches(said)] == sorted(want) != []
     began = time.time()
     assert lexicon.matches(b"trash can " * 200_000) == []
     assert time.time() - began < 10
