@@ -121,6 +121,7 @@ def query_terms_column(query: Column) -> Column:
 
 
 def clean_markdown(text: Column) -> Column:
+    # What is replaced, in this order.
     for pattern, by in (
         (r'(?i)<cite\b[^>]*title="([^"]+)"[^>]*></cite>', "$1"),
         (r"(?i)<synced_reference\b[^>]*></synced_reference>", ""),
@@ -177,6 +178,7 @@ def rewrite_query(query: str) -> str | None:
 
 
 def clean_text(text: Column) -> Column:
+    # What is replaced, in this order.
     for pattern, by in (
         (r"\\([\[\]()（）])", "$1"),
         (r"<[^>]+>", " "),
@@ -192,6 +194,7 @@ def clean_text(text: Column) -> Column:
 
 
 def line_context(line: Column) -> Column:
+    # What is replaced, in this order.
     for pattern, by in ((r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (rf"""https?://[^{NO_SPACE}<>"']+""", ""), (r"\|", " · ")):
         line = F.regexp_replace(line, pattern, by)
     return F.substring(clean_text(line), 1, 220)

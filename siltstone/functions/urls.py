@@ -27,9 +27,15 @@ CATEGORIES: dict[str, list[str]] = {
 OTHER = "其他"
 
 
+# Signs that close a link in running text, names of pictures, titles that are only a date.
+CLOSING = r"[)）\]】}>》，。；;！!？?、]+$"
+PICTURE = r"\.(?:avif|gif|jpe?g|png|svg|webp)$"
+DATE_ONLY = r"^\d{4}[-./年]\d{1,2}(?:[-./月]\d{1,2}日?)?$"
+
+
 def clean_url(url: Column) -> Column:
     """Without blanks around, escaped ampersands and closing signs at the end."""
-    return F.regexp_replace(F.regexp_replace(trim(url), "(?i)&amp;", "&"), r"[)）\]】}>》，。；;！!？?、]+$", "")
+    return F.regexp_replace(F.regexp_replace(trim(url), "(?i)&amp;", "&"), CLOSING, "")
 
 
 def _droppable(name: Column) -> Column:
@@ -112,14 +118,14 @@ def is_resource(url: Column, document_url: Column) -> Column:
     blocked = host.isin("file", "localhost")
     for name in BLOCKED_HOSTS:
         blocked = blocked | F.contains(host, F.lit(name))
-    return ~(url.eqNullSafe(sanitize(document_url))) & ~blocked & ~path.rlike(r"\.(?:avif|gif|jpe?g|png|svg|webp)$")
+    return ~(url.eqNullSafe(sanitize(document_url))) & ~blocked & ~path.rlike(PICTURE)
 
 
 def title_quality(title: Column, name: Column) -> Column:
     low = F.lower(trim(title))
     return (
         F.when((low == "") | (low == name) | low.isin(GENERIC_TITLES) | low.rlike("^https?://"), 0)
-        .when(low.rlike(r"^\d{4}[-./年]\d{1,2}(?:[-./月]\d{1,2}日?)?$"), 1)
+        .when(low.rlike(DATE_ONLY), 1)
         .otherwise(F.least(F.lit(100), F.length(title) + 20))
     )
 
