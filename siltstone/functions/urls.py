@@ -73,7 +73,8 @@ def _segments(path: Column) -> Column:
 
 
 def _ascii_host(host: Column) -> Column:
-    """A host as the network knows it: labels beyond ASCII by Punycode, null if there is no such name."""
+    """A host as the network knows it: labels beyond ASCII by Punycode, null if there is no such
+    name. Spark takes the call for nondeterministic, so it stands in projections, not in aggregates."""
     named = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), decoded(host))
     plain = F.when(host.rlike(r"[^\x00-\x7f]|%"), F.lower(named)).otherwise(host)
     return F.when(~plain.rlike(r"[\x00-\x20#%/<>?@\\^|]"), plain)

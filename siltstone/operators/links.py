@@ -154,7 +154,8 @@ def repaired(resources: DataFrame, root_url: str) -> DataFrame:
     first = clean.groupBy("clean").agg(F.min_by(F.struct("id", "title", "domain", "category"), "pos").alias("r"))
     each = clean.select("clean", "pos", F.posexplode("mentions").alias("at", "m"))
     told = each.groupBy("clean", F.col("m.documentId").alias("documentId"), F.col("m.context").alias("context")).agg(F.min(F.struct("pos", "at", F.col("m.documentTitle").alias("title"), F.col("m.documentUrl").alias("url"))).alias("f"))
-    mention = F.struct("f.pos", "f.at", F.struct("documentId", F.col("f.title").alias("documentTitle"), F.coalesce(urls.sanitize(F.col("f.url")), F.lit(root_url)).alias("documentUrl"), "context").alias("m"))
+    told = told.withColumn("documentUrl", F.coalesce(urls.sanitize(F.col("f.url")), F.lit(root_url)))
+    mention = F.struct("f.pos", "f.at", F.struct("documentId", F.col("f.title").alias("documentTitle"), "documentUrl", "context").alias("m"))
     mentions = told.groupBy("clean").agg(F.transform(F.array_sort(F.collect_list(mention)), lambda x: x["m"]).alias("mentions"))
     none = F.array().cast(resources.schema["mentions"].dataType)
     return first.join(mentions, "clean", "left").select("r.id", F.col("clean").alias("url"), F.col("clean").alias("normalizedUrl"), "r.title", "r.domain", "r.category", F.coalesce("mentions", none).alias("mentions"))
