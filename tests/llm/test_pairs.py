@@ -164,6 +164,41 @@ def test_near_passages_are_recalled(spark, families, members):
     assert found >= 0.9 * sum(like) and not any(got[i] for i, x in enumerate(like) if not x)
 
 
+@pytest.mark.parametrize("kind", ["inserted", "deleted"])
+@pytest.mark.parametrize(("families", "members"), [(40, 8), (1, 200)])
+def test_passages_with_a_word_more_or_less_are_recalled(spark, kind, families, members):
+    """Brute force over all pairs of windows within a family. In small families most
+    have one partner, just above the threshold: one meeting by chance decides."""
+    rng = random.Random(families)
+    say = lambda n: [f"u{rng.randrange(100_000)}" for _ in range(n)]
+    docs, like = [], []
+    for _ in range(families):
+        passage, own = say(50), []
+        for _ in range(members):
+            at = rng.randrange(50)
+            own.append(say(30) + passage[:at] + (say(1) + passage[at:] if kind == "inserted" else passage[at + 1 :]) + say(30))
+        held = [windows(w)[20:40] for w in own]
+        like += [any(4 * len(x & y) >= 3 * len(x | y) for j, b in enumerate(held) if j != i for x in a for y in b) for i, a in enumerate(held)]
+        docs += own
+    got = {r["doc_id"]: r["n_repeated"] > 0 for r in substrings.repeats(spark.createDataFrame([(i, " ".join(d), "en", 7) for i, d in enumerate(docs)], SCHEMA)).collect()}
+    found = sum(got[i] for i, x in enumerate(like) if x)
+    print("recall", found, sum(like))
+    assert found >= (0.9 if members > 8 else 0.85) * sum(like) and not any(got[i] for i, x in enumerate(like) if not x)
+
+
+def test_overlaps_equal_sets(spark):
+    rng = random.Random(9)
+    for words_, n in ((10_000, 200), (30, 200), (2, 90)):
+        a = np.array([rng.randrange(words_) for _ in range(n)], dtype=np.uint64)
+        b = np.r_[a[5:60], a[70:], a[:20]]
+        starts = np.array([0, 3, 20, 30], dtype=np.int64)
+        for shift in (-4, 0):
+            shared, either = substrings.overlaps(a, b, shift, starts)
+            for s, o, e in zip(starts.tolist(), shared.tolist(), either.tolist(), strict=True):
+                x, y = set(a[s : s + 46].tolist()), set(b[s - shift : s - shift + 46].tolist())
+                assert (o, e) == (len(x & y), len(x | y))
+
+
 def windows(w):
     return [frozenset(tuple(w[k + i : k + i + 5]) for i in range(46)) for k in range(len(w) - 49)]
 
