@@ -5,11 +5,12 @@ document belongs to). Words flow from patterns to the quotas of their sources;
 the first use of a pattern's words is cheap and each repetition dearer, so the
 optimal flow repeats as little as the quotas allow. The flow through a pattern
 then picks its documents in a seeded order: whole rounds take all of them, the
-rest takes those up to a cut, and one more that fits the remainder best.
+rest takes those up to a cut, goes on with smaller ones where the next is too
+long, and takes one more that fits the remainder best.
 
 What comes to the driver is a row for each pattern and source, never for a
 document. Up to a checked number of patterns selection needs no shuffle of texts:
-a pattern's cut and its filler are broadcast, and documents are held against them
+a pattern's cuts and its filler are broadcast, and documents are held against them
 where they are; beyond it they are joined by shuffle.
 
 Cases: a null text has size 0 and is never taken; null is a source of its own,
@@ -147,29 +148,59 @@ def _order_key(seed: str, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1))
 
 
-def cuts(rows: DataFrame, rest: DataFrame, n_rows: int, small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
-    """For each pattern with words to take in part: the last key below which all
-    is taken, and the key of one more document that fits the remainder best.
-
-    rows: pattern, key, size; rest: pattern, words (one row for each pattern);
-    small: a hint for tables of at most a row for each pattern.
-    """
-    buckets = min(MOST_BUCKETS, max(64, n_rows // ROWS_IN_BUCKET))
+def _prefix(rows: DataFrame, rest: DataFrame, buckets: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(pattern, cut, short): the last key below which all rows of a pattern fit into
+    its words, and the words that are left."""
     width = -(-(1 << 62) // buckets)
     partial = rows.join(small(rest), "pattern").withColumn("bucket", F.floor(F.col("key") / F.lit(width)).cast("long"))
     sums = partial.groupBy("pattern", "bucket").agg(F.sum("size").alias("size"), F.first("words").alias("words"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    edge = sums.filter((F.col("before") <= F.col("words")) & (F.col("before") + F.col("size") > F.col("words"))).select("pattern", "bucket", "before")
+    sums = sums.withColumn("upto", F.col("before") + F.col("size"))
+    edge = sums.filter((F.col("before") <= F.col("words")) & (F.col("upto") > F.col("words"))).select("pattern", "bucket", "before")
     keys = partial.join(small(edge), ["pattern", "bucket"]).groupBy("pattern", "key").agg(F.sum("size").alias("size"), F.first("words").alias("words"), F.first("before").alias("before"), F.first("bucket").alias("bucket"))
     running = Window.partitionBy("pattern").orderBy("key")
     keys = keys.withColumn("upto", F.col("before") + F.sum("size").over(running))
-    cut = keys.groupBy("pattern").agg(
+    last = keys.groupBy("pattern").agg(
         F.max(F.when(F.col("upto") <= F.col("words"), F.struct("key", "upto"))).alias("last"), F.first("bucket").alias("bucket"), F.first("before").alias("before"), F.first("words").alias("words")
     ).select("pattern", F.coalesce("last.key", F.col("bucket") * F.lit(width) - 1).alias("cut"), (F.col("words") - F.coalesce("last.upto", "before")).alias("short"))
-    more = rows.join(small(cut), "pattern").filter((F.col("key") > F.col("cut")) & (F.abs(F.col("size") - F.col("short")) < F.col("short")))
-    filler = more.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("off"), "key")).alias("best")).select("pattern", F.col("best.key").alias("filler"))
-    return cut.join(small(filler), "pattern", "left").select("pattern", "cut", "filler")
+    whole = sums.groupBy("pattern").agg(F.max("upto").alias("upto"), F.first("words").alias("words")).filter("upto <= words")
+    return last.unionByName(whole.select("pattern", F.lit((1 << 62) - 1).alias("cut"), (F.col("words") - F.col("upto")).alias("short")))
+
+
+def cuts(rows: DataFrame, rest: DataFrame, n_rows: int, small: Callable[[DataFrame], DataFrame] = F.broadcast, near: float = 0.001) -> DataFrame:
+    """For each pattern with words to take in part: steps of (limit, cut), where rows
+    of at most ``limit`` words are taken up to the key ``cut``, and the key of one
+    more document that fits the remainder best.
+
+    The first step takes rows of every size; each further one goes on with those of
+    at most half of what is still short, so what is short halves, or all of these
+    rows are taken. It ends when no pattern is short of more than ``near`` of its words,
+    or its next rows are repeated ones that fit only apart: they are taken together.
+
+    rows: pattern, key, size; rest: pattern, words (one row for each pattern);
+    small: a hint for tables of at most a row for each pattern.
+    """
+    buckets = min(MOST_BUCKETS, max(64, n_rows // ROWS_IN_BUCKET))
+    any_size = F.lit((1 << 62) - 1).alias("limit")
+    state = rest.select("pattern", (F.col("words") * near).alias("enough"), "words").join(_prefix(rows, rest, buckets, small), "pattern")
+    state = store(state.select("pattern", "enough", F.col("short").cast("double").alias("short"), F.array(F.struct(any_size, "cut")).alias("steps"), F.lit(True).alias("open")), "mix-steps")
+    while True:
+        half = F.floor(F.col("short") / 2).cast("long")
+        open_ = state.filter(F.col("open") & (F.col("short") > F.col("enough"))).select("pattern", F.col("short").alias("words"), half.alias("limit"), F.element_at("steps", -1)["cut"].alias("from"))
+        fit = rows.join(small(open_.select("pattern", "limit", "from")), "pattern").filter((F.col("key") > F.col("from")) & (F.col("size") > 0) & (F.col("size") <= F.col("limit"))).select("pattern", "key", "size")
+        step = store(_prefix(fit, open_.select("pattern", "words"), buckets, small).join(small(open_.select("pattern", "limit", "from")), "pattern").select("pattern", F.col("short").alias("left"), "limit", F.greatest("cut", "from").alias("cut")), "mix-step")
+        if step.isEmpty():
+            break
+        more = F.when(F.col("cut").isNotNull(), F.concat("steps", F.array(F.struct("limit", "cut")))).otherwise(F.col("steps"))
+        state = store(state.join(small(step), "pattern", "left").select("pattern", "enough", F.coalesce("left", "short").alias("short"), more.alias("steps"), F.coalesce(F.col("left") < F.col("short"), F.lit(False)).alias("open")), "mix-steps")
+    left = rows.join(small(state.select("pattern", "short", "steps")), "pattern").filter(~_taken(F.col("steps"), F.col("key"), F.col("size")) & (F.abs(F.col("size") - F.col("short")) < F.col("short")))
+    filler = left.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("off"), "key")).alias("best")).select("pattern", F.col("best.key").alias("filler"))
+    return state.join(small(filler), "pattern", "left").select("pattern", "steps", "filler")
+
+
+def _taken(steps: Column, key: Column, size: Column) -> Column:
+    return F.exists(steps, lambda s: (size <= s["limit"]) & (key <= s["cut"]))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "siltstone", id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, prefix: str = "") -> DataFrame:
@@ -204,8 +235,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     cut = cuts(rows, spark.createDataFrame(partial, f"pattern {kind}, words double"), sum(r["n"] for r in patterns), small)
     if partial:
         cut = store(cut, "mix-cuts")
-    plans = plans.join(small(cut), plans["__mix_p"].eqNullSafe(cut["pattern"]), "left").select("__mix_p", "__mix_source_size", "__mix_target", "__mix_whole", F.col("cut").alias("__mix_cut"), F.col("filler").alias("__mix_filler"))
+    plans = plans.join(small(cut), plans["__mix_p"].eqNullSafe(cut["pattern"]), "left").select("__mix_p", "__mix_source_size", "__mix_target", "__mix_whole", F.col("steps").alias("__mix_steps"), F.col("filler").alias("__mix_filler"))
     held = base.join(small(plans), F.col("__mix_pattern") == F.col("__mix_p"), "left")
-    more = F.coalesce(((F.col("__mix_key") <= F.col("__mix_cut")) | (F.coalesce(F.col("__mix_key") == F.col("__mix_filler"), F.lit(False)))).cast("int"), F.lit(0))
+    more = F.coalesce((_taken(F.col("__mix_steps"), F.col("__mix_key"), F.col("__mix_size")) | (F.coalesce(F.col("__mix_key") == F.col("__mix_filler"), F.lit(False)))).cast("int"), F.lit(0))
     copies = F.when(F.col("__mix_size") == 0, 0).otherwise(F.coalesce(F.col("__mix_whole"), F.lit(0)) + more).cast("int")
     return held.select(*base.drop("__mix_pattern", "__mix_key", "__mix_size").columns, F.col("__mix_size").alias(size), F.col("__mix_source_size").alias(source_size), F.col("__mix_target").alias(target_), copies.alias(copies_), (F.col("__mix_size") * copies).alias(taken))

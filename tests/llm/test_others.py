@@ -116,6 +116,35 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("seed", ["one", "two", "three"])
+def test_mix_passes_over_what_is_too_long(spark, seed):
+    rows = [(i, "w", "t") for i in range(1000)] + [(1000, "w " * 2000, "t")]
+    rows += [(2000 + i, "w " * n, "u") for i, n in enumerate([3, 1, 500, 2, 900, 40, 7, 1300] * 40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(4000, 60_000), share=64_000 / 113_120, seed=seed).collect()
+    for source, off in (("t", 1), ("u", 250)):  # half of the shortest one that may stay
+        taken = sum(r["taken"] for r in got if r["source"] == source)
+        target = next(r["target"] for r in got if r["source"] == source)
+        assert abs(taken - target) <= off, (source, taken, target)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+
+
+def test_cuts_equal_a_walk(spark):
+    """One step takes what a walk in seeded order takes, and steps only add to it."""
+    rng = random.Random(5)
+    rows = [(["p"] if i % 3 else ["q"], rng.randrange(1 << 62), rng.randint(0, 90)) for i in range(600)]
+    rest = [(["p"], 7000.0), (["q"], 1e9)]
+    cut = {tuple(r["pattern"]): r for r in mixing.cuts(spark.createDataFrame(rows, "pattern array<string>, key long, size long"), spark.createDataFrame(rest, "pattern array<string>, words double"), 600, near=0.0).collect()}
+    walk, taken = 0, 0
+    for pattern, key, size in sorted(rows, key=lambda r: r[1]):
+        if pattern == ["p"]:
+            walk += size
+            held = any(size <= s["limit"] and key <= s["cut"] for s in cut["p",]["steps"])
+            assert held or walk > 7000
+            taken += size * (held or key == cut["p",]["filler"])
+    assert abs(taken - 7000) <= 1
+    assert cut["q",]["steps"][0]["cut"] == (1 << 62) - 1 and cut["q",]["filler"] is None
+
+
 def test_mix_with_overlapping_sources(spark):
     rows = [(i, "w w w", ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["b", "a"]) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, of array<string>")
