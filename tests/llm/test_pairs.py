@@ -210,3 +210,53 @@ def test_repeats_of_degenerate_text(spark):
     assert got[1][1] == got[2][1] == 1 and got[1][0] == 600 and got[2][0] >= 600
     assert got[3] == (0, 3) and got[4] == (0, 4) and got[5] == (0, 3)
     assert substrings.repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_similar_passages_are_all_found_wherever_they_lie():
+    """Moved, inserted, deleted and repeated words: against all pairs of windows, and by their keys."""
+    rng = random.Random(5)
+    say = lambda n, v: [b"w%d" % rng.randrange(v) for _ in range(n)]
+
+    def changed(p):
+        at = rng.randrange(len(p))
+        return [p[:at] + say(1, 10**6) + p[at:], p[:at] + p[at + 1 :], p[at:] + p[:at], p[: at + 5] + p[at : at + 5] * 2 + p[at + 5 :], p][rng.randrange(5)]
+
+    slots, none, like = np.zeros(substrings.SLOTS // 8, dtype=np.uint8), np.empty(0, dtype=np.uint64), 0
+    for v in [10**5] * 40 + [30, 4, 2] * 8:
+        p = say(rng.choice([50, 60, 90]), v)
+        a, b = (say(20, v) + changed(p) + say(20, v) for _ in range(2))
+        x, y = substrings.shingle_hashes(a), substrings.shingle_hashes(b)
+        sets = [[set(h[i : i + 46].tolist()) for i in range(len(h) - 45)] for h in (x, y)]
+        want = [(i, j) for i, s in enumerate(sets[0]) for j, t in enumerate(sets[1]) if 4 * len(s & t) >= 3 * len(s | t)]
+        got = substrings.similar(substrings.Shingled(x), substrings.Shingled(y))
+        assert [set(g.tolist()) for g in got] == [{i for i, _ in want}, {j for _, j in want}]
+        loops = np.concatenate(substrings.looped([a, b]))
+        slots[:] = 0
+        np.bitwise_or.at(slots, substrings._slot(loops) >> 3, (1 << (substrings._slot(loops) & 7)).astype(np.uint8))
+        key, doc, run = substrings.keys([a, b], none, slots)
+        met = set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
+        like += len(want) > 0
+        assert not want or len(met) >= substrings.SHARED or (met and (run[np.isin(key, list(met))] & 1).any())
+    assert like > 40
+
+
+def test_every_near_passage_is_found(spark):
+    """All links of a small family and, under keys of many texts, of a large one with strays."""
+    rng = random.Random(8)
+    say = lambda n: [f"u{rng.randrange(100_000)}" for _ in range(n)]
+    docs, lines = [], []
+    for members in [8] * 25 + [90]:
+        passage, first = say(50), len(docs)
+        for _ in range(members):
+            at = rng.randrange(50)
+            docs.append(say(30) + passage[:at] + say(1) + passage[at:] + say(30))
+        held = [windows(w)[20:40] for w in docs[first:]]
+        lines += [(first + i, first + j) for i, a in enumerate(held) for j, b in enumerate(held) if i < j and any(4 * len(x & y) >= 3 * len(x | y) for x in a for y in b)]
+    got = {r["doc_id"]: r for r in substrings.repeats(spark.createDataFrame([(i, " ".join(d), "en", 7) for i, d in enumerate(docs)], SCHEMA)).collect()}
+    least = list(range(len(docs)))
+    for _ in docs:
+        for a, b in lines:
+            least[a] = least[b] = min(least[a], least[b])
+    linked = {i for pair in lines for i in pair}
+    assert {i for i, r in got.items() if r["n_repeated"]} == linked
+    assert [got[i]["class_id"] for i in range(len(docs))] == least
