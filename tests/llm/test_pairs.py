@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import components, jaccard, substrings
@@ -260,3 +261,42 @@ def test_every_near_passage_is_found(spark):
     linked = {i for pair in lines for i in pair}
     assert {i for i, r in got.items() if r["n_repeated"]} == linked
     assert [got[i]["class_id"] for i in range(len(docs))] == least
+
+
+def test_many_pairs_at_once_are_compared_as_one_by_one(monkeypatch):
+    """Pairs that share a second text, with changed, looped and far repeated passages; few are left to be compared alone."""
+    rng = random.Random(6)
+    say = lambda n, v=10**6: [b"w%d" % rng.randrange(v) for _ in range(n)]
+    rows = []
+    for b in range(25):
+        p, v = say(rng.choice([50, 70, 120])), 4 if b % 5 == 4 else 10**6
+        two = say(20) + p + (say(60) + p if b % 5 == 3 else say(20, v))
+        for a in range(b + 1, b + 7):
+            at = rng.randrange(len(p))
+            made = [p, p[:at] + say(1) + p[at:], p[:at] + p[at + 1 :], p[at:] + p[:at], say(60), say(3) + p[:at] + say(2) + p[at + 2 :]][rng.randrange(6)]
+            one = say(rng.randrange(30)) + made + say(20, v)
+            rows.append((a, b, rng.randrange(9), b % 3, *(substrings.shingle_hashes(x).astype("<u8").tobytes() for x in (one, two))))
+    cols = [pa.array(c) for c in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays(cols, names=["a", "b", "low_a", "low_b", "ha", "hb"])
+    want = []
+    for a, b, low_a, low_b, one, two in rows:
+        own, other = substrings.similar(*(substrings.Shingled(np.frombuffer(x, dtype="<u8")) for x in (one, two)))
+        if len(own):
+            want += [(a, b, a, *s) for s in substrings._spans(own + low_a)] + [(a, b, b, *s) for s in substrings._spans(other + low_b)]
+    calls, similar = [], substrings.similar
+    monkeypatch.setattr(substrings, "similar", lambda x, y: calls.append(1) or similar(x, y))
+    for places, some in ((1 << 18, batch), (500, batch), (2000, batch.slice(7, 90))):
+        monkeypatch.setattr(substrings, "PLACES", places)
+        got = [tuple(map(int, r)) for cols in substrings.spans_of(some) for r in zip(*cols, strict=True)]
+        keep = {r[:2] for r in rows[7:97]} if some is not batch else {r[:2] for r in rows}
+        assert sorted(got) == sorted(tuple(map(int, r)) for r in want if r[:2] in keep)
+    assert len(want) > 100 and len(calls) < len(rows)
+
+
+def test_least_ranks_equal_sorted_stretches():
+    rng = np.random.default_rng(0)
+    for width in (2, 3, 7, 46):
+        o = rng.integers(0, 60, 9000).astype(np.uint32)
+        rows = np.sort(np.lib.stride_tricks.sliding_window_view(o, width), axis=1)
+        nths = (1, 2) if width < 12 else (8, 12)
+        assert (substrings.least_ranks(o, nths, width) == rows[:, [n - 1 for n in nths]]).all()
