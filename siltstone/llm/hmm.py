@@ -17,9 +17,9 @@ they are added, so that sums do not depend on their order.
 States begin as groups of training texts, of all of them: first by a random
 direction for each word of the head, then once more by the words of these groups.
 
-Scores are the exact likelihood by the scaled forward recursion. Long texts are
-taken in spans: forward variables are kept where spans begin, and computed again
-from there on the way back.
+Scores are the exact likelihood by the scaled forward recursion. Long texts of
+several batches are taken together, in spans: forward variables are kept where spans
+begin, and computed again from there on the way back.
 
 Cases: a null text is empty and has the end token only; repeated rows count and
 are scored each; without training texts all counts are 0 and every word is
@@ -32,7 +32,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +48,11 @@ END, TAIL, FIRST = 0, 1, 2  # ids: the end token, words outside the head, the he
 FLUSH = 400_000  # distinct words that a task holds while counting
 CELLS = 1 << 17  # words in a block of texts that the recursions take at once
 BATCH = 2 << 20  # bytes of Arrow batches
-SPAN = 1 << 15  # steps of long texts that are held at once
+SPAN = 1 << 17  # words of long texts whose variables are held at once
+LONG, GROUP = 512, 1 << 20  # tokens: longer texts of several batches are taken together, so many at once
+ROWS, WIDE = 64, 1 << 21  # long texts in a block, and words in it
 UNIT = 65_536.0  # expected counts are multiples of 1 / UNIT
+SCALED = 8  # forward variables are scaled at every so many steps and where a text ends
 SHARES = 255  # parts of a rare word's occurrences, as states share them
 PRIOR = 200.0  # weight, in words, of the overall distribution in each state's
 
@@ -72,12 +75,42 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return store(parts.groupBy("word").agg(F.sum("c").alias("c")), "hmm-counts")
 
 
+def _kind(symbols: int) -> str:
+    """How ids are held in bytes: whole columns of these pass Spark without a look at each."""
+    return "<u2" if symbols <= 1 << 16 else "<u4"
+
+
+def _lists(column: pa.Array, symbols: int) -> pa.ListArray:
+    """The ids of each text."""
+    kind = np.dtype(_kind(symbols))
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1] // kind.itemsize if len(column) else np.zeros(1, dtype=np.int32)
+    values = np.frombuffer(column.buffers()[2], dtype=kind, count=int(offsets[-1]))[offsets[0] :] if len(column) else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch], column: int, symbols: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, with long texts of several batches in one: a step of the recursions costs
+    much the same for one text as for many."""
+    kept, held = [], 0
+    for batch in batches:
+        size = np.diff(_lists(batch.column(column), symbols).offsets.to_numpy())
+        yield batch.filter(pa.array(size <= LONG))
+        kept.append(batch.filter(pa.array(size > LONG)))
+        held += int(size[size > LONG].sum())
+        if held > GROUP:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept, held = [], 0
+    if held:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
 def encode(docs: DataFrame, head: dict[bytes, int], text_col: str = "text") -> DataFrame:
-    """Stored ``docs`` with ids (of head words) and tail (other words), without the text."""
+    """Stored ``docs`` with ids (of head words, as bytes) and tail (other words), without the text."""
     spark = docs.sparkSession
     ids_of = spark.sparkContext.broadcast(head)
     names = [c for c in docs.columns if c != text_col]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", ids array<int>, tail array<binary>"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", ids binary, tail array<binary>"
+    kind = _kind(FIRST + len(head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = ids_of.value.get
@@ -88,8 +121,8 @@ def encode(docs: DataFrame, head: dict[bytes, int], text_col: str = "text") -> D
                 own = [get(w, TAIL) for w in found]
                 tails.append([w for w, i in zip(found, own, strict=True) if i == TAIL])
                 own.append(END)
-                ids.append(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, type=pa.list_(pa.int32())), pa.array(tails, type=pa.list_(pa.binary()))], names=[*names, "ids", "tail"])
+                ids.append(np.array(own, dtype=kind).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, type=pa.binary()), pa.array(tails, type=pa.list_(pa.binary()))], names=[*names, "ids", "tail"])
 
     out = store(docs.select(*names, text_col).mapInArrow(run, schema), "hmm-encoded")
     ids_of.destroy()
@@ -102,6 +135,10 @@ class Model:
     move: np.ndarray  # K x K
     emit: np.ndarray  # ids x K
 
+    @cached_property
+    def by_state(self) -> np.ndarray:
+        return np.ascontiguousarray(self.emit.T)
+
 
 def _blocks(lists: pa.ListArray, flat: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, their lengths, ids as steps x rows) of texts of similar length, longest
@@ -114,7 +151,7 @@ def _blocks(lists: pa.ListArray, flat: np.ndarray | None = None) -> Iterator[tup
     at = 0
     while at < len(order):
         steps = int(lengths[order[at]])
-        rows = order[at : at + max(1, CELLS // max(1, steps))]
+        rows = order[at : at + max(1, CELLS // max(1, steps), min(ROWS, WIDE // max(1, steps)))]
         at += len(rows)
         size = lengths[rows]
         ids = np.zeros((steps, len(rows)), dtype=np.int32)
@@ -125,20 +162,31 @@ def _blocks(lists: pa.ListArray, flat: np.ndarray | None = None) -> Iterator[tup
 
 
 def _forward(model: Model, size: np.ndarray, ids: np.ndarray, begin: int = 0, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward variables, emissions, scales (1 past a text's end) and live texts
-    by step, for the steps from ``begin`` on, with the variables ``before`` them."""
+    """Scaled forward variables and emissions (states x steps x texts), scales (1 past a text's end and
+    where nothing is scaled) and live texts by step, for the steps from ``begin`` on, with the variables
+    ``before`` them."""
     steps, n = ids.shape
     live = np.searchsorted(-size, -np.arange(begin, begin + steps), side="left")  # texts longer than t, as the longest come first
-    emit = model.emit[ids]
+    emit, move = np.empty((len(model.start), steps, n)), np.ascontiguousarray(model.move.T)
+    for own, values in zip(emit, model.by_state, strict=True):
+        np.take(values, ids, out=own, mode="clip")  # all ids are there; what other modes check costs a copy
     alpha = np.zeros_like(emit)
     scale = np.ones((steps, n))
+    last = before
+    counts = [*live.tolist(), int(np.searchsorted(-size, -(begin + steps), side="left"))]
     for t in range(steps):
-        m = live[t]
-        last = alpha[t - 1] if t else before
-        a = (np.broadcast_to(model.start, (m, len(model.start))) if last is None else last[:m] @ model.move) * emit[t, :m]
-        c = a.sum(axis=1)
-        scale[t, :m] = c
-        alpha[t, :m] = a / c[:, None]
+        m, on = counts[t], counts[t + 1]
+        own = alpha[:, t, :m]
+        if last is None:
+            np.multiply(emit[:, t, :m], model.start[:, None], out=own)
+        else:
+            np.multiply(move @ last[:, :m], emit[:, t, :m], out=own)
+        if t % SCALED == SCALED - 1 or t == steps - 1:
+            on = 0
+        if on < m:
+            own[:, on:].sum(axis=0, out=scale[t, on:m])
+            own[:, on:] /= scale[t, on:m]
+        last = own
     return alpha, emit, scale, live
 
 
@@ -149,7 +197,7 @@ def _likely(model: Model, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     for begin in range(0, len(ids), span):
         alpha, _, scale, _ = _forward(model, size, ids[begin : begin + span], begin, last)
         total += np.log10(scale).sum(axis=0)
-        last = alpha[-1]
+        last = alpha[:, -1].copy()
     return total
 
 
@@ -157,32 +205,39 @@ def _expected(model: Model, size: np.ndarray, ids: np.ndarray, into: tuple[np.nd
     """Adds the expected starts, moves and emissions of a block of texts."""
     start, move, counts = into
     k = len(model.start)
-    begins, lasts = list(range(0, len(ids), SPAN)), [None]
+    span = max(1, SPAN // len(size))
+    begins, lasts = list(range(0, len(ids), span)), [None]
     for begin in begins[:-1]:
-        lasts.append(_forward(model, size, ids[begin : begin + SPAN], begin, lasts[-1])[0][-1].copy())
+        lasts.append(_forward(model, size, ids[begin : begin + span], begin, lasts[-1])[0][:, -1].copy())
     after, follow = None, 0  # what the next span's first step is worth, and the texts that reach it
     for begin, last in zip(reversed(begins), reversed(lasts), strict=True):
-        alpha, emit, scale, live = _forward(model, size, ids[begin : begin + SPAN], begin, last)
-        ahead = emit / scale[:, :, None]
-        beta = np.ones_like(alpha)
-        for t in range(len(alpha) - 1, -1, -1):
-            if after is not None:
-                beta[t, :follow] = after[:follow] @ model.move.T
-            follow = live[t]
-            ahead[t, :follow] *= beta[t, :follow]
-            ahead[t, follow:] = 0
-            after = ahead[t]
+        alpha, ahead, scale, live = _forward(model, size, ids[begin : begin + span], begin, last)
+        part = np.zeros_like(alpha)  # of each state at each step; 0 past a text's end
+        steps = alpha.shape[1]
+        for t, m in zip(range(steps - 1, -1, -1), reversed(live.tolist()), strict=True):
+            if follow == m and after is not None:
+                beta = model.move @ after
+            else:
+                beta = np.ones((k, m))
+                if after is not None:
+                    beta[:, :follow] = model.move @ after[:, :follow]
+            np.multiply(beta, alpha[:, t, :m], out=part[:, t, :m])
+            if t % SCALED == SCALED - 1 or t == steps - 1 or follow < m:
+                beta /= scale[t, :m]
+            after, follow = ahead[:, t, :m], m
+            after *= beta  # so far the emissions
+            if m < len(size):
+                ahead[:, t, m:] = 0
         after = after.copy()
-        if len(alpha) > 1:
-            move += model.move * (alpha[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
+        if steps > 1:
+            move += model.move * (alpha[:, :-1].reshape(k, -1) @ ahead[:, 1:].reshape(k, -1).T)
         if last is not None:
-            move += model.move * (last.T @ ahead[0])
-        beta *= alpha  # 0 past a text's end, as alpha is
+            move += model.move * (last @ ahead[:, 0].T)
         if begin == 0:
-            start += beta[0].sum(axis=0)
-        flat = ids[begin : begin + SPAN].ravel()
+            start += part[:, 0].sum(axis=1)
+        flat = ids[begin : begin + span].ravel().astype(np.intp)
         for j in range(k):
-            counts[:, j] += np.bincount(flat, weights=beta[:, :, j].ravel(), minlength=len(counts))
+            counts[:, j] += np.bincount(flat, weights=part[j].ravel(), minlength=len(counts))
 
 
 def _rows(word: pa.Array, row: np.ndarray, n: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
@@ -201,16 +256,16 @@ def _sums(encoded: DataFrame, model: Model, by_word: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        total = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
-        for batch in batches:
-            lists, own, flat, here = batch.column(0), total[2], None, model
+        total = np.zeros(k), np.zeros((k, k)), np.zeros((k, symbols)).T
+        for batch in _regrouped(batches, 0, symbols):
+            lists, own, flat, here = _lists(batch.column(0), symbols), total[2], None, model
             if by_word:
                 coded = batch.column(1).flatten().dictionary_encode()
                 which = coded.indices.to_numpy()
                 flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
                 flat[flat == TAIL] = symbols + which
                 found = len(coded.dictionary)
-                own = np.zeros((symbols + found, k))
+                own = np.zeros((k, symbols + found)).T
                 here = Model(model.start, model.move, np.concatenate([model.emit, np.repeat(model.emit[TAIL : TAIL + 1], found, axis=0)]))
             for _, size, ids in _blocks(lists, flat):
                 _expected(here, size, ids, (total[0], total[1], own))
@@ -258,17 +313,17 @@ class Smoothing:
 
 def last_round(encoded: DataFrame, model: Model, known: np.ndarray, symbols: int) -> tuple[Model, Smoothing, DataFrame]:
     """A round that counts every word by itself: the model, in which id TAIL now stands for
-    unseen words, and a stored (word, c, g) of words outside the head: g has, in bytes, the
-    states' parts of c in 255ths, and totals are of these parts, so probabilities add up to 1.
+    unseen words, and a stored (word, c, parts0, ...) of words outside the head: these longs have, in bytes,
+    the states' parts of c in 255ths, and totals are of these parts, so probabilities add up to 1.
     ``known``: occurrences by id, ``symbols``: number of words, end and unseen words included."""
     k = model.emit.shape[1]
     sums = store(_sums(encoded, model, True), "hmm-sums")
     counts, move, start = _fetch(sums, *model.emit.shape)
     packed = [F.shiftleft(F.least(F.rint(F.col(f"g{j}") / F.col("n") * SHARES), F.lit(SHARES)).cast("long"), 8 * (j % 8)) for j in range(k)]
-    longs = [reduce(lambda x, y: x.bitwiseOR(y), packed[j : j + 8]) for j in range(0, k, 8)]
-    table = store(sums.filter("word is not null").select("word", F.col("n").alias("c"), F.array(*longs).alias("g")), "hmm-emissions")
+    longs = [reduce(lambda x, y: x.bitwiseOR(y), packed[j : j + 8]).alias(f"parts{j // 8}") for j in range(0, k, 8)]
+    table = store(sums.filter("word is not null").select("word", F.col("n").alias("c"), *longs), "hmm-emissions")
     discard(sums)
-    shares = [F.shiftrightunsigned(F.col("g")[j // 8], 8 * (j % 8)).bitwiseAND(F.lit(255)) for j in range(k)]
+    shares = [F.shiftrightunsigned(F.col(f"parts{j // 8}"), 8 * (j % 8)).bitwiseAND(F.lit(255)) for j in range(k)]
     added = table.agg(*(F.sum(F.col("c") * x).alias(f"g{j}") for j, x in enumerate(shares))).collect()[0]
     whole = counts.sum(axis=0) + np.array([x or 0 for x in added]) / SHARES
     weight = whole / max(1.0, whole.sum())
@@ -288,10 +343,11 @@ def _group(encoded: DataFrame, weights: np.ndarray, start: np.ndarray) -> tuple[
         weights, start = shared.value
         counts, texts = np.zeros(symbols * k), np.zeros((1, k))
         for batch in batches:
-            lengths = np.diff(batch.column(0).offsets.to_numpy())
+            lists = _lists(batch.column(0), symbols)
+            lengths = np.diff(lists.offsets.to_numpy())
             if not len(lengths):
                 continue
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
             begins = np.r_[0, np.cumsum(lengths)][:-1]  # no text is without its end token
             group = np.argmax(start + np.stack([np.add.reduceat(weights[:, j][flat], begins) for j in range(k)], axis=1), axis=1)
             texts += np.bincount(group, minlength=k)
@@ -363,14 +419,14 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
 
     # words outside the head that training texts hold: where they are, by document
     told = encoded.select("key", F.posexplode("tail").alias("at", "word")).join(table, "word")
-    by_doc = told.groupBy("key").agg(F.collect_list(F.struct("at", "c", "g")).alias("rare"))
+    by_doc = told.groupBy("key").agg(F.collect_list(F.struct("at", *table.columns[1:])).alias("rare"))
     shared = spark.sparkContext.broadcast((model, smooth, np.log10(np.where(np.arange(len(known)) == TAIL, 0, known) + 1), known > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, smooth, logs, seen = shared.value
         symbols, k = model.emit.shape
-        for batch in batches:
-            lists, rare = batch.column(3), batch.column(4)
+        for batch in _regrouped(batches, 3, symbols):
+            lists, rare = _lists(batch.column(3), symbols), batch.column(4)
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
             begins = np.r_[0, np.cumsum(sizes)]
@@ -381,7 +437,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, head_size: in
             found = rare.flatten()
             flat[tails[np.repeat(first, own) + found.field("at").to_numpy()]] = symbols + np.arange(len(found))
             c = found.field("c").to_numpy().astype(np.float64)
-            parts = found.field("g").flatten().to_numpy().astype("<i8").view(np.uint8).reshape(len(found), 8 * -(-k // 8))[:, :k]
+            parts = np.stack([found.field(f"parts{j}").to_numpy() for j in range(-(-k // 8))], axis=1).astype("<i8").view(np.uint8).reshape(len(found), 8 * -(-k // 8))[:, :k]
             g = parts * (c[:, None] / SHARES)
             here = Model(model.start, model.move, np.concatenate([model.emit, smooth.emissions(g, c)]))
             token_logs = np.r_[logs, np.log10(c + 1)][flat]

@@ -217,3 +217,30 @@ def test_folding():
     assert toxicity.fold(toxicity.plain("Ｉdiot".encode())) == b"idiot"
     lexicon = toxicity.Lexicon({b" idiot ": 2.0, b" 455 ": 1.0}, ("class idiot",))
     assert lexicon.matches(b"an 1d10t, a class idiot; idiots") == [(3, 2.0)]
+
+
+def test_hmm_long_texts_are_regrouped_without_loss(monkeypatch):
+    """Rows that pass in groups are the same rows; blocks hold several long texts, and counts are those of single texts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    k, symbols = 3, 9
+    monkeypatch.setattr(hmm, "LONG", 6)
+    monkeypatch.setattr(hmm, "GROUP", 40)
+    monkeypatch.setattr(hmm, "CELLS", 16)
+    seqs = [rng.integers(1, symbols, int(n)).tolist() + [0] for n in rng.integers(0, 30, 40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 8)), pa.array([np.array(s, dtype="<u2").tobytes() for s in seqs[i : i + 8]], type=pa.binary())], names=["row", "ids"]).slice(i // 8 % 2) for i in range(0, 40, 8)]
+    got = list(hmm._regrouped(iter(batches), 1, symbols))
+    told = {r: s for b in got for r, s in zip(b.column(0).to_pylist(), hmm._lists(b.column(1), symbols).to_pylist(), strict=True)}
+    assert told == {r: seqs[r] for b in batches for r in b.column(0).to_pylist()} and sum(b.num_rows for b in got) == len(told)
+    assert any(b.num_rows > 1 and min(map(len, hmm._lists(b.column(1), symbols).to_pylist())) > 6 for b in got)
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), size=k), rng.dirichlet(np.ones(symbols), size=k).T)
+    each, all_ = ((np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))) for _ in range(2))
+    for s in told.values():
+        hmm._expected(model, np.array([len(s)]), np.array(s)[:, None], each)
+    wide = 0
+    for b in got:
+        for _, size, ids in hmm._blocks(hmm._lists(b.column(1), symbols)):
+            wide += len(size) > 1 and ids.size > 16
+            hmm._expected(model, size, ids, all_)
+    assert wide and all(np.allclose(a, b, rtol=1e-12) for a, b in zip(each, all_, strict=True))
