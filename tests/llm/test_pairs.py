@@ -300,3 +300,29 @@ def test_least_ranks_equal_sorted_stretches():
         rows = np.sort(np.lib.stride_tricks.sliding_window_view(o, width), axis=1)
         nths = (1, 2) if width < 12 else (8, 12)
         assert (substrings.least_ranks(o, nths, width) == rows[:, [n - 1 for n in nths]]).all()
+
+
+def test_large_families_and_common_lines_are_not_compared_each_with_each(spark, monkeypatch):
+    """Texts with own words around one line that others hold in loops, and near copies of one text."""
+    rng = random.Random(3)
+    say = lambda n: [f"u{rng.randrange(100_000)}" for _ in range(n)]
+    line, text, docs = say(60), say(150), []
+    for i in range(150):
+        docs.append(say(30) + line + (say(30) if i % 10 else ["a", "b", "c"] * 12))
+        docs.append([w if rng.random() > 0.02 else say(1)[0] for w in text])
+    seen, verified = [], substrings.verified
+    monkeypatch.setattr(substrings, "verified", lambda pairs, held: seen.append(pairs.count()) or verified(pairs, held))
+    got = {r["doc_id"]: r for r in substrings.repeats(spark.createDataFrame([(i, " ".join(d), "en", 7) for i, d in enumerate(docs)], SCHEMA)).collect()}
+    print("pairs", seen)
+    assert all(got[i]["n_repeated"] >= 60 and got[i]["class_id"] == 0 for i in range(0, 300, 2))
+    assert sum(seen) < 30 * len(docs)
+
+
+def test_words_are_hashed_as_they_are_split():
+    rows = ["Ab c\tD", "", None, " x ", "longword" * 30_000 + " a", "\u00e9\x0b\u00c9 \u00e9", "ab C", "a\x1cb", "d"]
+    for column in (pa.array(rows), pa.array(rows).slice(2, 5)):
+        want = [words(x.encode()) if x else [] for x in column.to_pylist()]
+        each, sizes = (np.concatenate(x) for x in zip(*substrings._in_chunks(column), strict=True))
+        assert sizes.tolist() == [len(x) for x in want]
+        flat = [w for x in want for w in x]
+        assert len(set(zip(flat, each.tolist(), strict=True))) == len(set(flat)) == len(set(each.tolist()))
