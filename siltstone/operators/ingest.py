@@ -99,8 +99,8 @@ def wanted(nodes: DataFrame, root: DataFrame, fetched: DataFrame, allowlist: Dat
 def ingest(spark: SparkSession, path: str, documents: DataFrame, warnings: DataFrame, now: str, provider: str | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, rebuild: bool = False, most_warnings: int = 1_000) -> Index:
     """Writes the next state of the index at ``path`` from ``wanted`` documents.
 
-    Documents are new, changed, unchanged (chunks stay, even under an old title), kept
-    (their fetch failed) or dropped. If the model is another than before, the chunks
+    Documents are new, changed, unchanged (chunks stay, even under an old title), bare
+    (unchanged, of a text that makes no chunks), kept (their fetch failed) or dropped. If the model is another than before, the chunks
     of unchanged documents get new vectors. Of the warnings at most ``most_warnings``
     are stored as text; any makes the status "partial".
     """
@@ -109,8 +109,11 @@ def ingest(spark: SparkSession, path: str, documents: DataFrame, warnings: DataF
     row = before.state.select("embeddingProvider").collect()
     other_model = bool(row and row[0][0]) and row[0][0] != provider
     changes = sync.diff(documents.select(F.col("nodeToken").alias("id"), "markdown"), before.documents.select("id", "contentHash"), before.chunks.select("documentId"))
+    # a text that made no chunks has none to be made anew: it stays in its generation
+    bare = before.documents.filter("chunkCount = 0").select("id", "contentHash", F.lit(True).alias("bare"))
+    changes = changes.join(bare, ["id", "contentHash"], "left").withColumn("change", F.when((F.col("change") == "changed") & F.col("bare"), "bare").otherwise(F.col("change"))).drop("bare")
     if rebuild:
-        changes = changes.withColumn("change", F.when(F.col("change") == "unchanged", "changed").otherwise(F.col("change")))
+        changes = changes.withColumn("change", F.when(F.col("change").isin("unchanged", "bare"), "changed").otherwise(F.col("change")))
     changes = store(changes, "ingest-changes")
     fresh = documents.join(changes.filter("change in ('new', 'changed')").select(F.col("id").alias("nodeToken")), "nodeToken", "left_semi")
     made = chunking.chunk_documents(fresh.select(F.col("nodeToken").alias("documentId"), "nodeToken", "title", "parentTitle", "url", "markdown")).withColumn("embedding", sync.no_vector())
@@ -126,7 +129,7 @@ def ingest(spark: SparkSession, path: str, documents: DataFrame, warnings: DataF
     written.select(*spark.createDataFrame([], CHUNKS).columns).write.mode("overwrite").parquet(f"{path}/chunks/ingest={number}")
     # links are taken from all that was fetched anew; those of others stay in their generation
     found = links.extract(fresh.select(F.col("nodeToken").alias("documentId"), F.col("title").alias("documentTitle"), F.col("url").alias("documentUrl"), "markdown"))
-    moved = before.mentions.join(changes.filter("change = 'unchanged'").select(F.col("id").alias("documentId")), "documentId", "left_semi") if other_model else before.mentions.limit(0)
+    moved = before.mentions.join(changes.filter("change in ('unchanged', 'bare')").select(F.col("id").alias("documentId")), "documentId", "left_semi") if other_model else before.mentions.limit(0)
     found = found.withColumns({"line": F.col("pos.line_no").cast("long"), "kind": F.col("pos.kind"), "pos": F.col("pos.pos")})
     mentions = found.unionByName(moved.drop("generation")).withColumn("generation", F.lit(number).cast("long"))
     columns = spark.createDataFrame([], MENTIONS).columns
@@ -135,7 +138,7 @@ def ingest(spark: SparkSession, path: str, documents: DataFrame, warnings: DataF
     old = before.documents.select("id", *(F.col(c).alias(f"old_{c}") for c in ("objToken", "title", "parentTitle", "url", "revisionId", "syncedAt", "chunkCount", "generation", "doc_pos")))
     told = changes.filter("change != 'dropped'").join(documents.withColumnRenamed("nodeToken", "id"), "id").join(old, "id", "left").join(counts, "id", "left")
     anew, kept = F.col("change").isin("new", "changed"), F.col("change") == "kept"
-    pick = lambda c: F.when(anew, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c)
+    pick = lambda c: F.when(anew | (F.col("change") == "bare"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c)
     generation = F.when(anew | (~kept & F.lit(other_model)), F.lit(number).cast("long")).otherwise(F.col("old_generation"))
     rows = told.select(
         "id", F.col("id").alias("nodeToken"), pick("objToken"), pick("title"), pick("parentTitle"), pick("url"), F.when(kept, F.col("old_revisionId")).otherwise(F.col("revisionId")).alias("revisionId"), "contentHash",

@@ -1,9 +1,11 @@
 """Ingests in a row, ingests that stop, and embeddings that are made once."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import ingest, sync
+from siltstone.plans import link_queries
 from siltstone.sources import progress
 
 NODES = "nodeToken string, objToken string, objType string, parentNodeToken string, title string"
@@ -111,3 +113,32 @@ def test_prefixes_tell_questions_from_documents(spark):
     df = spark.createDataFrame([("a", "x"), ("b", None)], "id string, contextualText string")
     seen = lambda **k: {r["id"]: r["embedding"] for r in sync.embed(df, lambda texts: [[float(len(t))] for t in texts], **k).collect()}
     assert seen() == {"a": [10.0], "b": [9.0]} and seen(purpose="query") == {"a": [8.0], "b": [7.0]}
+
+
+def test_texts_without_chunks_stay_in_their_generation(spark, tmp_path):
+    odd = ["", " \n ", "<br>", "# Title", None, '<a href="https://e.org/p"></a>', "plain"]
+    rows = [(n, odd[n % 5] if n % 3 else odd[5 + n % 2], f"src{n % 4}") for n in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = link_queries.two_ingests(spark, str(tmp_path))
+    columns = ", ".join(found.columns)
+    want = con.sql(f"SELECT {columns} FROM ({link_queries.ORACLE_SQL['two_ingests']})").fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def test_texts_without_chunks_keep_their_links_and_get_new_titles(spark, tmp_path):
+    path, link = f"file://{tmp_path}/i", '<a href="https://e.org/p"></a>'
+    one = ingest.ingest(spark, path, *wanted(spark, {"a": link, "b": "beta"}), "t1", "m", vectors)
+    assert told(one) == {"a": ("t1", 0, 1), "b": ("t1", 1, 1)} and one.mentions.count() == 1
+    documents, warnings = wanted(spark, {"a": link, "b": "beta"})
+    documents = documents.withColumn("title", F.concat("title", F.lit(" anew")))
+    two = ingest.ingest(spark, path, documents, warnings, "t2", "m", vectors)
+    assert told(two) == {"a": ("t2", 0, 1), "b": ("t2", 1, 1)} and two.mentions.count() == 1
+    assert {r["id"]: r["title"] for r in two.documents.collect()} == {"a": "Title a anew", "b": "Title b"}
+    three = ingest.ingest(spark, path, documents, warnings, "t3", "other", vectors)
+    assert told(three) == {"a": ("t3", 0, 3), "b": ("t3", 1, 3)} and three.mentions.count() == 1
+    four = ingest.ingest(spark, path, documents, warnings, "t4", "other", vectors, rebuild=True)
+    assert told(four) == {"a": ("t4", 0, 4), "b": ("t4", 1, 4)} and four.mentions.count() == 1
+    five = ingest.ingest(spark, path, *wanted(spark, {"a": "alpha", "b": ""}), "t5", "other", vectors)
+    assert told(five) == {"a": ("t5", 1, 5), "b": ("t5", 0, 5)} and five.chunks.count() == 1 and five.mentions.count() == 0
