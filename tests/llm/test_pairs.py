@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import components, jaccard, substrings
 from siltstone.llm.text import words
@@ -326,3 +327,31 @@ def test_words_are_hashed_as_they_are_split():
         assert sizes.tolist() == [len(x) for x in want]
         flat = [w for x in want for w in x]
         assert len(set(zip(flat, each.tolist(), strict=True))) == len(set(flat)) == len(set(each.tolist()))
+
+
+def test_only_what_comparisons_read_of_a_text_is_stored(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared = [word() for _ in range(60)]
+    docs = [[word() for _ in range(3000)] + shared + [word() for _ in range(i)] for i in (2000, 1500)]
+    sizes, store = [], substrings.store
+
+    def told(df, name):
+        out = store(df, name)
+        if name == "held":
+            sizes.append(out.agg(F.sum(F.octet_length("h"))).collect()[0][0])
+        return out
+
+    monkeypatch.setattr(substrings, "store", told)
+    got = substrings.repeats(spark.createDataFrame([(i, " ".join(d), "en", 7) for i, d in enumerate(docs)], SCHEMA)).collect()
+    assert all(s["start"] <= 3000 and s["end"] >= 3060 for r in got for s in r["spans"]) and all(r["n_repeated"] >= 60 and r["class_id"] == 0 for r in got)
+    assert len(sizes) == 1 and sizes[0] <= 2 * 8 * 300  # of texts of 5060 and 4560 words
+
+
+def test_comparisons_in_turns_find_the_same(spark, monkeypatch):
+    rows = made()
+    told = lambda: sorted(map(str, substrings.repeats(spark.createDataFrame(rows, SCHEMA)).collect()))
+    want, turns, store = told(), [], substrings.store
+    monkeypatch.setattr(substrings, "TURN", 1)
+    monkeypatch.setattr(substrings, "store", lambda df, name: turns.append(name) or store(df, name))
+    assert told() == want and turns.count("verified") > 1
